@@ -6,20 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac
-from .common import table
+from . import bpe, flac, langid, secrets
+from .common import fold, table
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"), secrets.train()).drop("redacted")
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 4) == 2)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_flac": op7_flac, "op9_bpe": op9_bpe}
+    return {"op4_secrets": op4_secrets, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
