@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, langid, secrets
+from . import bpe, flac, langid, secrets, simhash
 from .common import fold, table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"), secrets.train()).drop("redacted")
 
@@ -29,7 +33,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secrets": op4_secrets, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe}
+    return {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
