@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, langid, secrets, simhash, substrings
+from . import bpe, decontam, flac, langid, secrets, simhash, substrings
 from .common import fold, table
 
 OP6_SQL = r"""
@@ -47,9 +47,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x20\x09-\x0D]+') AS w FROM documents, lower),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x20\x09-\x0D]+') AS w FROM benchmark, lower),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bs),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+hit AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (k, s) GROUP BY ALL),
+size AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, shared::BIGINT AS shared, shingles::BIGINT AS shingles, round(shared / shingles, 6) AS containment
+FROM hit JOIN size USING (item_id) WHERE shared >= 0.8 * shingles
+"""
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe}
+    return {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substrings": OP6_SQL}
+    return {"op6_substrings": OP6_SQL, "op10_decontam": OP10_SQL}
