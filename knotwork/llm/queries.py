@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, langid, secrets, simhash, substrings, toxicity
+from . import bpe, decontam, flac, html_text, langid, secrets, simhash, substrings, toxicity
 from .common import fold, table
 
 OP6_SQL = r"""
@@ -21,6 +21,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
