@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, html_text, langid, secrets, simhash, substrings, toxicity
+from . import bpe, decontam, flac, html_text, langid, lm, secrets, simhash, substrings, toxicity
 from .common import fold, table
 
 OP6_SQL = r"""
@@ -29,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_chars = substrings.characters(docs, "text")
+    return lm.score(docs, lm.fit(docs, n_chars=n_chars), n_chars=n_chars)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"), secrets.train()).drop("redacted")
 
@@ -76,7 +82,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
