@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,35 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a table that a later step reads."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def per_batch(df: DataFrame, column: str, change: Callable[[list], tuple[list[bool], list]]) -> DataFrame:
+    """The rows of a table whose column is changed or that are dropped: change() gets a bounded list of the
+    column's values, and returns which rows stay and their new values.  All other columns pass unseen."""
+    limit = BATCH_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            values = batch.column(k).to_pylist()
+            at = size = 0
+            for i in range(len(values) + 1):
+                n = len(values[i] or "") if i < len(values) else 0
+                if i > at and (i == len(values) or size + n > limit):
+                    stay, new = change(values[at:i])
+                    columns = [*batch.slice(at, i - at).columns]
+                    columns[k] = pa.array(new, type=batch.schema.field(k).type)
+                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay))
+                    at, size = i, 0
+                size += n
+
+    return df.mapInArrow(run, df.schema)
+
+
 def rows_by_bytes(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_BYTES) -> Iterator[list[tuple]]:
     """Lists of row tuples of at most `limit` characters of text (or one longer row), in column order."""
     for batch in batches:

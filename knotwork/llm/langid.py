@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, rows_by_bytes
+from .common import arrow_batch, per_batch, rows_by_bytes
 
 BINS = 1 << 14
 UNKNOWN = "und"
@@ -101,6 +101,11 @@ def shares(model: Model, text: str) -> dict[str, float]:
     return {model.languages[k]: float(s) for k, s in zip(chosen, share, strict=True)}
 
 
+def known_language(model: Model, text: str | None) -> bool:
+    """Whether a text gets a language."""
+    return bool(text and model.languages and any(map(str.isalpha, text)))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, mixture): the language with the largest share, that share, and all shares as text."""
     spark = docs.sparkSession
@@ -109,7 +114,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for rows in rows_by_bytes(batches, text_col):
-            found = [shares(m, t) if t and m.languages and any(map(str.isalpha, t)) else {} for _, t in rows]
+            found = [shares(m, t) if known_language(m, t) else {} for _, t in rows]
             best = [min(f.items(), key=lambda x: (-x[1], x[0])) if f else (UNKNOWN, 0.0) for f in found]
             yield arrow_batch({
                 id_col: ([i for i, _ in rows], pa.int64()),
@@ -119,3 +124,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             })
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double, mixture string")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of texts that get a language whose share is at least `least`."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def change(texts: list) -> tuple[list[bool], list]:
+        m = known.value
+        return [known_language(m, t) and max(shares(m, t).values()) >= least for t in texts], texts
+
+    return per_batch(docs, text_col, change)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batch, rows_by_bytes, sha256
+from .common import arrow_batch, per_batch, rows_by_bytes, sha256
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -236,3 +236,14 @@ def find(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             })
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+
+
+def redacted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """All rows and columns, with the findings in the text replaced; null stays null."""
+    known = docs.sparkSession.sparkContext.broadcast(net)
+
+    def change(texts: list) -> tuple[list[bool], list]:
+        found = scan(known.value, [t or "" for t in texts])
+        return [True] * len(texts), [t if t is None else redact(t, a) for t, (_, a) in zip(texts, found, strict=True)]
+
+    return per_batch(docs, text_col, change)
