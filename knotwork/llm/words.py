@@ -53,6 +53,19 @@ def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int)
     return mix((sums[end] - sums[start]) * _powers(inverse, len(values) + 1)[start])
 
 
+class Parts:
+    """Hashes of any parts of a string of bytes."""
+
+    def __init__(self, data: bytes):
+        values = _VALUES[0][np.frombuffer(data, dtype=np.uint8)]
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * _powers(_FACTORS[0], len(values))[: len(values)], out=self.sums[1:])
+        self.inverse = _powers(pow(_FACTORS[0], -1, 1 << 64), len(values) + 1)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+
+
 @dataclass
 class Words:
     """Words of texts: bytes, where words begin and end, and the number of the first word of each text."""
