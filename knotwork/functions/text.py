@@ -5,6 +5,8 @@ The patterns use explicit classes and no look-around, so that Java and RE2 read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once per row, however often it occurs."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def sentences(text: Column | str) -> Column:
     """The sentences of a text, in order."""
     return F.regexp_extract_all(_col(text), F.lit(SENTENCE), F.lit(0))
@@ -45,16 +52,18 @@ def pairs_within(ws: Column | str, order: int) -> Column:
 
 def char_trigrams(word: Column | str) -> Column:
     """Trigrams of [word], with its brackets."""
-    w = F.concat(F.lit("["), _col(word), F.lit("]"))
-    return F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, 3))
+    return let(F.concat(F.lit("["), _col(word), F.lit("]")), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, 3)))
 
 
 def char_level_features(text: Column | str) -> Column:
     """Words, bigrams and trigrams between STKN and ETKN, and character trigrams, as structs (type_name, name)."""
-    ws = words(F.lower(_col(text)))
-    marked = F.concat(F.array(F.lit("STKN")), ws, F.array(F.lit("ETKN")))
     of = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("type_name"), x.alias("name")))
-    return F.concat(of("Word", ws), of("NGram", F.concat(ngrams(marked, 2), ngrams(marked, 3))), of("CharNGram", F.flatten(F.transform(ws, char_trigrams))))
+
+    def made(ws: Column) -> Column:
+        marked = F.concat(F.array(F.lit("STKN")), ws, F.array(F.lit("ETKN")))
+        return F.concat(of("Word", ws), of("NGram", F.concat(ngrams(marked, 2), ngrams(marked, 3))), of("CharNGram", F.flatten(F.transform(ws, char_trigrams))))
+
+    return let(words(F.lower(_col(text))), made)
 
 
 def comma_inversion(s: Column | str) -> Column:

@@ -1,19 +1,519 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine, each over its whole tables, and their SQL twins for another engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .dims import TYPE
+from .functions import dates as D
+from .functions import html as H
+from .functions import nodes as N
+from .functions import references as R
+from .functions import text as T
+from .operators import features as X
+from .operators import graph as G
+from .operators import search as S
+from .operators import segments as Q
+from .operators import spread as A
+from .plans.session import balanced
+from .sources import crawl as C
+
+#: Roots of the spreading queries; these words occur at every scale of the test tables.
+ROOTS = ("worthless|en", "trash|en")
+HOPS, LEAST = 3, 1e-4
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+WORD, SENTENCE, TAG = _lit(T.WORD), _lit(T.SENTENCE), _lit(T.TAG)
+DOUBLE = "round({}, 6)"
+
+# ---- texts
+
+WITH_WORDS = f"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {SENTENCE})) AS s FROM documents),
+l AS (SELECT doc_id, row_number() OVER () AS sid, regexp_extract_all(s, {WORD}) AS ws FROM s),
+w AS (SELECT doc_id, sid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l)"""
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, {SENTENCE}))::BIGINT AS n_sentences, len(regexp_extract_all(text, {WORD}))::BIGINT AS n_words FROM documents")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F3."""
+    return documents(spark, sf_dir).select("doc_id", F.size(T.sentences("text")).cast("long").alias("n_sentences"), F.size(T.words("text")).cast("long").alias("n_words"))
+
+
+@query(WITH_WORDS + " SELECT w, count(*)::BIGINT AS n FROM w GROUP BY w")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, F4."""
+    return X.words(documents(spark, sf_dir)).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query(WITH_WORDS + " SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || '|' || ws[i + 1])) AS gram FROM l) GROUP BY gram")
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5, W2."""
+    return X.tokens(documents(spark, sf_dir)).select(F.explode(T.ngrams("ws", 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(WITH_WORDS + """, g AS (SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || '|' || ws[i + 1] || '|' || ws[i + 2])) AS gram FROM l) GROUP BY gram)
+SELECT n::BIGINT AS n, count(*)::BIGINT AS trigrams FROM g GROUP BY n""")
+def trigram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many trigrams occur how often."""
+    g = X.tokens(documents(spark, sf_dir)).select(F.explode(T.ngrams("ws", 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return g.groupBy("n").agg(F.count("*").alias("trigrams"))
+
+
+@query(WITH_WORDS + ", c AS (SELECT w, count(*) AS n FROM w GROUP BY w) SELECT t AS trigram, sum(n)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, length(w) + 1), lambda i: substr('[' || w || ']', i, 3))) AS t, n FROM c) GROUP BY t")
+def char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6; words are counted first, so that each is cut once."""
+    return word_counts(spark, sf_dir).select(F.explode(T.char_trigrams("w")).alias("trigram"), "n").groupBy("trigram").agg(F.sum("n").alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name || ', ' || p_type || ', ' || p_brand AS s FROM part)
+SELECT p_partkey, regexp_replace(s, '(?s)^(.+?),[ \\t\\n\\r\\f]*(.+?)(?:\\z|(,[ \\t\\n\\r\\f]*.+))', '\\2 \\1\\3') AS inverted FROM p""".replace("\\\\", "\\"))
+def comma_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.comma_inversion(F.concat_ws(", ", "p_name", "p_type", "p_brand")).alias("inverted"))
+
+
+@query(f"SELECT page_id, md5(regexp_replace(html, {TAG}, '', 'g')) AS text_md5, length(regexp_replace(html, {TAG}, '', 'g'))::BIGINT AS n FROM pages")
+def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8, P18."""
+    t = T.strip_tags("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(t.cast("binary")).alias("text_md5"), F.length(t).cast("long").alias("n"))
+
+
+@query(f"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<(/?[ib])(?: [\\s\\S]+?)?>', '[\\1]', 'g'), {TAG}, '', 'g'), '\\[(/?[ib])\\]', '<\\1>', 'g')) AS text_md5 FROM pages""")
+def bold_and_italics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9, F10."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_all_but_bold_and_italics("html").cast("binary")).alias("text_md5"))
+
+
+@query()
+def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12."""
+    return table(spark, sf_dir, "pages").select("page_id", F.length(H.unescape(T.strip_tags("html"))).alias("n"))
+
+
+@query()
+def html_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """formatted text of every page, with its number of links."""
+    f = table(spark, sf_dir, "pages").select("page_id", H.fragment("html").alias("f"))
+    return f.select("page_id", F.length("f.text").alias("n"), F.size("f.links").alias("n_links"))
+
+
+@query()
+def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18 to F24 over all documents."""
+    d = documents(spark, sf_dir).select("doc_id", F.explode(R.mentioned_nodes("text")).alias("r"))
+    return d.select("doc_id", "r.type", "r.name", "r.low_emphasis")
+
+
+# ---- pages
+
+HREFS = """WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href="([^"#]+)(?:#[^"]*)?"', 1)) AS href FROM pages)"""
+
+
+@query("SELECT page_id, href, count(*)::BIGINT AS n FROM (" + HREFS.removeprefix("WITH h AS (").removesuffix(")") + ") GROUP BY page_id, href")
+def link_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4; the test pages quote with \"."""
+    return C.hrefs(table(spark, sf_dir, "pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(HREFS + """, t AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/]+') || href AS target FROM h WHERE starts_with(href, '/'))
+SELECT url, target FROM t WHERE NOT regexp_matches(target, '(?i)\\.(jpg|png|svg|tif|mp4|avi|mkv|css)$')""")
+def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute links of all pages that lead to pages."""
+    return C.links(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(url, {_lit(p)}) THEN '{k}'" for k, p in C.PAGE_TYPES) + " ELSE 'unknown' END AS page_type FROM pages")
+def page_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12."""
+    return table(spark, sf_dir, "pages").select("page_id", C.page_type(F.col("url")).alias("page_type"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(url, '[\\x00-\\x1f"<>|:*?\\\\/]', '_', 'g'), '&', '_', 'g') || '.html.br' AS file_name FROM pages""")
+def cache_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8, S9."""
+    return table(spark, sf_dir, "pages").select("page_id", T.url_to_file_name("url").alias("file_name"))
+
+
+@query(HREFS + """, e AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/]+') || href AS target FROM h WHERE starts_with(href, '/')),
+l0 AS (SELECT min(url) AS url FROM pages),
+l1 AS (SELECT DISTINCT target AS url FROM e JOIN l0 USING (url) WHERE target NOT IN (SELECT url FROM l0)),
+l2 AS (SELECT DISTINCT target AS url FROM e JOIN l1 USING (url) WHERE target NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1))
+SELECT url, 0 AS level FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2""")
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first from the first address, two levels."""
+    pages = table(spark, sf_dir, "pages")
+    return C.crawl(pages, C.CrawlSource("test", pages.agg(F.min("url")).first()[0]), max_levels=2)
+
+
+# ---- the graph
+
+ENTITY, W, NG = TYPE["Entity"], TYPE["Word"], TYPE["NGram"]
+FEATURES = WITH_WORDS + f""",
+b AS (SELECT doc_id, ws[i] AS x, ws[i + 1] AS y FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM l)),
+t AS (SELECT doc_id, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM l)),
+f AS (
+SELECT {ENTITY} AS a_type, doc_id::VARCHAR AS a_name, {W} AS b_type, w || '|en' AS b_name, 1 AS weight10 FROM w
+UNION ALL SELECT {W}, p.w || '|en', {W}, q.w || '|en', 1 FROM w p JOIN w q ON p.sid = q.sid AND q.i BETWEEN p.i + 1 AND p.i + 7
+UNION ALL SELECT {ENTITY}, doc_id::VARCHAR, {NG}, x || '|' || y || '|en', 7 FROM b
+UNION ALL SELECT {W}, unnest([x, y]) || '|en', {NG}, x || '|' || y || '|en', 1 FROM b
+UNION ALL SELECT {ENTITY}, doc_id::VARCHAR, {NG}, x || '|' || y || '|' || z || '|en', 7 FROM t
+UNION ALL SELECT {W}, unnest([x, y, z]) || '|en', {NG}, x || '|' || y || '|' || z || '|en', 1 FROM t)"""
+EDGES = """e AS (SELECT src_type, src_name, dst_type, dst_name, sum(weight10) AS mass10 FROM (
+SELECT a_type AS src_type, a_name AS src_name, b_type AS dst_type, b_name AS dst_name, weight10 FROM f
+UNION ALL SELECT b_type, b_name, a_type, a_name, weight10 FROM f) GROUP BY ALL)"""
+NODES = "n AS (SELECT src_type, src_name, count(*) AS num_edges, sum(mass10) AS total10 FROM e GROUP BY ALL)"
+AS_NODES = "src_type::INT AS type, src_name AS name, num_edges::BIGINT AS num_edges, total10::BIGINT AS total10"
+
+
+def _node_rows(n: DataFrame) -> DataFrame:
+    return n.select(F.col("src_type").cast("int").alias("type"), F.col("src_name").alias("name"), "num_edges", "total10")
+
+
+@query(FEATURES + " SELECT a_type::INT AS a_type, b_type::INT AS b_type, weight10::BIGINT AS weight10, count(*)::BIGINT AS n FROM f GROUP BY ALL")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by kind."""
+    f = X.text_features(documents(spark, sf_dir))
+    return f.groupBy(F.col("a_type").cast("int").alias("a_type"), F.col("b_type").cast("int").alias("b_type"), "weight10").agg(F.count("*").alias("n"))
+
+
+@query(f"{FEATURES}, {EDGES}, {NODES} SELECT {AS_NODES} FROM n")
+def edge_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph of all documents, told by its nodes."""
+    return _node_rows(G.nodes(G.edges(X.text_features(documents(spark, sf_dir)))))
+
+
+DOC_WORDS = f"""{WITH_WORDS}, f AS (SELECT {ENTITY} AS a_type, doc_id::VARCHAR AS a_name, {W} AS b_type, w || '|en' AS b_name, 1 AS weight10 FROM w), {EDGES}, {NODES}"""
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edges(X.text_features(documents(spark, sf_dir), kinds=("word",)))
+
+
+@query(f"{DOC_WORDS} SELECT src_type::INT AS src_type, src_name, dst_type::INT AS dst_type, dst_name, mass10::BIGINT AS mass10, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src_type, src_name ORDER BY mass10 DESC, dst_type, dst_name) AS r FROM e) WHERE r <= 3")
+def edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three heaviest edges of each node."""
+    r = G.ranked(doc_words(spark, sf_dir)).where("rank <= 3")
+    return r.select(F.col("src_type").cast("int").alias("src_type"), "src_name", F.col("dst_type").cast("int").alias("dst_type"), "dst_name", "mass10", "rank")
+
+
+@query(f"{DOC_WORDS}, p AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY src_type, src_name ORDER BY mass10 DESC, dst_type, dst_name) AS r FROM e) WHERE r <= 96) SELECT src_type::INT AS type, src_name AS name, count(*)::BIGINT AS num_edges, sum(mass10)::BIGINT AS total10 FROM p GROUP BY ALL")
+def node_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, A4: totals after pruning to the capacity."""
+    return _node_rows(G.nodes(G.prune(doc_words(spark, sf_dir))))
+
+
+@query(f"{DOC_WORDS} SELECT generate_subscripts(q, 1)::BIGINT AS pct, round(unnest(q), 6) AS num_edges FROM (SELECT quantile_cont(num_edges, {[p / 100 for p in range(1, 100)]}) AS q FROM n)")
+def degree_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11."""
+    return G.degree_percentiles(doc_words(spark, sf_dir)).select("pct", F.round("num_edges", 6).alias("num_edges"))
+
+
+@query(f"{DOC_WORDS} SELECT {AS_NODES} FROM n")
+def incremental_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves trained apart and merged are the whole."""
+    d = documents(spark, sf_dir)
+    half = lambda k: G.edges(X.text_features(d.where(F.col("doc_id") % 2 == k), kinds=("word",)))
+    return _node_rows(G.nodes(G.merge(half(0), half(1))))
+
+
+@query(f"""WITH p AS (SELECT {ENTITY} AS a_type, 'customer ' || o_custkey AS a_name, {ENTITY} AS b_type, 'part ' || l_partkey AS b_name, 10 AS weight10 FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT * FROM p), {EDGES}, {NODES}
+SELECT {AS_NODES} FROM n""")
+def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 over relational tables: customers with the parts they ordered."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey")
+    e = F.lit(ENTITY).cast("short")
+    f = li.join(o, "k").select(e.alias("a_type"), F.concat(F.lit("customer "), "o_custkey").alias("a_name"), e.alias("b_type"), F.concat(F.lit("part "), "l_partkey").alias("b_name"), F.lit(10).cast("long").alias("weight10"))
+    return _node_rows(G.nodes(G.edges(f)))
+
+
+@query("""SELECT conv_id, turn, before_turn, weight10 FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before_turn, 10::BIGINT AS weight10 FROM conversations) WHERE before_turn IS NOT NULL""")
+def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", "conv_id", "turn").alias("node"))
+    f = X.previous_links(rows, ["conv_id"], ["turn"], "node", "Entity")
+    part = lambda c, k: F.split_part(c, F.lit("|"), F.lit(k)).cast("long")
+    return f.select(part("a_name", 1).alias("conv_id"), part("a_name", 2).alias("turn"), part("b_name", 2).alias("before_turn"), "weight10")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that quote a test item; they meet by the item's first five words."""
+    five = lambda t: F.slice(F.split(F.trim(t), r"\s+"), 1, 5)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(five(F.col("text")), " ").alias("key"))
+    ws = documents(spark, sf_dir).select("doc_id", F.split(F.trim("text"), r"\s+").alias("ws"))
+    grams = ws.select("doc_id", F.explode(F.array_distinct(T.ngrams("ws", 5, " "))).alias("key"))
+    near = grams.join(items, "key").select("doc_id", "item_id", "quote")
+    return near.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
+
+
+# ---- spreading
+
+
+def _hops(start: str, prefix: str, hops: int = HOPS) -> str:
+    """SQL of `hops` hops from a table start(type, name, v), and of all it activates as <prefix>_all."""
+    out, active = [], start
+    for k in range(1, hops + 1):
+        out.append(f"""{prefix}{k} AS (SELECT dst_type AS type, dst_name AS name, sum(act) AS v FROM (
+SELECT *, lag(act) OVER (PARTITION BY src_type, src_name ORDER BY mass10 DESC, dst_type, dst_name) AS before FROM (
+SELECT e.*, a.v / num_edges * (1 / (1 + exp(-((mass10 * num_edges / total10 - 1) * 0.5)))) AS act
+FROM {active} a JOIN e ON e.src_type = a.type AND e.src_name = a.name JOIN n USING (src_type, src_name) WHERE a.v >= {LEAST}))
+WHERE before IS NULL OR before >= {LEAST} GROUP BY ALL)""")
+        active = f"{prefix}{k}"
+    parts = " UNION ALL ".join(f"SELECT type, name, v FROM {t}" for t in (start, *(f"{prefix}{k}" for k in range(1, hops + 1))))
+    out.append(f"{prefix}_all AS (SELECT type, name, sum(v) AS v FROM ({parts}) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def _root(k: int) -> str:
+    return f"SELECT {W} AS type, '{ROOTS[k]}' AS name, 1.0::DOUBLE AS v"
+
+
+def _scored(hops: int) -> str:
+    return f"{DOC_WORDS}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h', hops)} SELECT type::INT AS type, name, round(v, 6) AS score FROM h_all WHERE name NOT IN {ROOTS}"
+
+
+def _one_scope(hops: int) -> A.Query:
+    q = A.Query(min_activation=LEAST, max_hops=hops)
+    for r in ROOTS:
+        q.add_root(W, r)
+    return q
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select(F.col("type").cast("int").alias("type"), "name", F.round("score", 6).alias("score"))
+
+
+@query(_scored(1))
+def spread_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, W3, A5, M1, U4."""
+    return _rows(A.run(_one_scope(1), A.prepare(doc_words(spark, sf_dir))))
+
+
+@query(_scored(2))
+def spread_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(A.run(_one_scope(2), A.prepare(doc_words(spark, sf_dir))))
+
+
+@query(_scored(3))
+def spread_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 to Q3, Q5, A6, A7."""
+    return _rows(A.run(_one_scope(3), A.prepare(doc_words(spark, sf_dir))))
+
+
+@query(f"""{DOC_WORDS}, r0 AS ({_root(0)}), r1 AS ({_root(1)}), {_hops("r0", "x")}, {_hops("r1", "y")},
+o AS (SELECT type, name, 4.0 * (x_all.v + y_all.v) AS v FROM x_all JOIN y_all USING (type, name)), {_hops("o", "z")}
+SELECT type::INT AS type, name, round(sum(v), 6) AS score FROM (SELECT * FROM x_all UNION ALL SELECT * FROM y_all UNION ALL SELECT * FROM z_all) WHERE name NOT IN {ROOTS} GROUP BY ALL""")
+def scope_overlap_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scopes and their overlap."""
+    q = A.Query(min_activation=LEAST, max_hops=HOPS).add_root(W, ROOTS[0], 0).add_root(W, ROOTS[1], 1)
+    return _rows(A.run(q, A.prepare(doc_words(spark, sf_dir))))
+
+
+# ---- search
+
+
+@query(f"""{DOC_WORDS}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h')},
+d AS (SELECT name::BIGINT AS doc_id, v AS score FROM h_all WHERE type = {ENTITY}),
+g AS (SELECT d.* FROM d JOIN labels USING (doc_id) WHERE quality = 1)
+SELECT doc_id, round(score, 6) AS score FROM g WHERE score >= 0.01 * (SELECT max(score) FROM g) ORDER BY g.score DESC, doc_id::VARCHAR LIMIT 50""")
+def slow_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a category, best first."""
+    found = A.run(_one_scope(HOPS), A.prepare(doc_words(spark, sf_dir)))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("name")).distinct()
+    kept = found.where(F.col("type") == ENTITY).join(good, "name", "left_semi")
+    best = S.top(S.above_share(S.best_per_document(kept, F.col("name")), 0.01), 50)
+    return best.select(F.col("name").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def fast_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the characters of their names."""
+    names = table(spark, sf_dir, "part").select(F.lit(ENTITY).cast("short").alias("type"), F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("plain_name"), F.concat_ws(" ", "p_name", "p_brand").alias("disambig_name"))
+    index = A.prepare(G.edges(X.char_features(names, text_col="plain_name")))
+    phrase = names.agg(F.min("plain_name")).first()[0]
+    found = S.fast_search(phrase, index, names)
+    return found.select(F.col("type").cast("int").alias("type"), "name", F.round("score", 6).alias("score"), "plain_name")
+
+
+@query("SELECT name, count(*)::BIGINT AS n, min(p_partkey)::BIGINT AS first_id FROM (SELECT p_partkey, p_name AS name FROM part) GROUP BY name")
+def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that share a name."""
+    topic = F.lit(TYPE["TopicalGuideKeyword"]).cast("short").alias("type")
+    rows = table(spark, sf_dir, "part").select(topic, F.lpad(F.col("p_partkey").cast("string"), 19, "0").alias("name"), F.col("p_name").alias("plain_name"))
+    g = S.name_groups(rows)
+    return g.select("name", F.size("ids").cast("long").alias("n"), F.get("ids", 0)["name"].cast("long").alias("first_id"))
+
+
+@query("SELECT c_custkey, coalesce(n_name || ' (' || r_name || ')', 'UNKNOWN_NAME') AS display_name FROM customer LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey")
+def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a fallback; every fifth nation is left without one."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 5 <> 0")
+    kind = F.lit(ENTITY).cast("short").alias("type")
+    names = n.select(kind, F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("plain_name"), F.format_string("%s (%s)", "n_name", "r_name").alias("disambig_name"))
+    rows = table(spark, sf_dir, "customer").select(kind, F.col("c_nationkey").cast("string").alias("name"), "c_custkey")
+    return S.named(rows, names).select("c_custkey", "display_name")
+
+
+@query("SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey, floor(s_acctbal / 1000)) > 1 AS ambiguous FROM supplier")
+def disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10."""
+    rows = table(spark, sf_dir, "supplier").withColumn("k", F.floor(F.col("s_acctbal") / 1000))
+    return S.needs_disambiguation(rows, ["s_nationkey", "k"]).select("s_suppkey", "ambiguous")
+
+
+@query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey::VARCHAR) AS r FROM part) WHERE r = 1 AND p_retailprice >= 0.25 * (SELECT max(p_retailprice) FROM part)""")
+def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result a brand, above a quarter of the highest."""
+    rows = table(spark, sf_dir, "part").select(F.lit(ENTITY).alias("type"), F.col("p_partkey").cast("string").alias("name"), F.col("p_retailprice").alias("score"), "p_brand")
+    return S.above_share(S.best_per_document(rows, F.col("p_brand")), 0.25).select(F.col("name").cast("long").alias("p_partkey"), "p_brand")
+
+
+# ---- sequences
+
+
+@query("""SELECT conv_id, min(turn)::BIGINT AS turn, role, count(*)::BIGINT AS n, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g FROM conversations) GROUP BY conv_id, role, g""")
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive turns of one role become one."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("same", F.coalesce(F.lag("role").over(w) == F.col("role"), F.lit(False)))
+    rows = rows.withColumn("k", F.sum((~F.col("same")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = Q.merge_runs(rows, ["conv_id", "role", "k"], "turn", F.lit(True))
+    return m.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "n", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, CASE WHEN length(line) < 30 THEN line END AS heading FROM l),
+f AS (SELECT doc_id, line, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM h)
+SELECT doc_id, topic, count(*)::BIGINT AS n, sum(length(line))::BIGINT AS length FROM f WHERE topic IS NOT NULL GROUP BY ALL HAVING sum(length(line)) >= 30""")
+def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines under the latest short line, if they are long enough together."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    filled = Q.fill_heading(rows, ["doc_id"], "i", F.when(F.length("line") < 30, F.col("line"))).where("topic IS NOT NULL")
+    n = filled.groupBy("doc_id", "topic").agg(F.count("*").alias("n"))
+    return Q.long_enough(filled, ["doc_id", "topic"], "line").join(n, ["doc_id", "topic"]).select("doc_id", "topic", "n", F.col("length").cast("long").alias("length"))
+
+
+@query("""SELECT a.event_id, count(*)::BIGINT AS n FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'purchase' GROUP BY a.event_id""")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user within an hour of a purchase."""
+    e = table(spark, sf_dir, "events")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", us("ts").alias("start"), (us("ts") + 3_600_000_000).alias("end"))
+    right = e.select("user_id", us("ts").alias("at"))
+    joined = Q.range_join(left, right.withColumnRenamed("user_id", "u"), "start", "end", "at", 3_600_000_000)
+    return joined.where(F.col("u") == F.col("user_id")).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+ACTIVE = "(VALUES ('the|en', 1.0), ('of|en', 0.5), ('and|the|en', 2.0), ('worthless|en', 4.0)) a(name, weight)"
+ACTIVE_ROWS = [("the|en", 1.0), ("of|en", 0.5), ("and|the|en", 2.0), ("worthless|en", 4.0)]
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(x) AS sentence, generate_subscripts(x, 1) - 1 AS sent FROM (SELECT doc_id, regexp_extract_all(text, {SENTENCE}) AS x FROM documents)),
+l AS (SELECT doc_id, sent, sentence, regexp_extract_all(lower(sentence), {WORD}) AS ws FROM s),
+g AS (SELECT doc_id, sent, unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: ws[i] || '|' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || '|' || ws[i + 1] || '|' || ws[i + 2])))) || '|en' AS name FROM l),
+h AS (SELECT doc_id, sent, sum(weight) AS v FROM g JOIN {ACTIVE} USING (name) GROUP BY ALL),
+c AS (SELECT doc_id, sent, length(sentence) AS n, coalesce(v, 0) * CASE WHEN length(sentence) < 20 THEN 0.3 ELSE 1.0 END AS score FROM s LEFT JOIN h USING (doc_id, sent)),
+p AS (SELECT *, sum(n) OVER o AS cn FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY sent)),
+q AS (SELECT a.doc_id, a.sent AS start, max(b.sent) AS stop FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.sent >= a.sent AND b.sent < a.sent + 150 AND (b.sent = a.sent OR b.cn - a.cn + a.n <= 150) GROUP BY ALL),
+w AS (SELECT q.doc_id, start, stop - start + 1 AS k, round(sum(score), 9) AS score FROM q JOIN p ON p.doc_id = q.doc_id AND p.sent BETWEEN q.start AND q.stop GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS r FROM w)
+SELECT doc_id, start::INT AS start, k::INT AS n, round(score, 6) AS score FROM r WHERE r = 1""")
+def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run of sentences of up to 150 characters."""
+    active = spark.createDataFrame(ACTIVE_ROWS, "name string, weight double")
+    b = Q.best_window(Q.sentence_scores(documents(spark, sf_dir), F.broadcast(active)))
+    return b.select("doc_id", "start", "n", F.round("score", 6).alias("score"))
+
+
+@query(WITH_WORDS + """, k AS (SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS n_distinct FROM (SELECT DISTINCT doc_id, sid, w FROM w WHERE length(w) >= 10) GROUP BY doc_id)
+SELECT doc_id, n_distinct::BIGINT AS n_distinct, words::BIGINT AS words, round(n_distinct * 600.0 / words, 6) AS score FROM m JOIN k USING (doc_id) WHERE n_distinct * 600.0 / words >= 60""")
+def speech_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different long words per sentence, summed, x 600 / words."""
+    t = X.tokens(documents(spark, sf_dir))
+    n = t.select("doc_id", F.size("ws").alias("words"))
+    m = t.select("doc_id", "sent", F.explode("ws").alias("w")).where(F.length("w") >= 10)
+    return Q.distinct_per_text_score(m, n, "doc_id", "sent", "w", least=60.0).select("doc_id", "n_distinct", "words", F.round("score", 6).alias("score"))
+
+
+# ---- relational pieces
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, length(props)::INT AS n FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a JSON column."""
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.length("props").alias("n"))
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, CASE WHEN month(o_orderdate) <= 6 THEN '04' ELSE '10' END AS phase, printf('%04d-%s', year(o_orderdate)::INT, CASE WHEN month(o_orderdate) <= 6 THEN '04' ELSE '10' END) AS conference, (year(o_orderdate) - 1)::INT AS before, count(*)::BIGINT AS n FROM orders GROUP BY ALL""")
+def conference_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 to D4."""
+    year, phase = F.year("o_orderdate"), N.phase(F.month("o_orderdate"))
+    o = table(spark, sf_dir, "orders").groupBy(year.alias("year"), phase.alias("phase")).agg(F.count("*").alias("n"))
+    return o.select("year", "phase", D.conference_text(F.col("year"), F.col("phase")).alias("conference"), (F.col("year") - 1).alias("before"), "n")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, '{TYPE["BookParagraph"]} ' || l_orderkey || '|' || l_partkey || '|' || l_linenumber AS node, '{TYPE["BookSentence"]} ' || l_orderkey || '|' || l_partkey || '|' || l_linenumber || '|1' AS sentence,
+'{TYPE["BookChapter"]} ' || l_orderkey || '|' || l_partkey AS document FROM lineitem""")
+def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of paragraphs, their sentences and their documents, there and back."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.book_paragraph(F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")).alias("p"))
+    s = N.to_sentence(F.col("p.type"), F.col("p.name"), F.lit(1))
+    back = N.to_paragraph(s["type"], s["name"])
+    d = N.to_document(s["type"], s["name"])
+    text = N.to_text(back["type"], back["name"])
+    again = N.from_text(text)
+    return li.where(N.is_valid(F.col("p.name"))).select("l_orderkey", "l_linenumber", N.to_text(again["type"], again["name"]).alias("node"), N.to_text(s["type"], s["name"]).alias("sentence"), N.to_text(d["type"], d["name"]).alias("document"))
+
+
+@query("SELECT lower(replace(s_name, '.', '')) AS speaker, count(*)::BIGINT AS n FROM supplier GROUP BY ALL")
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2."""
+    return table(spark, sf_dir, "supplier").select(N.speaker(F.col("s_name"))["name"].alias("speaker")).groupBy("speaker").agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ten documents that a phrase activates most."""
+    q = S.add_phrase(A.Query(), "worthless trash")
+    found = A.run(q, A.prepare(G.prune(doc_words(spark, sf_dir))))
+    return _rows(S.top(S.visible(found), 10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
