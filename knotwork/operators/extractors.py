@@ -300,7 +300,8 @@ def segment_encyclopedia(paras: DataFrame, parser: Parser | None = None) -> Data
     w = Window.partitionBy("archive").orderBy("file", "pos")
     rows = paras.withColumn("_h", heading).withColumn("_i", F.row_number().over(w))
     again = Window.partitionBy("archive", "_h").orderBy("_i")
-    rows = rows.where(F.col("_h").isNull() | F.coalesce(F.col("_i") - F.lag("_i").over(again) > 5, F.lit(True)))
+    rows = rows.withColumn("_gap", F.col("_i") - F.lag("_i").over(again))
+    rows = rows.where(F.col("_h").isNull() | F.col("_gap").isNull() | (F.col("_gap") > 5))
     rows = rows.withColumn("topic", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     body = rows.where(F.col("_h").isNull() & F.col("topic").isNotNull())
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda x: x["text"]), "\n")
