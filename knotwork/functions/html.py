@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -224,6 +225,22 @@ def fragment(html: Column | str) -> Column:
     return run(html)
 
 
+def _plain_anchor(m: re.Match) -> str:
+    parts = re.split(r"(<[^>]*>)", m[2])
+    return m[1] + "".join(p if p.startswith("<") else re.sub(r"[^\w\s]", "", p) for p in parts) + "</a>"
+
+
+def plain_anchors(html: Column | str) -> Column:
+    """Links to scripture keep their tag, and lose the punctuation of their text."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: re.sub(r'(?s)(<a class="scripture-ref"[^>]*>)(.+?)</a>', _plain_anchor, x), na_action="ignore")
+
+    return run(html)
+
+
 def drop_parts(text: str, spans: list[tuple[int, int]], notes: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """Text without some spans, and where notes over it then lie; a note inside a span becomes empty."""
     out, at, kept = [], 0, list(notes)

@@ -13,6 +13,7 @@ from .functions import html as H
 from .functions import nodes as N
 from .functions import references as R
 from .functions import text as T
+from .operators import extractors as E
 from .operators import features as X
 from .operators import graph as G
 from .operators import search as S
@@ -22,7 +23,7 @@ from .plans.session import balanced
 from .sources import crawl as C
 
 #: Roots of the spreading queries; these words occur at every scale of the test tables.
-ROOTS = ("worthless|en", "trash|en")
+ROOTS = ("worthless|en", "trash|en", "clown|en")
 HOPS, LEAST = 3, 1e-4
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,12 +302,12 @@ def _root(k: int) -> str:
 
 
 def _scored(hops: int) -> str:
-    return f"{DOC_WORDS}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h', hops)} SELECT type::INT AS type, name, round(v, 6) AS score FROM h_all WHERE name NOT IN {ROOTS}"
+    return f"{DOC_WORDS}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h', hops)} SELECT type::INT AS type, name, round(v, 6) AS score FROM h_all WHERE name NOT IN {ROOTS[:2]}"
 
 
 def _one_scope(hops: int) -> A.Query:
     q = A.Query(min_activation=LEAST, max_hops=hops)
-    for r in ROOTS:
+    for r in ROOTS[:2]:
         q.add_root(W, r)
     return q
 
@@ -334,13 +335,57 @@ def spread_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{DOC_WORDS}, r0 AS ({_root(0)}), r1 AS ({_root(1)}), {_hops("r0", "x")}, {_hops("r1", "y")},
 o AS (SELECT type, name, 4.0 * (x_all.v + y_all.v) AS v FROM x_all JOIN y_all USING (type, name)), {_hops("o", "z")}
-SELECT type::INT AS type, name, round(sum(v), 6) AS score FROM (SELECT * FROM x_all UNION ALL SELECT * FROM y_all UNION ALL SELECT * FROM z_all) WHERE name NOT IN {ROOTS} GROUP BY ALL""")
+SELECT type::INT AS type, name, round(sum(v), 6) AS score FROM (SELECT * FROM x_all UNION ALL SELECT * FROM y_all UNION ALL SELECT * FROM z_all) WHERE name NOT IN {ROOTS[:2]} GROUP BY ALL""")
 def scope_overlap_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scopes and their overlap."""
     q = A.Query(min_activation=LEAST, max_hops=HOPS).add_root(W, ROOTS[0], 0).add_root(W, ROOTS[1], 1)
     return _rows(A.run(q, A.prepare(doc_words(spark, sf_dir))))
 
 
+def _overlap(name: str, a: str, b: str, carry: bool = False) -> str:
+    both = f"SELECT type, name, 4.0 * ({a}.v + {b}.v) AS v FROM {a} JOIN {b} USING (type, name)"
+    whole = f" UNION ALL SELECT type, name, v FROM {a} UNION ALL SELECT type, name, v FROM {b}" if carry else ""
+    return f"{name} AS (SELECT type, name, sum(v) AS v FROM ({both}{whole}) GROUP BY ALL)"
+
+
+@query(f"""{DOC_WORDS}, r0 AS ({_root(0)}), r1 AS ({_root(1)}), r2 AS ({_root(2)}), {_hops("r0", "x")}, {_hops("r1", "y")}, {_hops("r2", "z")},
+{_overlap("o3", "x_all", "y_all")}, {_overlap("o5", "x_all", "z_all")}, {_overlap("o6", "y_all", "z_all")}, {_overlap("o7", "o3", "o5", carry=True)},
+{_hops("o7", "p")}, {_hops("o6", "q")}
+SELECT type::INT AS type, name, round(sum(v), 5) AS score FROM (SELECT * FROM x_all UNION ALL SELECT * FROM y_all UNION ALL SELECT * FROM z_all UNION ALL SELECT * FROM p_all UNION ALL SELECT * FROM q_all) WHERE name NOT IN {ROOTS} GROUP BY ALL""")
+def scope_overlap_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scopes; two of the overlaps merge before they spread."""
+    q = A.Query(min_activation=LEAST, max_hops=HOPS)
+    for k, r in enumerate(ROOTS):
+        q.add_root(W, r, k)
+    return A.run(q, A.prepare(doc_words(spark, sf_dir))).select(F.col("type").cast("int").alias("type"), "name", F.round("score", 5).alias("score"))
+
+
+# ---- extractors
+
+PAGE = E.Source("page", r"^https?://([^/]+)/[a-z]{2}/(\d+)", "BookChapter", "BookParagraph", [("h1", None, None)], [("p", None, None)])
+
+
+@query()
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 to X19 on the test pages, which are of one source: documents with their paragraphs."""
+    d = E.documents(E.parse_pages(table(spark, sf_dir, "pages"), PAGE), PAGE)
+    return d.select("eid", "title", F.size("paragraphs").alias("n_paragraphs"))
+
+
+@query()
+def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all pages by kind."""
+    f = E.features(E.parse_pages(table(spark, sf_dir, "pages"), PAGE), PAGE)
+    return f.groupBy("a_type", "b_type", "weight10").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-index features of the pages' titles by kind."""
+    f = E.search_features(E.parse_pages(table(spark, sf_dir, "pages"), PAGE), PAGE)
+    return f.groupBy("b_type").agg(F.count("*").alias("n"), F.countDistinct("b_name").alias("names"))
+
+
 # ---- search
 
 

@@ -84,3 +84,4 @@ def test_select_and_spans(spark):
     assert H.select(h, [("p", "class", "b")])[0][2] == "one <b>x</b>"
     assert H.drop_parts("abcdefgh", [(2, 4)], [(0, 2), (1, 3), (2, 4), (3, 6), (6, 8)]) == ("abefgh", [(0, 2), (1, 2), (2, 2), (2, 4), (4, 6)])
     assert one(spark, "a &amp; b &eacute;", H.unescape) == "a & b é"
+    assert one(spark, '<a class="scripture-ref" href="x">Gen. 1:<b>2.</b></a>.', H.plain_anchors) == '<a class="scripture-ref" href="x">Gen 1<b>2</b></a>.'
