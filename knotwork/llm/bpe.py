@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_batch, rows_by_bytes, sha256
 
 #: Words and pairs that a task remembers; beyond it, it starts anew.
-MAX_WORDS, MAX_PAIRS = 600_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 
@@ -71,6 +71,8 @@ class Codec:
         #: ids of known chunks, and the names of these, each with a space behind it
         self.words: dict[str, bytes] = {}
         self.names: dict[str, str] = {}
+        #: ids of known words, in byte letters
+        self.pieces: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.stats = {"words": 0, "exact": 0}
 
@@ -166,11 +168,15 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks not met before."""
-        new = sorted(chunks)
+        new = list(chunks)
         parts = [self._pieces(c) for c in new]
-        ids, name = iter(self.encode_words([p for ps in parts for p in ps])), self.name
+        if len(self.pieces) > MAX_WORDS:
+            self.pieces.clear()
+        words = list({p for ps in parts for p in ps}.difference(self.pieces))
+        self.pieces.update(zip(words, self.encode_words(words), strict=True))
+        known, name = self.pieces, self.name
         for chunk, ps in zip(new, parts, strict=True):
-            got = [i for _ in ps for i in next(ids)]
+            got = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
             self.words[chunk] = pack(f"<{len(got)}I", *got)
             self.names[chunk] = "".join([name[i] + " " for i in got])
 
