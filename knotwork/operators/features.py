@@ -43,13 +43,13 @@ def text_features(
     def grams(n: int) -> Column:
         size = F.size(ws) - (n - 1)
         name = lambda i: named(F.array_join(F.slice(ws, i, n), "|"))
-        members = lambda i: F.transform(F.slice(ws, i, n), lambda x: pair(w, named(x), g, name(i), light))
-        each = lambda i: F.concat(F.array(pair(e, own, g, name(i), strong)), members(i))
+        members = lambda i, own_name: F.transform(F.slice(ws, i, n), lambda x: pair(w, named(x), g, own_name, light))
+        each = lambda i: T.let(name(i), lambda own_name: F.concat(F.array(pair(e, own, g, own_name, strong)), members(i, own_name)))
         return F.when(size >= 1, F.flatten(F.transform(F.sequence(F.lit(1), size), each)))
 
     made = {
         "word": F.transform(ws, lambda x: pair(e, own, w, named(x), light)),
-        "near": F.transform(T.pairs_within(ws, order), lambda p: pair(w, named(p["a"]), w, named(p["b"]), light)),
+        "near": T.let(F.transform(ws, named), lambda names: F.transform(T.pairs_within(names, order), lambda p: pair(w, p["a"], w, p["b"], light))),
         "bigram": grams(2),
         "trigram": grams(3),
     }
