@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_batch, rows_by_bytes, sha256
 
 #: Words and pairs that a task remembers; beyond it, it starts anew.
-MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 300_000, 300_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 
@@ -68,11 +68,9 @@ class Codec:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.widest = max(self.reach.values())
         self.span = 1 << 20
-        #: ids of known chunks, and the names of these, each with a space behind it
+        #: ids, packed, of known chunks and of known words in byte letters
         self.words: dict[str, bytes] = {}
-        self.names: dict[str, str] = {}
-        #: ids of known words, in byte letters
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.stats = {"words": 0, "exact": 0}
 
@@ -173,33 +171,29 @@ class Codec:
         if len(self.pieces) > MAX_WORDS:
             self.pieces.clear()
         words = list({p for ps in parts for p in ps}.difference(self.pieces))
-        self.pieces.update(zip(words, self.encode_words(words), strict=True))
-        known, name = self.pieces, self.name
+        self.pieces.update(zip(words, [pack(f"<{len(w)}I", *w) for w in self.encode_words(words)], strict=True))
+        known = self.pieces
         for chunk, ps in zip(new, parts, strict=True):
-            got = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
-            self.words[chunk] = pack(f"<{len(got)}I", *got)
-            self.names[chunk] = "".join([name[i] + " " for i in got])
+            self.words[chunk] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         """For each text its ids as little-endian 32-bit integers, the decoded text and the number of ids."""
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-            self.names.clear()
         split = []
         for t in texts:
             parts = self.cut.split(t) if self.cut and "<|" in t else [t]
             split.append([p if p in self.special else self.chunks(p) for p in parts])
         self.learn(set().union(*(cs for parts in split for cs in parts if isinstance(cs, list))).difference(self.words))
-        out, ids_of, name_of = [], self.words.__getitem__, self.names.__getitem__
+        out, ids_of = [], self.words.__getitem__
         for parts in split:
             ids = b"".join([pack("<I", self.special[p]) if isinstance(p, str) else b"".join(map(ids_of, p)) for p in parts])
-            names = "".join([p + " " if isinstance(p, str) else "".join(map(name_of, p)) for p in parts])
-            out.append((ids, names[:-1], len(ids) // 4))
+            out.append((ids, self.decode(np.frombuffer(ids, dtype="<u4").tolist()), len(ids) // 4))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens are joined by one space."""
-        return " ".join([self.name[i] for i in ids])
+        return " ".join(map(self.name.__getitem__, ids))
 
 
 _CODECS: dict[str, Codec] = {}
