@@ -218,7 +218,8 @@ def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     counts = _counts(pages, url_col, html_col).checkpoint()
     nodes = _importance(counts).where(F.col("pages") >= MIN_PAGES)
     low = nodes.where(F.col("importance") < LEAST).select("host", F.col("path").cast("string").alias("what"))
-    shared = counts.where("kind = 0").join(nodes.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= COMMON * F.col("pages"))
+    # no block of fewer pages can be common; this leaves out almost all blocks before they are dealt by node
+    shared = counts.where((F.col("kind") == 0) & (F.col("n") >= COMMON * MIN_PAGES)).join(nodes.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= COMMON * F.col("pages"))
     blocks = shared.select("host", F.concat_ws(" ", "path", "feature").alias("what"))
     return low.union(blocks).groupBy("host").agg(F.collect_set("what").alias("what"))
 
