@@ -53,9 +53,8 @@ class Query:
 def prepare(graph: DataFrame) -> DataFrame:
     """Edges with their source's number of edges and total mass, written once for all hops.
 
-    The graph itself is written first: its features are made once, not once for the totals and once for the edges.
+    Totals and edges come from the same shuffle of sums, which Spark reuses, so features are made once.
     """
-    graph = cut(graph)
     return cut(graph.join(G.nodes(graph), G.SRC))
 
 
