@@ -244,6 +244,20 @@ def test_toxicity_held_out(spark, toxic_world):
     assert p[51].score == p[52].score == p[50].score < 0.3
 
 
+def test_toxicity_drops_copies_only(spark):
+    g = np.random.default_rng(5)
+    common = [f"common{k}" for k in range(30)]  # frequent words, which most texts share
+    rows = [(k, " ".join(g.permutation([*common, *(f"own{k}x{j}" for j in range(10))])), k % 2) for k in range(200)]
+    long = " ".join(f"w{j}" for j in range(60))
+    copies = [(300, rows[1][1], 1), (301, long, 1), (302, long.replace("w30 ", "changed "), 1), (303, long + " end", 1), (304, long, 0), (301, "another text of the same id", 1), (305, "one", 0), (306, "one", 0), (307, "", 0), (308, "  ", 0)]
+    got = sorted((r.text.strip(), r.y) for r in toxicity.without_copies(spark.createDataFrame(rows + copies, "_id long, _text string, _y int")).collect())
+    assert len(got) == len(set(got))
+    assert {(t, y) for _, t, y in rows} <= set(got)
+    rest = [x for x in got if x not in {(t, y) for _, t, y in rows}]
+    assert len([x for x in rest if x[0].startswith("w0 ") and x[1] == 1]) == 1
+    assert {x for x in rest if not (x[0].startswith("w0 ") and x[1] == 1)} == {(long, 0), ("another text of the same id", 1), ("one", 0), ("", 0)}
+
+
 def test_toxicity_odd(spark, odd, none, toxic_world):
     docs, labels, _ = toxic_world
     for m in (toxicity.fit(none, labels.limit(0), F.lit(True)), toxicity.fit(odd, labels.where("toxic = 0"), F.lit(True)), toxicity.fit(odd, labels, F.lit(True))):
