@@ -7,10 +7,12 @@ pages) says nothing about a page; a node whose presentation varies does.  Both g
 
     GAMMA * (1 - mean entropy of its contents over pages) + (1 - GAMMA) * entropy of its styles
 
-What the markup says outright decides first: branches such as nav, footer, form or class="ad" have no
-importance, and article or main have full importance.  Of the other branches, those of low importance are
-removed, and so are single blocks that stand on most pages of their host.  Hosts with fewer than MIN_PAGES
-different pages have no tree to learn from and keep such branches.
+Branches of low importance are removed, and so are single blocks that stand on most pages of their host,
+within article and main too.  What the markup says moves the least importance: article and main need less,
+and branches within them whose class or id has a doubtful word (share, legal, notice) need more.  Branches
+such as nav, footer, form or class="ad" are always out: what they say may differ on every page, so that
+their importance can be that of an article.  Hosts with fewer than MIN_PAGES different pages have no tree to
+learn from: there the markup decides alone, doubtful branches are out and all others stay.
 
 What is to be removed is a short list for each host; it is broadcast if its measured size allows, and
 joined by host otherwise.
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, rows_by_bytes, use_checkpoints
 
 GAMMA, LEAST, MIN_PAGES, COMMON = 0.9, 0.3, 5, 0.5
+#: Least importance of branches that the markup calls main text, and of doubtful ones within these.
+LEAST_IN, LEAST_DOUBTFUL = 0.15, 0.6
 #: Rows of the removal list that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -56,9 +60,11 @@ _SCOPE = _set("article aside body div footer form header main nav section table
 _OUT_TAGS = _set("head nav header footer aside form menu dialog button")
 _OUT_WORDS = _set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation header masthead footer comment comments disqus reply replies "
-    "respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "breadcrumb breadcrumbs pagination pager widget toolbar search copyright legal disclaimer form"
+    "respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "breadcrumb breadcrumbs pagination pager toolbar form"
 )
+#: Words that name parts of articles as well.
+_DOUBTFUL_WORDS = _set("notice notices alert share sharing social related recommended recommendations widget search copyright legal disclaimer")
 _OUT_ROLES = _set("navigation banner contentinfo complementary search form alert dialog menu menubar")
 _IN_TAGS = _set("article main")
 _IN_WORDS = _set("article post story entry")
@@ -66,13 +72,15 @@ _IN_WORDS = _set("article post story entry")
 
 @lru_cache(maxsize=4096)
 def _element(tag: str, attrs: str) -> tuple[str, int]:
-    """Name of an element in the style tree, and what its markup says: -1 out, 1 in, 0 nothing."""
+    """Name of an element in the style tree, and what its markup says: -2 out, -1 doubtful, 1 in, 0 nothing."""
     found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
     classes = sorted(re.sub(r"\d+", "#", c) for c in found.get("class", "").split())
     words = {w.lower() for part in (found.get("class", ""), found.get("id", "")) for w in _WORD.findall(part)}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
     whole = tag in ("body", "html")  # their classes describe the page
     if tag in _OUT_TAGS or hidden or found.get("role", "").lower() in _OUT_ROLES or (not whole and words & _OUT_WORDS):
+        says = -2
+    elif not whole and words & _DOUBTFUL_WORDS:
         says = -1
     else:
         says = int(tag in _IN_TAGS or found.get("role", "").lower() == "main" or (not whole and bool(words & _IN_WORDS)))
@@ -154,7 +162,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
         attrs = m[3] or m[6] or ""
         name, says = _element(tag, attrs)
         up = stack[-1]
-        says = -1 if up.says < 0 or says < 0 else max(up.says, says)
+        if -2 in (up.says, says) or says < 0 == up.says:
+            says = -2  # only what is within main text can be doubtful
+        else:
+            says = min(up.says, says) if -1 in (up.says, says) else max(up.says, says)
         if attrs.endswith("/") and tag in ("path", "use", "circle"):
             continue
         stack.append(_Open(tag, f"{up.path}/{name}" if tag not in _INLINE else up.path, says))
@@ -178,7 +189,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def _counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, path, kind, feature, n): in how many different pages of the host a node has a content (0), a style (1), or is there (2)."""
+    """(host, path, kind, feature, n): in how many different pages of the host a node has a content (0), a style (1), is there (2), or is doubtful (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_by_bytes(batches, html_col):
@@ -186,8 +197,9 @@ def _counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             for url, page in rows:
                 if page and (site := host(url)):
                     blocks, styles = parse(page)
-                    blocks = [b for b in blocks if b[1] >= 0]
+                    blocks = [b for b in blocks if b[1] > -2]
                     own = _h("\n".join(t for _, _, t in blocks))
+                    out |= {(site, _h(p), 3, own, own) for p, says, _ in blocks if says < 0}
                     out |= {(site, _h(p), 0, _h(t), own) for p, _, t in blocks}
                     out |= {(site, _h(p), 2, own, own) for p, _, _ in blocks}
                     seen = {p for p, _, _ in blocks}
@@ -203,21 +215,23 @@ def _importance(counts: DataFrame) -> DataFrame:
     total = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     n, n_log = F.col("n"), F.col("n") * F.log("n")
     sums = counts.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("pages"),
+        F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).alias("pages"), F.max(F.col("kind") == 3).alias("doubtful"),
         total(0, n).alias("n0"), total(0, n_log).alias("l0"), total(1, n).alias("n1"), total(1, n_log).alias("l1"),
     )
     log_m = F.log(F.greatest(F.lit(2), "pages"))
     content = F.when(F.col("n0") > 0, 1 - F.col("l0") / F.col("n0") / log_m).otherwise(1.0)
     style = F.when(F.col("n1") > 0, (F.log("n1") - F.col("l1") / F.col("n1")) / log_m).otherwise(0.0)
-    return sums.select("host", "path", "pages", content.alias("content"), style.alias("style"), (GAMMA * content + (1 - GAMMA) * style).alias("importance"))
+    return sums.select("host", "path", "pages", content.alias("content"), style.alias("style"), (GAMMA * content + (1 - GAMMA) * style).alias("importance"), "doubtful")
 
 
 def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, what array<string>): hashes of nodes of low importance, and of blocks at a node that most pages have."""
+    """(host, what array<string>): hashes of nodes of low importance (with `in` if too low for main text), of blocks
+    at a node that most pages have, and with a + of doubtful nodes that stay."""
     use_checkpoints(pages.sparkSession)
     counts = _counts(pages, url_col, html_col).checkpoint()
     nodes = _importance(counts).where(F.col("pages") >= MIN_PAGES)
-    low = nodes.where(F.col("importance") < LEAST).select("host", F.col("path").cast("string").alias("what"))
+    node = lambda mark, rule: nodes.where(rule).select("host", F.concat(F.lit(mark), F.col("path").cast("string")).alias("what"))
+    low = node("", F.col("importance") < LEAST).union(node("in", F.col("importance") < LEAST_IN)).union(node("+", F.col("doubtful") & (F.col("importance") >= LEAST_DOUBTFUL)))
     # no block of fewer pages can be common; this leaves out almost all blocks before they are dealt by node
     shared = counts.where((F.col("kind") == 0) & (F.col("n") >= COMMON * MIN_PAGES)).join(nodes.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= COMMON * F.col("pages"))
     blocks = shared.select("host", F.concat_ws(" ", "path", "feature").alias("what"))
@@ -226,10 +240,17 @@ def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def main_text(page: str | None, gone: frozenset[str] | set[str]) -> str:
     """The blocks of a page that stay, joined by newlines."""
-    blocks = [b for b in parse(page)[0] if b[1] >= 0] if page else []
+    every = parse(page)[0] if page else []
+    blocks = [b for b in every if b[1] >= 0]
     if gone:
-        stays = [b for b in blocks if b[1] > 0 or not (str(_h(b[0])) in gone or f"{_h(b[0])} {_h(b[2])}" in gone)]
-        blocks = stays or blocks
+
+        def stays(path: str, says: int, text: str) -> bool:
+            h = _h(path)
+            if says < 0 and f"+{h}" not in gone:
+                return False
+            return (f"in{h}" if says > 0 else str(h)) not in gone and f"{h} {_h(text)}" not in gone
+
+        blocks = [b for b in every if b[1] > -2 and stays(*b)] or blocks
     return "\n".join(t for _, _, t in blocks)
 
 

@@ -276,3 +276,12 @@ def test_style_tree_removes_what_all_pages_share(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", -1)  # by join instead
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == got
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_decides_within_articles(spark):
+    """Boilerplate of no telling name is removed within article; a part with a doubtful class stays if it differs by page."""
+    page = lambda k: f'<article><p>Story number {k} of its own</p><p>Follow us everywhere</p><div class="box">Press the heart</div><div class="legal-history"><p>The court of case {k}</p></div><div class="share">Share this</div><div class="ad">Buy {k}</div></article><div class="related">See {k + 1}</div>'
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)] + [(100, "http://b.example/", page(100))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(12)} == {k: f"Story number {k} of its own\nThe court of case {k}" for k in range(12)}
+    assert got[100] == "Story number 100 of its own\nFollow us everywhere\nPress the heart"  # no tree
