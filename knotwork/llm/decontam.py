@@ -1,12 +1,13 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, exactly verified.
+"""Benchmark decontamination: MinHash containment search, exactly verified.
 
 Test items are short and documents long, so that the likeness of an item and a whole document says
-nothing.  Items are therefore put into partitions by their number of shingles, and a document is cut, for
-each partition, into overlapping blocks of four times the partition's largest size: an item's passage lies
-whole in one of them and fills a known share of it.  Items and blocks have one-permutation MinHash
-signatures (the smallest shingle hash of each of BINS bins); a block is only signed if it holds a value of
-an item's signature, since no other can match.  A pair whose matching bins reach half of what the
-containment asks for is a candidate; its containment is then computed from the words themselves.
+nothing.  Items therefore have one-permutation MinHash signatures (the smallest shingle hash of each of BINS
+bins), and a document is asked as a whole which values of a signature are among its shingles: their share
+estimates the containment, however long the document and wherever in it the item's parts are.  An item whose
+values reach half of what the containment asks for is a candidate; its containment is then computed from
+the words themselves.  At most a fifth of an item's shingles may be missing, so that no item whose signature
+has a third of its shingles (up to about 11,000 of them) can fall below that half; of longer ones the
+signature is a sample of some 4000 shingles.
 
 The items are read on the driver in slices of bounded size; there are as many slices, each one pass over
 the documents, as the items need.
@@ -42,7 +43,6 @@ class Item:
     length: int  # words of a shingle
     shingles: set[bytes]
     signature: np.ndarray
-    size: int  # of the partition: the next power of two
 
 
 @dataclass
@@ -68,7 +68,7 @@ def build(rows: list[tuple[int | None, str | None]]) -> Index:
             k = min(SHINGLE, n)
             h, at = runs(w.hashes(), w.first, k)
             shingles = {w.text(a, a + k) for a in at.tolist()}
-            items.append(Item(i, k, shingles, signature(h), 1 << (len(shingles) - 1).bit_length()))
+            items.append(Item(i, k, shingles, signature(h)))
     values = {}
     for k in sorted({x.length for x in items}):
         of = [(x.signature, n) for n, x in enumerate(items) if x.length == k]
@@ -81,28 +81,14 @@ def build(rows: list[tuple[int | None, str | None]]) -> Index:
     return Index(items, values)
 
 
-def _candidates(index: Index, h: np.ndarray, k: int) -> dict[int, int]:
-    """Items whose signature matches that of a block of a document, given its shingle hashes in order."""
+def _candidates(index: Index, h: np.ndarray, k: int, threshold: float) -> list[int]:
+    """Items of whose signature enough values are among the shingle hashes of a document."""
     v, of, table = index.values[k]
-    pos = np.flatnonzero(table[h >> np.uint64(44)])
-    if not len(pos):
-        return {}
-    lo, hi = np.searchsorted(v, h[pos]), np.searchsorted(v, h[pos], side="right")
-    near: set[tuple[int, int]] = set()
-    for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for n in of[a:b].tolist():
-            block = p // (2 * index.items[n].size)
-            near |= {(n, block), (n, max(0, block - 1))}
-    found: dict[int, int] = {}
-    signed: dict[tuple[int, int], np.ndarray] = {}
-    for n, block in near:
-        item = index.items[n]
-        if (key := (item.size, block)) not in signed:
-            signed[key] = signature(h[2 * item.size * block : 2 * item.size * (block + 2)])
-        same = len(np.intersect1d(signed[key], item.signature, assume_unique=True))
-        if same >= max(1, 0.5 * CONTAINMENT * len(item.signature)):
-            found[n] = max(found.get(n, 0), same)
-    return found
+    h = np.unique(h[table[h >> np.uint64(44)]])
+    lo, hi = np.searchsorted(v, h), np.searchsorted(v, h, side="right")
+    lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+    items, same = np.unique(of[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+    return [n for n, x in zip(items.tolist(), same.tolist(), strict=True) if x >= max(1, 0.5 * threshold * len(index.items[n].signature))]
 
 
 def search(index: Index, texts: list[str | None], threshold: float) -> list[list[tuple[int | None, int, int]]]:
@@ -118,7 +104,7 @@ def search(index: Index, texts: list[str | None], threshold: float) -> list[list
         hits = hits[v[np.minimum(np.searchsorted(v, h[hits]), len(v) - 1)] == h[hits]] if len(v) else hits[:0]
         for d in np.unique(np.searchsorted(bounds, hits, side="right") - 1).tolist():
             mine, start = h[bounds[d] : bounds[d + 1]], at[bounds[d] : bounds[d + 1]]
-            found = sorted(_candidates(index, mine, k))
+            found = _candidates(index, mine, k, threshold)
             if not found:
                 continue
             have = {w.text(a, a + k) for a in start.tolist()}

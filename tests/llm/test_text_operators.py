@@ -238,6 +238,20 @@ def test_decontamination_in_slices(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(12)]
 
 
+@pytest.mark.parametrize("n", [60, 2500, 4096, 8000, 20_000])
+def test_decontamination_of_long_and_parted_items(n):
+    item = [f"i{k}" for k in range(n)]
+    far = [f"x{k}" for k in range(5 * n)]
+    index = decontam.build([(1, " ".join(item)), (2, "one two three four five six seven")])
+    whole = far[:n] + item + far[n:]
+    parts = item[: n // 3] + far[: 4 * n] + item[n // 3 : 2 * n // 3] + far[4 * n :] + item[2 * n // 3 :]
+    cut = far + item[: int(0.86 * n)]
+    less = far + item[: int(0.7 * n)]
+    found = decontam.search(index, [" ".join(x) for x in (whole, parts, cut, less, far)], 0.8)
+    assert [[x[0] for x in f] for f in found] == [[1], [1], [1], [], []]
+    assert [f[0][1:] for f in found[:2]] == [(n - 4, n - 4), (n - 12, n - 4)]
+
+
 # HTML
 
 
