@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-Three patterns give the base findings, which always stay.  Every other run of 16 or more characters of
-keys that has a digit and a letter is a candidate; a small convolutional network in numpy reads it with
-the characters around it.  The network is trained on labelled findings (a parameter; by default a seeded
+Three patterns give the base findings, which always stay.  Every run of 16 or more characters of keys that
+has a letter and is not wholly within base findings is a candidate; a small convolutional network in numpy
+reads all of it with the characters around it, a long one in overlapping windows and by its parts between
+separators, of which the likeliest counts.  The network is trained on labelled findings (a parameter; by default a seeded
 set of made-up keys and of look-alikes such as addresses, numbers, versions and paths), its output is
-calibrated on held-out findings by Platt scaling, and the threshold is the highest one that keeps the
-wanted recall there.
+calibrated on held-out findings by Platt scaling, and the threshold lies between the highest one that keeps
+the wanted recall there and the likeliest look-alike below it.
 
 Defined results: a null text is an empty one without findings; texts are scanned whole; findings are in
 code points with exclusive ends; repeated rows give repeated results; other columns are left out.
@@ -29,9 +30,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # whole runs
 _WORDS = ("passw", "secret", "token", "api")
-_DIGIT, _RUN, _INSIDE = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9+/_.=-]+"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+_RUN, _PART = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), re.compile(r"[^/.=]{16,}")
 #: Shortest candidate, characters before it that the network sees, and all that it sees.
 LEAST, BEFORE, WIDTH = 16, 20, 72
+#: Step of the windows of a long candidate, and how much of it the last one has, with as much room behind as before.
+STEP, LAST = 26, WIDTH - 2 * BEFORE
 
 Span = tuple[str, int, int]
 
@@ -49,21 +52,32 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit and a letter that overlap no span taken."""
-    out, at = [], 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and text[start - 1] in _INSIDE:
-            start -= 1
-        end = _RUN.match(text, start).end()
-        at = end
+    """Runs of key characters with a letter that are not wholly within the spans taken."""
+    out = []
+    for m in _RUN.finditer(text):
+        start, end = m.span()
         while end > start and text[end - 1] in ".=-":  # the end of a sentence
             end -= 1
-        if end - start >= LEAST and any(c.isalpha() for c in text[start:end]) and not any(s < end and start < e for _, s, e in taken):
+        if end - start < LEAST or not any(c.isalpha() for c in text[start:end]):
+            continue
+        at = start
+        for _, s, e in taken:  # by start
+            if s <= at < e:
+                at = e
+        if at < end:
             out.append((start, end))
     return out
 
 
+def _windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What of a candidate the network reads at once: from its beginning, every STEP characters, its last ones, its parts."""
+    starts = {start}
+    if end - start > LAST:
+        starts |= {*range(start, end - LAST, STEP), end - LAST}
+    parts = {(start + m.start(), start + m.end()) for m in _PART.finditer(text[start:end])} if end - start > LAST else set()
+    return sorted({(s, end) for s in starts} | parts)
+
+
 def _codes(items: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """What the network sees: character codes 0 to 97 and whether each belongs to the candidate."""
     chars, mask = np.zeros((len(items), WIDTH), dtype=np.int64), np.zeros((len(items), WIDTH), dtype=np.float32)
@@ -124,9 +138,25 @@ class Network:
         return {"emb": emb, "conv": np.tensordot(s, dh, ((0, 1), (0, 1))), "bias": dh.sum((0, 1)), "out": dz @ pooled, "top": dz.sum(keepdims=True)}
 
     def probability(self, items: list[tuple[str, int, int]]) -> np.ndarray:
-        if not items:
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-(self.scale * self.forward(*_codes(items))[0] + self.shift)))
+        return 1 / (1 + np.exp(-(self.scale * self.logits(items) + self.shift)))
+
+    def logits(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """The largest output for the windows of each candidate."""
+        out = np.full(len(items), -np.inf)
+        part: list[tuple[int, tuple[str, int, int]]] = []
+
+        def read() -> None:
+            np.maximum.at(out, [k for k, _ in part], self.forward(*_codes([x for _, x in part]))[0])
+            part.clear()
+
+        for k, (text, start, end) in enumerate(items):
+            for s, e in _windows(text, start, end):
+                part.append((k, (text, s, e)))
+                if len(part) == 512:
+                    read()
+        if part:
+            read()
+        return out
 
 
 def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, int]]:
@@ -154,7 +184,9 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int
         body = g.choice(keys if label else others)()
         while len(body) < LEAST:
             body += g.choice([lambda: pick(low + dig, 4, 9), lambda: pick(low + up + dig, 6, 9)])() if label else sep() + word()
-        if not any(map(str.isdigit, body)):
+        if g.random() < 0.1:  # some have no digit
+            body = "".join(g.choice(low) if c in dig else c for c in body)
+        elif not any(map(str.isdigit, body)):
             body = body[:-1] + g.choice(dig)
         lead = " ".join(word() for _ in range(g.randint(0, 8))) + g.choice([" ", "\n", " "]) + (g.choice(before) if g.random() < (0.5 if label else 0.15) else "")
         text = lead + body + g.choice(["", " ", '" ', ". ", ", "]) + " ".join(word() for _ in range(g.randint(0, 6)))
@@ -168,28 +200,36 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
     net = Network()
     net.start()
     y = np.array([f[3] for f in findings], dtype=np.float64)
-    chars, mask = _codes([f[:3] for f in findings])
     held = np.arange(len(y)) // 2 % 4 == 3
     if not len(y) or len(set(y[~held])) < 2:
         net.threshold = 2.0  # nothing to learn from: the network adds no finding
         return net
-    fit = np.flatnonzero(~held)
+    # all windows of a candidate have its label; each is also shown as a part of a longer run
+    within = [(t[:s].replace(" ", "/") + t[s:e] + t[e:].replace(" ", "/"), s, e, label) for t, s, e, label in findings]
+    seen = [((f[0], s, e), f[3]) for f, out in zip(findings, held, strict=True) if not out for s, e in _windows(*f[:3])]
+    seen += [(f[:3], f[3]) for f, out in zip(within, held, strict=True) if not out]
+    chars, mask = _codes([x for x, _ in seen])
+    label, fit = np.array([x for _, x in seen], dtype=np.float64), np.arange(len(seen))
     g, m, v, t = np.random.default_rng(net.seed), {}, {}, 0
     for _ in range(rounds):
         for part in np.array_split(g.permutation(fit), max(1, len(fit) // 64)):
             t += 1
-            for k, d in net.step(chars[part], mask[part], y[part]).items():
+            for k, d in net.step(chars[part], mask[part], label[part]).items():
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * d
                 v[k] = 0.999 * v.get(k, 0) + 0.001 * d * d
                 net.w[k] = net.w[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    z, yy = net.forward(chars[held], mask[held])[0], y[held]
+    z, yy = net.logits([f[:3] for x in (findings, within) for f, out in zip(x, held, strict=True) if out]), np.tile(y[held], 2)
     a, b = 1.0, 0.0
     for _ in range(300):  # Platt scaling
         p = 1 / (1 + np.exp(-(a * z + b)))
         a, b = a - 0.05 * float(((p - yy) * z).mean()), b - 0.5 * float((p - yy).mean())
     net.scale, net.shift = a, b
-    p = np.sort((1 / (1 + np.exp(-(a * z + b))))[yy == 1])
-    net.threshold = float(p[int((1 - recall) * len(p))]) if len(p) else 0.5
+    p = 1 / (1 + np.exp(-(a * z + b)))
+    keys = np.sort(p[yy == 1])
+    if len(keys):
+        most = float(keys[int((1 - recall) * len(keys))])
+        # halfway to the next look-alike: no more of these are found, and keys less like those seen are
+        net.threshold = (most + float(p[(yy == 0) & (p < most)].max(initial=0.0))) / 2
     return net
 
 

@@ -198,6 +198,18 @@ def test_secrets_network():
     assert secrets.train([]).threshold > 1
 
 
+def test_secrets_are_read_whole():
+    net = secrets.train()
+    key, path = "ghp_a8Kd93jfKs0aLq27Xm4Zp1QweRt6", "/".join(["versions", "station", "onthe", "reading", "element", "vererst", "lation"])
+    words = "the station and " * 3
+    for text in (f"{words}{path}/{key} {words}", f"{words}{path}/{key}/{path} {words}", f"{words}key: sk_live_{'0a1b2c3d' * 2}XYZq7TrKd93jfKs0a {words}", f"{words}key: ghp_aXKdqZjfKsMaLqwRXmBZpQweRtTy {words}"):
+        (base, every), = secrets.scan(net, [text])
+        out = secrets.redact(text, every)
+        assert not any(x in out for x in (key, "XYZq7Tr", "ghp_", "sk_live_")), out
+    plain = f"{words}{path} {words}"
+    assert secrets.scan(net, [plain]) == [([], [])]
+
+
 def test_secrets_columns(spark, odd, none):
     net = secrets.train()
     docs = spark.createDataFrame(list(enumerate(SECRETS)) + [(99, None)], "doc_id long, text string")
