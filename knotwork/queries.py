@@ -25,6 +25,8 @@ from .sources import crawl as C
 #: Roots of the spreading queries; these words occur at every scale of the test tables.
 ROOTS = ("worthless|en", "trash|en", "clown|en")
 HOPS, LEAST = 3, 1e-4
+#: Characters of short test items that are searched in every text at once.
+SHORT_SLICE = 1 << 20
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -270,13 +272,21 @@ def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that quote a test item; they meet by the item's first five words."""
-    five = lambda t: F.slice(F.split(F.trim(t), r"\s+"), 1, 5)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(five(F.col("text")), " ").alias("key"))
-    ws = documents(spark, sf_dir).select("doc_id", F.split(F.trim("text"), r"\s+").alias("ws"))
-    grams = ws.select("doc_id", F.explode(F.array_distinct(T.ngrams("ws", 5, " "))).alias("key"))
-    near = grams.join(items, "key").select("doc_id", "item_id", "quote")
-    return near.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
+    """Documents that quote a test item; they meet by five inner words of the item, which are whole words of the
+    document too.  Items too short for that are searched in every text, in slices of bounded size."""
+    split = lambda t: F.split(t, r"\s+")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ws = split(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("quote"), F.size(ws).alias("n"), F.array_join(F.slice(ws, 2, 5), " ").alias("key"))
+    grams = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.ngrams(split(F.col("text")), 5, " "))).alias("key"))
+    near = grams.join(items.where("n >= 7"), "key").select("doc_id", "item_id", "quote").join(docs, "doc_id")
+    short = items.where("n < 7").select("item_id", "quote")
+    slices = (short.agg(F.sum(F.length("quote") + 1)).first()[0] or 0) // SHORT_SLICE + 1
+    found = near.where(F.contains("text", "quote")).select("doc_id", "item_id")
+    for k in range(slices):
+        part = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(slices)) == k)
+        found = found.union(docs.join(F.broadcast(part), F.contains("text", "quote")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 # ---- spreading

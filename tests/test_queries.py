@@ -38,3 +38,14 @@ def test_entry(spark, sf_dir):
 
     assert e.entry(spark).columns == ["type", "name", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_citations_of_short_and_cut_items(spark, tmp_path, monkeypatch):
+    items = [(1, "light and darkness"), (2, "The river of time runs on without end"), (3, "ight shines in the dark of every nigh"), (4, "one"), (5, None), (6, "a b c d e f"), (7, " a  leading and odd\tspace with more ")]
+    docs = [(1, 'He said "The river of time runs on without end".'), (2, "a light shines in the dark of every night"), (3, "on light and darkness, someone"), (4, None), (5, "(a b c d e f)"), (6, "so a  leading and odd\tspace with more of it"), (7, "a leading and odd space with more of it")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i) for d, t in docs for i, q in items if t and q and q in t}
+    for size in (1 << 20, 8):
+        monkeypatch.setattr(core, "SHORT_SLICE", size)
+        assert {tuple(r) for r in core.queries()["citation_edges"](spark, str(tmp_path)).collect()} == want
