@@ -5,13 +5,13 @@ as the next one's docs.  All but the last return the columns of documents.
 
 * language ID: learns from three of four rows (as op8), and drops rows without a language (`und`: null
   texts and texts without a letter).  The others keep their lang.
-* near-dedup: keeps the row with the smallest id of each group of linked fingerprints.
+* near-dedup: keeps one row of each group of linked fingerprints, that with the smallest id (null ids last).
 * decontamination: drops rows that contain a test item of the benchmark.
 * secret scans: every finding is replaced by [SECRET]; n_chars follows.  No row is dropped.
 * BPE: (doc_id, n_tokens, ids_sha256, decoded_sha256) of every row.
 
-Rows with a null doc_id count as texts of their own in language ID, and are dropped by near-dedup, which
-can't name them.  Of several rows with one doc_id near-dedup keeps all or none.
+Rows with a null doc_id count as texts of their own in language ID and are grouped like others by near-dedup.
+Of several rows with one doc_id near-dedup keeps one of each group; repeated rows are one.
 """
 
 from __future__ import annotations
@@ -33,8 +33,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = simhash.groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+    # a row's key is made of all its columns; rows that are the same in all of them have one key
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_key"))
+    members = simhash.groups(docs, "_key").select("_key", "component_id").distinct()
+    known = members.join(docs.select("_key", "doc_id").distinct(), "_key")
+    first = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")).select("first._key")
+    return docs.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

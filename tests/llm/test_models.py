@@ -382,6 +382,14 @@ def test_pipeline_stages_same_as_plain(spark, sf_dir):
     assert set(out["bpe"]) == set(out["secret_scans"]) == set(out["decontamination"])
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark, sf_dir):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (1, text(2)), (1, text(2)), (1, text(3)), (2, text(3)), (None, text(3)), (5, text(4)), (4, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert len(got) == 5 and set(got) == {(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (4, text(4))}
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
