@@ -26,11 +26,14 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Read spark.checkpoint.dir from the session; only where it is unset (tests) a local folder is taken."""
+    """The folder that the session names in spark.checkpoint.dir; a local one only in local mode, where all tasks share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, html_text, langid, lm, secrets, simhash, substrings, toxicity
+from . import bpe, decontam, flac, html_text, langid, lm, pipeline, secrets, simhash, substrings, toxicity
 from .common import fold, table
 
 OP6_SQL = r"""
@@ -83,7 +82,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam, "pipeline": corpus_pipeline.run}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam, "pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from knotwork.llm import bpe, decontam, flac, langid, lm, queries, secrets, simhash, toxicity
+
+from knotwork.llm import bpe, decontam, flac, langid, lm, pipeline, queries, secrets, simhash, toxicity
 from knotwork.llm.common import fold
 from tests.llm.conftest import ODD
 
@@ -343,10 +343,10 @@ def test_pipeline_stages_same_as_plain(spark, sf_dir):
     extra = spark.createDataFrame([(900_001, None), (900_002, ""), (900_003, "123 !!"), (900_004, "token = 0123456789abcdef0123 and words")], "doc_id long, text string")
     docs = docs.unionByName(extra, allowMissingColumns=True)
     rows = {r.doc_id: r for r in docs.collect()}
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "simhash_near_dedup", "decontamination", "secret_scans", "bpe"] and corpus_pipeline.ORACLE_SQL is None
+    names = [n for n, _ in pipeline.STAGES]
+    assert names == ["language_id", "simhash_near_dedup", "decontamination", "secret_scans", "bpe"] and pipeline.ORACLE_SQL is None
     out = {}
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert name == "bpe" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = spark.createDataFrame(docs.collect(), docs.schema)
@@ -386,16 +386,16 @@ def test_near_dedup_of_null_and_repeated_ids(spark, sf_dir):
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
     rows = [(None, text(0)), (None, text(1)), (None, text(1)), (1, text(2)), (1, text(2)), (1, text(3)), (2, text(3)), (None, text(3)), (5, text(4)), (4, text(4))]
     docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    got = [(r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, sf_dir).collect()]
     assert len(got) == 5 and set(got) == {(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (4, text(4))}
 
 
 def test_pipeline_runs(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
+    for _, stage in pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
         assert docs.count() == 0
