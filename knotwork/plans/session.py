@@ -20,11 +20,20 @@ def session(master: str = "local[*]", shuffle_partitions: int | None = None, **c
     return b.getOrCreate()
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Use the folder that the session names in spark.checkpoint.dir; without one only local mode, where all tasks share a disk, takes a new one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their history, from the shared checkpoint folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    use_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
