@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -54,6 +55,22 @@ def test_bpe_forgets(monkeypatch):
         assert small.encode(t) == c.encode(t)
 
 
+def test_bpe_long_words():
+    """Words of many letters without repeats: as the library, and in time that grows about with the length."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_truncation(), t.no_padding()
+    c, g = bpe.Codec(bpe.default_vocabulary()), random.Random(8)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 30_000), ("aeinrst", 30_000), ("ab", 20_000), ("日本語aßñ", 9_000)):
+        word = "".join(g.choices(letters, k=n))
+        assert np.frombuffer(c.encode([f"x {word} y"])[0][0], "<u4").tolist() == t.encode(f"x {word} y", add_special_tokens=False).ids
+    assert max(map(len, c.words)) <= bpe.LONG  # such words are not remembered
+    began = time.perf_counter()
+    assert c.encode(["".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])[0][2] > 100_000
+    assert time.perf_counter() - began < 60
+
+
 # SimHash
 
 
