@@ -1,9 +1,11 @@
-"""Words of many texts at once: bounds, 64-bit hashes of words and of runs of words, and blocks of texts.
-
-Words are `[^\\x20\\x09-\\x0D]+`.  A hash is a polynomial over the bytes (or over the hashes of the words),
-taken from prefix sums, so that its cost does not depend on the length.  A block is a bounded number of
-whole texts, packed into one binary value; it is what a task works on, asks others about, and gets its
-answers for.
+"""Words of many texts at once: bounds, hashes of words and of runs of words, and blocks of texts.
+
+Words are `[^\\x20\\x09-\\x0D]+`.  A word's hash is XXH3 (128 bits, in two lanes of 64), computed once for each
+different word of a block.  The hash of a run is joined from those of its halves, quarters and so on; every
+join mixes all bits, and the lanes use different factors, so that no regular sequence of words (two words in
+any pattern, say) makes two runs alike in a lane more often than chance, once in 2^64.  A block is a bounded
+number of whole texts, packed into one binary value; it is what a task works on, asks others about, and gets
+its answers for.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,11 +24,9 @@ from .common import arrow_batch, rows_by_bytes
 
 #: Characters of text in a block, and bytes that are hashed at once.
 BLOCK, PIECE = 16 << 20, 1 << 20
-#: Stands for a null id; it sorts behind all others.
-NO_ID = np.iinfo(np.int64).max
 _IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_VALUES = [np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (1, 2)]
+_VALUES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -45,19 +46,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, factor: int) -> np.ndarray:
-    """Polynomial hashes of ranges of values, whatever their position."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(factor, len(values))[: len(values)], out=sums[1:])
-    inverse = pow(factor, -1, 1 << 64)
-    return mix((sums[end] - sums[start]) * _powers(inverse, len(values) + 1)[start])
+def _join(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of what consists of two parts in this order."""
+    return mix(a * np.uint64(_FACTORS[lane]) + b)
+
+
+def run_hashes(hashes: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hashes of all n consecutive elements, by joining ever longer parts."""
+    part, width, out, have = hashes, 1, None, 0
+    while True:
+        if n & width:
+            out, have = part if out is None else _join(out[: len(part) - have], part[have:], lane), have + width
+        if have == n:
+            return out
+        part, width = _join(part[:-width], part[width:], lane), 2 * width
 
 
 class Parts:
-    """Hashes of any parts of a string of bytes."""
+    """Hashes of any short parts of a string of bytes: polynomials from prefix sums."""
 
     def __init__(self, data: bytes):
-        values = _VALUES[0][np.frombuffer(data, dtype=np.uint8)]
+        values = _VALUES[np.frombuffer(data, dtype=np.uint8)]
         self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * _powers(_FACTORS[0], len(values))[: len(values)], out=self.sums[1:])
         self.inverse = _powers(pow(_FACTORS[0], -1, 1 << 64), len(values) + 1)
@@ -74,19 +83,24 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    #: number of each word among the different ones, and both lanes of these
+    of: np.ndarray | None = None
+    table: np.ndarray | None = None
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A hash of each word."""
-        out = np.empty(len(self.start), dtype=np.uint64)
-        raw = np.frombuffer(self.data, dtype=np.uint8)
-        w = 0
-        while w < len(out):
-            lo = int(self.start[w])
-            stop = max(w + 1, int(np.searchsorted(self.end, lo + PIECE, side="right")))
-            part = _VALUES[lane][raw[lo : int(self.end[stop - 1])]]
-            out[w:stop] = _ranges(part, self.start[w:stop] - lo, self.end[w:stop] - lo, _FACTORS[lane])
-            w = stop
-        return out
+        if self.of is None:
+            known: dict[bytes, int] = {}
+            self.of, w = np.empty(len(self.start), dtype=np.int32), 0
+            while w < len(self.of):
+                stop = max(w + 1, int(np.searchsorted(self.end, int(self.start[w]) + PIECE, side="right")))
+                part = self.data[int(self.start[w]) : int(self.end[stop - 1])].split()
+                for x in set(part).difference(known):
+                    known[x] = len(known)
+                self.of[w:stop] = np.fromiter(map(known.__getitem__, part), dtype=np.int32, count=stop - w)
+                w = stop
+            self.table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), dtype=np.uint64).reshape(-1, 2)
+        return self.table[self.of, lane]
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b - 1, joined by one space."""
@@ -111,8 +125,7 @@ def runs(hashes: np.ndarray, first: np.ndarray, n: int, lane: int = 0) -> tuple[
     out = np.empty(len(at), dtype=np.uint64)
     for lo in range(0, len(at), PIECE):
         a = at[lo : lo + PIECE]
-        part = hashes[int(a[0]) : int(a[-1]) + n]
-        out[lo : lo + PIECE] = _ranges(part, a - a[0], a - a[0] + n, _FACTORS[1 - lane])
+        out[lo : lo + PIECE] = run_hashes(hashes[int(a[0]) : int(a[-1]) + n], n, lane)[a - a[0]]
     return out, at
 
 
@@ -125,16 +138,18 @@ def unpack_array(b: bytes, dtype: str | type) -> np.ndarray:
 
 
 def pack_texts(ids: list[int | None], texts: list[bytes]) -> bytes:
-    head = np.array([len(ids), *(NO_ID if i is None else i for i in ids), *map(len, texts)], dtype=np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(texts), 1)
+    head = np.array([len(ids), *(i or 0 for i in ids), *map(len, texts)], dtype=np.int64)
+    return zstandard.compress(head.tobytes() + bytes(i is None for i in ids) + b"".join(texts), 1)
 
 
-def unpack_texts(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+def unpack_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids (0 where null), which of them are null, and texts."""
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
     head = np.frombuffer(raw, dtype=np.int64, count=2 * n + 1)
-    at = (8 * (2 * n + 1) + np.cumsum([0, *head[n + 1 :]])).tolist()
-    return head[1 : n + 1], [raw[a:b] for a, b in zip(at, at[1:])]
+    null = np.frombuffer(raw, dtype=bool, count=n, offset=8 * (2 * n + 1))
+    at = (8 * (2 * n + 1) + n + np.cumsum([0, *head[n + 1 :]])).tolist()
+    return head[1 : n + 1], null, [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 def blocks(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:

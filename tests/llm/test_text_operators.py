@@ -177,8 +177,9 @@ def plain_removal(rows, n=20):
 @pytest.mark.parametrize("small", [False, True])
 def test_substrings_same_as_plain(spark, odd, none, monkeypatch, small):
     if small:  # many blocks and ranges, and a sketch so narrow that it often overestimates
-        monkeypatch.setattr(substrings, "RANGE", 5000)
-        monkeypatch.setattr(substrings, "SPARE", 0)
+        monkeypatch.setattr(substrings, "RANGE", 500)
+        monkeypatch.setattr(substrings, "SLICE", 500)
+        monkeypatch.setattr(substrings, "SPARE", -3)
         monkeypatch.setattr(words.blocks, "__defaults__", ("doc_id", "text", 3000))
     g = random.Random(1)
     vocabulary = [f"w{k}" for k in range(50)]
@@ -192,6 +193,34 @@ def test_substrings_same_as_plain(spark, odd, none, monkeypatch, small):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def thue(n):
+    """Two words in the pattern under which polynomials modulo a power of two collide."""
+    return ["ab"[bin(k).count("1") % 2] for k in range(n)]
+
+
+def test_substrings_of_regular_sequences(spark):
+    """Windows of two words in regular patterns, and words of two letters in them, are told apart."""
+    t = thue(4096)
+    other = ["ba"[x == "b"] for x in t]
+    long_words = ["".join(t[k : k + 1024]) for k in range(0, 3072, 512)] + ["".join(other[k : k + 1024]) for k in range(0, 3072, 512)]
+    rows = [(1, " ".join(t[:2048])), (2, " ".join(other[:2048])), (3, " ".join(long_words * 2)), (4, " ".join(reversed(long_words))), (2**63 - 1, "a " * 30), (None, "a " * 30), (-5, "b " * 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (20, 1024):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, window=window).collect()}
+        assert got == plain_removal(rows, window)
+
+
+def test_op6_and_op10_same_as_sql(spark, sf_dir):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = db.execute(sql).df()
+        got = queries.queries()[name](spark, sf_dir).toPandas()
+        text = lambda d: d[sorted(want.columns)].astype(str).sort_values(sorted(want.columns)).reset_index(drop=True)  # noqa: B023, E731
+        assert len(want) and text(got).equals(text(want)), name
+
+
 def test_substrings_texts(spark):
     t = " ".join(f"x{k}" for k in range(25))
     docs = spark.createDataFrame([(2, t + " end"), (1, t)], "doc_id long, text string")
@@ -212,6 +241,11 @@ def test_word_hashes(monkeypatch):
     runs = [tuple(t.split()[k : k + 3]) for t in texts for k in range(len(t.split()) - 2)]
     assert len(h) == len(runs) == len(at)
     assert len(set(zip(runs, h.tolist(), strict=True))) == len(set(runs)) == len(set(h.tolist()))
+    for lane in (0, 1):  # regular sequences of two words: as many hashes as runs
+        w = words.words([" ".join(thue(1 << 12)).encode()])
+        for n in (20, 64, 1024, 2047):
+            h, at = words.runs(w.hashes(lane), w.first, n, lane)
+            assert len(set(h.tolist())) == len({tuple(thue(1 << 12)[k : k + n]) for k in at.tolist()})
 
 
 # decontamination
