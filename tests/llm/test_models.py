@@ -370,7 +370,7 @@ def test_pipeline_stages_same_as_plain(spark, sf_dir):
     first = {i for i in ids if root(i) == i}
     assert set(out["simhash_near_dedup"]) == first
     items = [decontam.build([tuple(r)]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    bad = {i for i in first if any(decontam.search(x, [rows[i].text], 0.8)[0] for x in items)}
+    bad = {i for i in first if any(decontam.search(x, [rows[i].text])[0] for x in items)}
     assert set(out["decontamination"]) == first - bad and bad
     net = secrets.train()
     for i, r in out["secret_scans"].items():
