@@ -3,10 +3,11 @@
 Two fingerprints of 64 bits that differ in at most 3 bits agree in at least 5 of their 8 bytes.  The index
 holds every different fingerprint once under 8 keys, each of three byte positions with their values: of
 any five positions three lie in the same half of the fingerprint, so every pair to be found meets under a
-key.  A key's task counts the agreeing bytes of pairs and verifies those with 5 or more.  Large keys are
-split by two further positions; what then agrees in five bytes differs in 24 bits at most, and its links
-are found by flipping up to three of these, in time proportional to the number of fingerprints.  A key
-returns links of each fingerprint to the smallest one of its group of linked ones, never all pairs.
+key.  A key's task tallies the agreeing bytes of pairs and verifies those with 5 or more.  The tally is the
+same for keys of every size: one with too many fingerprints is dealt by two further positions, of all pairs
+of them, and what is still too large by three half-bytes more (of the six that are left, at least three
+agree), under which there are 4096 fingerprints at most.  A key returns links of each fingerprint to the
+smallest one of its group of linked ones, never all pairs.
 
 Defined results: a null or word-less text has fingerprint zero and is linked like any other; a text of
 one or two words has the fingerprint of its whole sequence; equal texts always share a component; other
@@ -34,9 +35,9 @@ SHINGLE, SEED = 3, 42
 BITS, AGREE = 3, 5
 #: The positions of each key: all threes within each half of the fingerprint.
 KEYS = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-#: Fingerprints of a key that are compared pair by pair.
+#: Fingerprints of a key that a task tallies as they are; more are dealt by finer keys within the task.
 PAIRWISE = 2048
-#: Fingerprints of a key above which it is dealt to finer keys.
+#: Fingerprints of a key that one task gets; more are dealt to several.
 SPLIT = 50_000
 _POP = np.array([bin(k).count("1") for k in range(1 << 16)], dtype=np.uint8)
 
@@ -97,77 +98,95 @@ def _agreeing(x: np.ndarray) -> np.ndarray:
     return (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
 
 
-def _pairwise(fp: np.ndarray, at: np.ndarray, groups: _Groups) -> None:
-    for lo in range(0, len(at), 256):
-        d = fp[at[lo : lo + 256], None] ^ fp[None, at[lo:]]
-        i, j = np.nonzero(_agreeing(d) >= AGREE)
-        near = _popcount(d[i, j]) <= BITS
-        groups.link(at[lo + i[near]], at[lo + j[near]])
+def _finer(k: int, j: int = -1) -> list[list[tuple[int, int]]]:
+    """What a key is dealt by, each a list of bit fields (shift, width): pairs of its other byte positions, or threes of the six half-bytes left by these."""
+    others = [p for p in range(8) if p not in KEYS[k]]
+    pairs = list(combinations(others, AGREE - len(KEYS[k])))
+    if j < 0:
+        return [[(8 * p, 8) for p in two] for two in pairs]
+    halves = [8 * p + h for p in others if p not in pairs[j] for h in (0, 4)]
+    return [[(s, 4) for s in three] for three in combinations(halves, len(halves) - BITS)]
+
+
+def _tally(fp: np.ndarray, at: np.ndarray, k: int, j: int, i: int, groups: _Groups) -> None:
+    """Link what is near among these fingerprints of a key."""
+    if len(at) > 64 and (groups.up[at] == groups.up[at[0]]).all():
+        return  # linked already
+    if len(at) <= PAIRWISE or i >= 0:
+        for lo in range(0, len(at), 256):
+            d = fp[at[lo : lo + 256], None] ^ fp[None, at[lo:]]
+            a, b = np.nonzero(_agreeing(d) >= AGREE)
+            near = _popcount(d[a, b]) <= BITS
+            groups.link(at[lo + a[near]], at[lo + b[near]])
+        return
+    for n, fields in enumerate(_finer(k, j)):
+        code = _codes(fp[at], fields)
+        order = np.argsort(code, kind="stable")
+        for part in np.split(at[order], np.flatnonzero(np.diff(code[order])) + 1):
+            if len(part) > 1:
+                _tally(fp, part, k, *((n, -1) if j < 0 else (j, n)), groups)
+
+
+def linked(fp: np.ndarray, k: int, j: int = -1, i: int = -1) -> np.ndarray:
+    """For each of the different fingerprints of a key, the place of the smallest one of its group of linked ones."""
+    groups = _Groups(len(fp))
+    _tally(fp, np.arange(len(fp)), k, j, i, groups)
+    return groups.root()
 
 
-def _by_flips(fp: np.ndarray, at: np.ndarray, free: tuple[int, ...], groups: _Groups) -> None:
-    """Links among fingerprints that agree in all but three bytes."""
-    own = fp[at]
-    order = np.argsort(own, kind="stable")
-    own, at = own[order], at[order]
-    bits = [np.uint64(1) << np.uint64(8 * p + k) for p in free for k in range(8)]
-    for n in range(1, BITS + 1):
-        for chosen in combinations(bits, n):
-            other = own ^ np.bitwise_or.reduce(chosen)
-            k = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            hit = (own[k] == other) & (other > own)
-            if hit.any():
-                groups.link(at[hit], at[k[hit]])
+def _codes(fp: np.ndarray, fields: list[tuple[int, int]]) -> np.ndarray:
+    """These bits of each fingerprint as one number."""
+    return sum((fp >> np.uint64(s) & np.uint64((1 << w) - 1)) << np.uint64(w * f) for f, (s, w) in enumerate(fields))
 
 
-def _others(fixed: tuple[int, ...]) -> tuple[int, ...]:
-    return tuple(p for p in range(8) if p not in fixed)
+def _code(positions: tuple[int, ...]) -> Column:
+    """The bytes of fp at these positions as one number."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255), 8 * n) for n, p in enumerate(positions)])
 
 
-def linked(fp: np.ndarray, fixed: tuple[int, ...]) -> np.ndarray:
-    """For each of the different fingerprints that agree in the fixed positions, the place of the smallest one of its group of linked ones."""
-    groups = _Groups(len(fp))
-    if len(fp) <= PAIRWISE:
-        _pairwise(fp, np.arange(len(fp)), groups)
-    elif len(fixed) == AGREE:
-        _by_flips(fp, np.arange(len(fp)), _others(fixed), groups)
-    else:
-        byte = fp.view(np.uint8).reshape(-1, 8)
-        for two in combinations(_others(fixed), AGREE - len(fixed)):
-            code = byte[:, two[0]].astype(np.int64) << 8 | byte[:, two[1]]
-            order = np.argsort(code, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                if 1 < len(at) <= PAIRWISE:
-                    _pairwise(fp, at, groups)
-                elif len(at) > 1:
-                    _by_flips(fp, at, _others((*fixed, *two)), groups)
-    return groups.root()
+def _dealt_finer(rows: DataFrame) -> DataFrame:
+    """(fp, k, j, i, v) of keys that are too large, under all their finer keys; v holds all bits that a key fixes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, k, j, v = (batch.column(c).to_numpy() for c in ("fp", "k", "j", "v"))
+            for kj in np.unique(k * 100 + j).tolist():
+                k0, j0 = divmod(kj + 1, 100)
+                j0 -= 1
+                m = (k == k0) & (j == j0)
+                for n, fields in enumerate(_finer(k0, j0)):
+                    code = v[m] << sum(w for _, w in fields) | _codes(fp[m].view(np.uint64), fields).view(np.int64)
+                    number = np.full(len(code), n, dtype=np.int32)
+                    yield arrow_batch({"fp": (fp[m], pa.int64()), "k": (k[m], pa.int32()), "j": (number if j0 < 0 else j[m], pa.int32()), "i": (number if j0 >= 0 else number * 0 - 1, pa.int32()), "v": (code, pa.int64())})
 
-def _code(positions: tuple[int, ...]) -> Column:
-    """The bytes of fp at these positions as one number."""
-    parts = [F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255), 8 * k) for k, p in enumerate(positions)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+    return rows.select("fp", "k", "j", "v").mapInArrow(run, "fp long, k int, j int, i int, v long")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints (column fp), enough to connect whatever is connected."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), _code(ps).alias("v")) for k, ps in enumerate(KEYS)])
-    # a key with very many fingerprints is dealt by five bytes, under which there are 2**24 at most
-    pairs = {k: list(combinations(_others(ps), AGREE - len(ps))) for k, ps in enumerate(KEYS)}
-    finer = reduce(lambda out, k: out.when(F.col("k") == k, F.array(*[F.struct(F.lit(j).alias("j"), _code(two).alias("w")) for j, two in enumerate(pairs[k])])), pairs, F)
-    whole = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("w")))
+    use_checkpoints(fps.sparkSession)
 
     def near(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(rows["fp"].to_numpy().view(np.uint64))
-        root = linked(fp, KEYS[key[0]] + (pairs[key[0]][key[2]] if key[2] >= 0 else ()))
+        root = linked(fp, *key[:3])
         m = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[m].view(np.int64), "b": fp[root[m]].view(np.int64)})
 
-    index = fps.select("fp").distinct().select("fp", F.explode(keys).alias("e")).select("fp", F.col("e.k").alias("k"), F.col("e.v").alias("v"))
-    shared = index.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = index.join(shared, ["k", "v"]).select("fp", "k", "v", F.explode(F.when(F.col("n") <= SPLIT, whole).otherwise(finer)).alias("s"))
-    return dealt.select("fp", "k", "v", F.col("s.j").alias("j"), F.col("s.w").alias("w")).groupBy("k", "v", "j", "w").applyInPandas(near, "a long, b long")
+    key, none = ["k", "j", "i", "v"], F.lit(-1)
+    every = F.array(*[F.struct(F.lit(k).alias("k"), _code(ps).alias("v")) for k, ps in enumerate(KEYS)])
+    index = fps.select("fp").distinct().select("fp", F.explode(every).alias("e")).select("fp", F.col("e.k").alias("k"), none.alias("j"), none.alias("i"), F.col("e.v").alias("v"))
+    out: list[DataFrame] = []
+    for level in range(3):
+        if level == 2:
+            out.append(index)  # 4096 fingerprints of a key at most
+            break
+        sizes = index.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").checkpoint()
+        out.append(index.join(sizes.where(F.col("_n") <= SPLIT).drop("_n"), key))
+        large = sizes.where(F.col("_n") > SPLIT).drop("_n")
+        if large.isEmpty():
+            break
+        index = _dealt_finer(index.join(large, key)).checkpoint()
+    return reduce(DataFrame.unionByName, out).groupBy(key).applyInPandas(near, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -119,36 +120,66 @@ def test_simhash_odd_texts(odd, none):
 
 @pytest.mark.parametrize("pairwise", [2048, 20])
 def test_linked_keys_same_as_plain(monkeypatch, pairwise):
-    """A dense cloud: all pairs at once, and by flipped bits under finer keys."""
+    """A dense cloud: all pairs at once, and dealt by further bytes and half-bytes."""
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     g = np.random.default_rng(5)
     center = int(g.integers(0, 1 << 62))
     fp = np.unique(np.array([center ^ sum(1 << int(b) for b in g.choice(64, g.integers(0, 6), replace=False)) for _ in range(300)], dtype=np.uint64))
     edges, place = [], {int(f): k for k, f in enumerate(fp)}
-    for key in simhash.KEYS:
+    for number, key in enumerate(simhash.KEYS):
         byte = fp.view(np.uint8).reshape(-1, 8)[:, list(key)].astype(np.int64)
         code = byte[:, 0] << 16 | byte[:, 1] << 8 | byte[:, 2]
         for v in np.unique(code):
             part = fp[code == v]
-            edges += [(place[int(part[k])], place[int(part[r])]) for k, r in enumerate(simhash.linked(part, key))]
+            edges += [(place[int(part[k])], place[int(part[r])]) for k, r in enumerate(simhash.linked(part, number))]
     assert plain_groups(edges, len(fp)) == plain_groups(plain_links(fp), len(fp))
 
 
 def test_every_close_pair_meets_under_a_key():
     """Any five positions hold one of the keys."""
-    from itertools import combinations
-
     assert all(any(set(k) <= set(five) for k in simhash.KEYS) for five in combinations(range(8), 5))
+    for k, key in enumerate(simhash.KEYS):  # what a key is dealt by covers all ways to agree in two bytes more, and in half of the half-bytes left
+        others = set(range(8)) - set(key)
+        assert {tuple(s // 8 for s, _ in f) for f in simhash._finer(k)} == set(combinations(sorted(others), 2))
+        assert all(len({tuple(f) for f in simhash._finer(k, j)}) == 20 for j in range(10))
+
+
+@pytest.mark.parametrize("n", [3000, 20_000])
+def test_dense_groups_of_real_size(n):
+    """Thousands of fingerprints around one: linked as plain breadth-first search over flipped bits does, in bounded time."""
+    g = np.random.default_rng(n)
+    center = int(g.integers(0, 1 << 62))
+    fp = np.unique(np.array([center ^ sum(1 << int(b) for b in g.choice(24, g.integers(0, 9), replace=False)) for _ in range(n)], dtype=np.uint64))
+    began = time.perf_counter()
+    root = simhash.linked(fp, simhash.KEYS.index((5, 6, 7)))
+    assert time.perf_counter() - began < 60
+    place, flips = {int(f): k for k, f in enumerate(fp)}, [sum(1 << b for b in bits) for m in (1, 2, 3) for bits in combinations(range(24), m)]
+    left, own = set(place), {}
+    for f in map(int, fp):
+        if f in left:
+            left.discard(f)
+            queue = [f]
+            for x in queue:
+                own[x] = place[f]
+                near = [x ^ b for b in flips if x ^ b in left]
+                left.difference_update(near)
+                queue += near
+    assert root.tolist() == [own[int(f)] for f in fp]
 
 
 def test_split_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT", 2)
-    fp = [0, 1, 3, 7, 15, 31, 1 << 40, 0xFF << 56, 0xFE << 56]
+    fp = [0, 1, 3, 7, 31, 0xFF << 56, 0xFE << 56]
     df = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in fp], "fp long")
     roots = {r.node % (1 << 64): r.root % (1 << 64) for r in components.components(simhash.links(df)).collect()}
     own = plain_groups(plain_links(fp), len(fp))
     same = lambda a, b: (roots.get(a, a) == roots.get(b, b)) == (own[fp.index(a)] == own[fp.index(b)])
     assert all(same(a, b) for a in fp for b in fp)
+    cloud = [sum(1 << int(b) for b in np.random.default_rng(k).choice(20, k % 5, replace=False)) for k in range(14)]
+    cloud = sorted(set(cloud))
+    roots = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(x,) for x in cloud], "fp long"))).collect()}
+    own = plain_groups(plain_links(cloud), len(cloud))
+    assert [roots.get(x, x) for x in cloud] == [cloud[k] for k in own]
 
 
 def test_components(spark):
