@@ -14,8 +14,13 @@ such as nav, footer, form or class="ad" are always out: what they say may differ
 their importance can be that of an article.  Hosts with fewer than MIN_PAGES different pages have no tree to
 learn from: there the markup decides alone, doubtful branches are out and all others stay.
 
-What is to be removed is a short list for each host; it is broadcast if its measured size allows, and
-joined by host otherwise.
+What is to be removed is a table of nodes and blocks of hosts.  It is broadcast if its measured size allows;
+otherwise every page sends the few entries that would concern it, and gets back those that are in the table,
+so that no page, host or task ever holds more than a page's own entries.
+
+Elements without text of their own (script, svg, iframe and the like) are left out with what is in them.  One
+that closes itself, or is never closed, has nothing in it; a script or style that is never closed goes on to
+the end of the element around it.
 
 Defined results: null html gives an empty text; a null or odd url is a host of its own without a tree; a
 page whose undecided branches would all go keeps them; broken markup is read as far as it goes; repeated
@@ -53,6 +58,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _set = lambda s: frozenset(s.split())
 _VOID = _set("area base br col embed hr img input link meta param source track wbr")
 _RAW = _set("script style noscript template iframe textarea title xmp noembed noframes svg math canvas object audio video select")
+_CODE = _set("script style")
 _INLINE = _set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br")
 _CLOSES = {"p": _set("p"), "li": _set("li p"), "dt": _set("dt dd p"), "dd": _set("dt dd p"), "tr": _set("tr td th p"), "td": _set("td th p"), "th": _set("td th p")}
 _NO_P = _set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul figure figcaption details")
@@ -155,11 +161,16 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
         stack[-1].children.append(tag)
         if tag in _VOID:
             continue
+        attrs = m[3] or m[6] or ""
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = None if attrs.rstrip().endswith("/") else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in _CODE and not attrs.rstrip().endswith("/"):
+                around = "|".join({re.escape(e.tag) for e in stack[1:]})
+                end = re.compile(rf"</(?:{around})\b", re.I).search(page, at) if around else None
+                at = end.start() if end else n
             continue
-        attrs = m[3] or m[6] or ""
         name, says = _element(tag, attrs)
         up = stack[-1]
         if -2 in (up.says, says) or says < 0 == up.says:
@@ -225,8 +236,8 @@ def _importance(counts: DataFrame) -> DataFrame:
 
 
 def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, what array<string>): hashes of nodes of low importance (with `in` if too low for main text), of blocks
-    at a node that most pages have, and with a + of doubtful nodes that stay."""
+    """(host, what): hashes of nodes of low importance (with `in` if too low for main text), of blocks at a node that
+    most pages have, and with a + of doubtful nodes that stay."""
     use_checkpoints(pages.sparkSession)
     counts = _counts(pages, url_col, html_col).checkpoint()
     nodes = _importance(counts).where(F.col("pages") >= MIN_PAGES)
@@ -234,21 +245,24 @@ def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     low = node("", F.col("importance") < LEAST).union(node("in", F.col("importance") < LEAST_IN)).union(node("+", F.col("doubtful") & (F.col("importance") >= LEAST_DOUBTFUL)))
     # no block of fewer pages can be common; this leaves out almost all blocks before they are dealt by node
     shared = counts.where((F.col("kind") == 0) & (F.col("n") >= COMMON * MIN_PAGES)).join(nodes.select("host", "path", "pages"), ["host", "path"]).where(F.col("n") >= COMMON * F.col("pages"))
-    blocks = shared.select("host", F.concat_ws(" ", "path", "feature").alias("what"))
-    return low.union(blocks).groupBy("host").agg(F.collect_set("what").alias("what"))
+    return low.union(shared.select("host", F.concat_ws(" ", "path", "feature").alias("what")))
+
 
+def _entries(path: str, says: int, text: str) -> tuple[str, ...]:
+    """What may be said in the table of a block: that it goes by its node, or by itself; of a doubtful one, that it stays."""
+    h = _h(path)
+    return (f"in{h}" if says > 0 else str(h), f"{h} {_h(text)}", *([f"+{h}"] if says < 0 else []))
 
-def main_text(page: str | None, gone: frozenset[str] | set[str]) -> str:
-    """The blocks of a page that stay, joined by newlines."""
+
+def main_text(page: str | None, said: frozenset[str] | set[str]) -> str:
+    """The blocks of a page that stay, joined by newlines; `said` are the table's entries of its host, or those of the page."""
     every = parse(page)[0] if page else []
     blocks = [b for b in every if b[1] >= 0]
-    if gone:
+    if said:
 
         def stays(path: str, says: int, text: str) -> bool:
-            h = _h(path)
-            if says < 0 and f"+{h}" not in gone:
-                return False
-            return (f"in{h}" if says > 0 else str(h)) not in gone and f"{h} {_h(text)}" not in gone
+            node, own, *kept = _entries(path, says, text)
+            return node not in said and own not in said and all(k in said for k in kept)
 
         blocks = [b for b in every if b[1] > -2 and stays(*b)] or blocks
     return "\n".join(t for _, _, t in blocks)
@@ -257,19 +271,21 @@ def main_text(page: str | None, gone: frozenset[str] | set[str]) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every whole page."""
     table = removals(pages, url_col, html_col).checkpoint()
-    size = table.agg(F.sum(F.size("what"))).first()[0] or 0
     schema = f"{id_col} long, {url_col} string, text string, n_chars long"
 
-    def made(rows: list[tuple], gone: list) -> pa.RecordBatch:
-        texts = [main_text(r[2], set(g)) for r, g in zip(rows, gone, strict=True)]
+    def made(rows: list[tuple], said: list) -> pa.RecordBatch:
+        texts = [main_text(r[2], x) for r, x in zip(rows, said, strict=True)]
         return arrow_batch({
             id_col: ([r[0] for r in rows], pa.int64()), url_col: ([r[1] for r in rows], pa.string()),
             "text": (texts, pa.string()), "n_chars": (list(map(len, texts)), pa.int64()),
         })
 
     pages = pages.select(id_col, url_col, html_col)
-    if size <= BROADCAST_ROWS:
-        known = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["what"]) for r in table.collect()})
+    if table.count() <= BROADCAST_ROWS:
+        by_host: dict[str, set[str]] = {}
+        for r in table.collect():
+            by_host.setdefault(r["host"], set()).add(r["what"])
+        known = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in rows_by_bytes(batches, html_col):
@@ -277,10 +293,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return pages.mapInArrow(run, schema)
 
+    pages = pages.withColumn("_key", F.monotonically_increasing_id())  # of a scan: the same when a task runs again
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_by_bytes(batches, html_col):
+            asked = [(key, site, x) for _, url, page, key in rows if page and (site := host(url)) for x in {x for b in parse(page)[0] if b[1] > -2 for x in _entries(*b)}]
+            columns = list(zip(*asked, strict=True)) or [[]] * 3
+            yield arrow_batch({"_key": (columns[0], pa.int64()), "host": (columns[1], pa.string()), "what": (columns[2], pa.string())})
+
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_by_bytes(batches, html_col):
-            yield made(rows, [r[3] or () for r in rows])
+            yield made(rows, [frozenset(r[3] or ()) for r in rows])
 
-    site = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    joined = pages.withColumn("_host", site).join(table.withColumnRenamed("host", "_host"), "_host", "left")
-    return joined.select(id_col, url_col, html_col, "what").mapInArrow(run_joined, schema)
+    said = pages.mapInArrow(ask, "_key long, host string, what string").join(table, ["host", "what"]).groupBy("_key").agg(F.collect_set("what").alias("_said"))
+    return pages.join(said, "_key", "left").select(id_col, url_col, html_col, "_said").mapInArrow(run_joined, schema)

@@ -376,6 +376,8 @@ def test_html_same_as_plain(spark, sf_dir):
     ("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>", "a\nb\n1\n2\n3"), ("<p>a &lt;b&gt; &amp; c &nbsp; &eacute; < d", "a <b> & c é < d"), ('<p title="x>y">t</p><!-- open', "t"), ("<scr", ""), ('<p class="x', ""),
     ('<article><h1>T</h1><script>if(a<b)"</p>"</script><p>x</article><footer>f', "T\nx"), ('<body class="has-sidebar"><p>z</p>', "z"), ("<main><aside>a</aside><form>f</form><p>k</p></main>", "k"),
     ('<article><p>k</p><section id="comments"><p>c</p></section><div class="cookie-notice">n</div></article>', "k"), ("<header><h1>h</h1></header><nav>n</nav><article>k</article>", "k"), ("<p>" * 3000 + "deep", "deep"),
+    ("<article><svg/><p>hello world</p></article>", "hello world"), ('<article><p>a</p><iframe src="x"/><p>b</p><svg><path d="M0"/></svg><p>c</p></article>', "a\nb\nc"), ("<article><p>a</p><canvas><p>b</p></article><p>c</p>", "a\nb\nc"),
+    ("<article><p>a</p><script>var x = 1;</article><p>c</p>", "a\nc"), ("<p>a</p><select><option>o</option></select><math/><p>b</p><svg>t</svg>", "a\nb"), ("<p>a</p><style>p{}", "a"),
     ('<div role="navigation">n</div><div hidden>h</div><div style="display: none">s</div><p>k</p>', "k"), ("<style>s</style><noscript>n</noscript><p>a\n\t b</p>", "a b"),
 ])
 def test_main_text(page, want):
