@@ -249,13 +249,41 @@ def test_toxicity_held_out(spark, toxic_world):
     got = {r.doc_id: r for r in toxicity.predict(docs, m).collect()}
     held = [i for i in got if crc(i, 5) == 0]
     assert all(got[i].predicted == y[i] for i in held)
-    hidden = ["m0r0nic", "mor0n1c", "$o d1rtb@g", "g r u m p f a c e", "grumpfaaaace", "d.i.r.t.b.a.g", "DIRTBAG!!!"]
+    hidden = ["m0r0nic", "mor0n1c", "$o d1rtb@g", "g r u m p f a c e", "grumpfaaaace", "d.i.r.t.b.a.g", "DIRTBAG!!!", "dirrtbag", "ddirtbag", "erson a d i r t b @ g on"]
     rows = spark.createDataFrame([(k, f"the erson {t} anti on") for k, t in enumerate(hidden)] + [(50, "the erson anti 10 a b c 3.14 mail2.on@er.com"), (51, None), (52, "")], "doc_id long, text string")
     p = {r.doc_id: r for r in toxicity.predict(rows, m, restored=True).collect()}
     assert {i for i, r in p.items() if r.predicted} == set(range(len(hidden))), {i: r.restored for i, r in p.items()}
     assert p[51].score == p[52].score == p[50].score < 0.3
 
 
+def test_toxicity_decoding_is_the_best_of_all_paths():
+    """Every way through the lattice, scored plainly."""
+    text = "you are a stupid person and i hate this idiot letter of the loser; pass all good coffee to a silly moron"
+    m = toxicity.CharModel(toxicity.trigrams(text * 3))
+
+    def every(token):
+        paths = [("", 0.0)]
+        for letters, skip, gap in toxicity.choices(token):
+            ways = [(x, 0.0) for x in letters] + ([("", skip)] if skip is not None else []) + ([(" ", 0.0)] if gap else [])
+            paths = [(out + x, p + q) for out, p in paths for x, q in ways if x != " " or (out and out[-1] != " ")]
+        best = -math.inf
+        for out, p in paths:
+            for w in out.split(" "):
+                state = "^^"
+                for c in w:
+                    p += m.log_p(state, c)
+                    state = state[1] + c
+                p += m.log_p(state, "^") if w or not out.strip() or out.endswith(" ") else 0
+            best = max(best, p)
+        return best
+
+    for token in ("1d10t", "stuupid", "sstupid", "m0r0n", "a s t u p", "i h a t e", "l0$er", "c0ffee", "i d ! o t", "goood", "4ll", "!", "x"):
+        assert abs(toxicity.best_path(m, token)[0] - every(token)) < 1e-9, token
+    r = toxicity.Restorer(m)
+    for token, want in (("stuupid", "stupid"), ("sstupid", "stupid"), ("letter", "letter"), ("coffee", "coffee"), ("1d10t", "idiot"), ("a person", "a person"), ("you are a s t u p i d person", "you are a stupid person"), ("i h a t e this", "i hate this"), ("an i d ! o t", "an idiot"), ("m\to\nr o n", "moron"), ("y o u a r e a n i d i o t", "you are an idiot"), ("1 2 3", "1 2 3"), ("x" * 5000, "x" * 5000)):
+        assert r.text(token) == want or token == "y o u a r e a n i d i o t" and "idiot" in r.text(token), (token, r.text(token))
+
+
 def test_toxicity_drops_copies_only(spark):
     g = np.random.default_rng(5)
     common = [f"common{k}" for k in range(30)]  # frequent words, which most texts share
