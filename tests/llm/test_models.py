@@ -139,6 +139,43 @@ def test_langid_mixtures(spark):
     assert set(two) == {"aa", "bb"} and two["aa"] > two["bb"] > 0.1 and abs(sum(two.values()) - 1) < 1e-6
 
 
+def test_langid_em_as_plain():
+    """Shares and the chosen set of languages, by expectation and maximisation spelled out."""
+    g = np.random.default_rng(7)
+    p = g.dirichlet(np.ones(langid.BINS), 3).T
+    model = langid.Model(["aa", "bb", "cc"], np.log(p))
+    for text in ("one two three and some more", "ab " * 40, "größe und länge " * 9, "x"):
+        bins = langid.trigrams(text).tolist()
+
+        def fit(of, start):
+            share = list(start)
+            for _ in range(50):
+                new = [0.0] * len(of)
+                for b in bins:
+                    parts = [s * p[b][k] for s, k in zip(share, of, strict=True)]
+                    for j, x in enumerate(parts):
+                        new[j] += x / sum(parts) / len(bins)
+                done = max(abs(x - y) for x, y in zip(new, share, strict=True)) < 1e-4
+                share = new
+                if done:
+                    break
+            return share, sum(math.log(sum(s * p[b][k] for s, k in zip(share, of, strict=True))) for b in bins)
+
+        of = [max(range(3), key=lambda k: sum(math.log(p[b][k]) for b in bins))]
+        share, best = fit(of, [1.0])
+        while len(of) < 3:
+            gain = {k: sum(p[b][k] / sum(s * p[b][j] for s, j in zip(share, of, strict=True)) for b in bins) / len(bins) for k in range(3) if k not in of}
+            k = max(gain, key=lambda k: gain[k])
+            new, value = fit([*of, k], [*(0.9 * s for s in share), 0.1])
+            penalty = langid.PENALTY * math.log(len(bins) + 1)
+            if len(bins) * (gain[k] - 1) <= penalty or value - best <= penalty:
+                break
+            of, share, best = [*of, k], new, value
+        got = langid.shares(model, text)
+        assert set(got) == {model.languages[k] for k in of}
+        assert all(math.isclose(got[model.languages[k]], s, abs_tol=1e-6) for k, s in zip(of, share, strict=True))
+
+
 def test_langid_odd_texts(spark, odd, none):
     m = langid.fit(odd, F.lit(True))
     got = {r.doc_id: r for r in langid.predict(odd, m).collect()}
@@ -343,6 +380,56 @@ def test_lm_is_causal_and_a_distribution():
     assert abs(total - 1) < 1e-3
 
 
+def test_lm_score_as_plain(spark, sf_dir):
+    """The score of short texts from the network's own probabilities and plain counts, token by token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = lm.fit(docs)
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    tokens = lambda t: [*t.encode().lower().split(), None]
+    kind = lambda t: int((lm.byte_pairs(t.encode().lower()) @ net.kinds).argmax())
+    c, ck = Counter(), [Counter() for _ in range(lm.CLUSTERS)]
+    for i, t in rows:
+        if crc(i, 5) != 1:
+            c.update(tokens(t))
+            ck[kind(t)].update(tokens(t))
+    n, nk = sum(c.values()), [sum(x.values()) for x in ck]
+    units, got = lm.Units(bpe.default_vocabulary()), {r.doc_id: r for r in lm.score(docs, net).collect()}
+    for i, t in sorted(rows, key=lambda r: len(r[1]))[:30]:
+        ws = tokens(t)
+        ids, first = lm.ids_of(units, [t.encode().lower()])
+        p = lm.score_ids(net, ids, first).astype(float)
+        sizes = [len(lm.ids_of(units, [w])[0]) - 1 for w in ws[:-1]] + [1]
+        at = np.cumsum([0, *sizes])
+        total = []
+        for k in range(lm.CLUSTERS):
+            if nk[k]:
+                log, weight = math.log10(nk[k] / n), np.array(lm.MIX) * lm.PRIOR
+                for j, w in enumerate(ws):
+                    parts = np.array([ck[k][w] / nk[k], c[w] / n, ws[:j].count(w) / max(1, j), math.exp(p[at[j] : at[j + 1]].sum())])
+                    log += math.log10((weight / (lm.PRIOR + j) * parts).sum())
+                    weight = weight + np.array(lm.MIX) * parts / (np.array(lm.MIX) * parts).sum()
+                total.append(log)
+        want = max(total) + math.log10(sum(10 ** (x - max(total)) for x in total))
+        assert math.isclose(got[i].score, want, rel_tol=1e-5), i
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6
+
+
+def test_lm_goes_on_over_all_training_texts(spark):
+    """The second round reads pieces of every part of the corpus, long texts too, and lowers the loss."""
+    g = np.random.default_rng(4)
+    word = lambda: "".join(g.choice(["ka", "lo", "mi", "ne", "su"], g.integers(1, 4)))
+    texts = [" ".join(word() for _ in range(3000 if k % 20 == 0 else 150)) for k in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = texts[0].encode()
+    assert b"".join(lm.pieces(raw)) == raw and max(map(len, lm.pieces(raw))) <= lm.CUT and lm.pieces(b"") == [b""] and len(lm.pieces(b"x" * 10_000)) == 3
+    short, far = lm.fit(docs, sample=6_000, every=10**9), lm.fit(docs, sample=6_000, every=2)
+    ids, first = lm.ids_of(lm.Units(bpe.default_vocabulary()), [t.encode() for k, t in enumerate(texts) if crc(k, 5) == 1])
+    assert lm.score_ids(far, ids, first).mean() > lm.score_ids(short, ids, first).mean()
+    same = lm.fit(docs, sample=6_000, every=2)
+    assert all(np.allclose(far.w[k], same.w[k], atol=1e-4) for k in far.w)
+
+
 def test_lm_same_base_as_plain(spark, sf_dir, odd, none):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall()
 
