@@ -1,7 +1,7 @@
 """Fixed values of the data model, and the small dimension tables made of them.
 
-Longer tables (verse counts of all chapters, hymns, known talks) are parameters: see References and the
-functions that take them.
+Longer tables (verse counts of all chapters, hymns, known talks) are parameters, read from tables at rest: see
+verse_counts() and hymn_names().
 """
 
 from __future__ import annotations
@@ -71,16 +71,23 @@ BOOK_IDS = {
     "moroni": ("moro", None), "numb": ("num", None), "abraham": ("abr", None),
 }
 
-# Verses of the chapters of two books that the examples need; all others come from a parameter.
-VERSES = {
-    "ex": (22, 25, 22, 31, 23, 30, 25, 32, 35, 29, 10, 51, 22, 31, 27, 36, 16, 27, 25, 26, 36, 31, 33, 18, 40, 37, 21, 43, 46, 38, 18, 35, 23, 35, 35, 38, 29, 31, 43, 38),
-    "1-ne": (20, 24, 31, 38, 22, 6, 22, 38, 6, 22, 36, 23, 42, 30, 36, 39, 55, 25, 24, 22, 26, 31),
-    "enos": (27,),
-}
 #: No chapter has more verses; it bounds those whose length isn't known.
 MOST_VERSES = 176
 
 
+def verse_counts(table: DataFrame) -> dict[str, tuple[int, ...]]:
+    """Verses of the chapters of each book, for what takes `verses`, from a table (book, chapter, verses) of one row a chapter."""
+    out: dict[str, dict[int, int]] = {}
+    for r in table.select("book", "chapter", "verses").collect():
+        out.setdefault(r["book"], {})[r["chapter"]] = r["verses"]
+    return {book: tuple(n.get(c, MOST_VERSES) for c in range(1, max(n) + 1)) for book, n in out.items()}
+
+
+def hymn_names(table: DataFrame) -> dict[int, str]:
+    """Songs by their numbers, from a table (number, song)."""
+    return {r["number"]: r["song"] for r in table.select("number", "song").collect()}
+
+
 def node_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(NODE_TYPES)), "type short, type_name string")
 
@@ -96,6 +103,6 @@ def books(spark: SparkSession) -> DataFrame:
 
 def chapters(spark: SparkSession, verses: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
     """(book_order, book, canon, chapter, verses): one row a chapter; verses is null where unknown."""
-    known = VERSES | (verses or {})
-    rows = [(k, b, canon, c, known[b][c - 1] if b in known else None) for k, (b, canon, _, n) in enumerate(BOOKS) for c in range(1, n + 1)]
+    known = verses or {}
+    rows = [(k, b, canon, c, known[b][c - 1] if c <= len(known.get(b, ())) else None) for k, (b, canon, _, n) in enumerate(BOOKS) for c in range(1, n + 1)]
     return spark.createDataFrame(rows, "book_order int, book string, canon string, chapter int, verses int")

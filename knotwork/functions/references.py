@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dims import BOOK_IDS, BOOKS, CANONS, MOST_VERSES, REFERENCE_WORKS, TYPE, VERSES
+from ..dims import BOOK_IDS, BOOKS, CANONS, MOST_VERSES, REFERENCE_WORKS, TYPE
 
 # The forms of links, and of hymn, proclamation and talk mentions.
 _LINK = re.compile(r"/study/scriptures/([^/]+)/([^/?\"]+)(?:/(\d+))?\?lang=\w+(?:&(?:amp;)?id=([^&#\"\s]+))?(?:&(?:amp;)?span=([^&#\"\s]+))?(?:#([^\"\s]+))?")
@@ -90,10 +90,13 @@ def book_of(alias: str) -> str | None:
 
 
 class Parser:
-    """Parses references; `verses` gives the verse counts of books, beyond the built-in ones."""
+    """Parses references; `verses` gives the verse counts of books (dims.verse_counts), `hymns` the songs by number (dims.hymn_names).
+
+    A chapter whose length isn't given is taken to have as many verses as the longest one has.
+    """
 
     def __init__(self, verses: dict[str, tuple[int, ...]] | None = None, hymns: dict[int, str] | None = None):
-        self.verses = VERSES | (verses or {})
+        self.verses = verses or {}
         self.hymns = hymns or {}
 
     def n_verses(self, book: str, chapter: int) -> int:

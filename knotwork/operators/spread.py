@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.activation import transfer
@@ -62,13 +62,17 @@ def hop(active: DataFrame, prepared: DataFrame, min_activation: float, small: bo
     """(type, name, v): what active nodes pass on.
 
     A node passes over its edges from the heaviest on, up to and including the first one below the threshold.
+    What an edge passes on falls with its mass, so that these are all edges that pass on enough, and of the
+    others the heaviest of each node, which is found by an aggregate with map-side combine: no node's edges are
+    ever sorted or held by one task, and the join may be dealt anew where a node has very many.
     """
     live = active.where(F.col("v") >= min_activation).select(F.col("type").alias("src_type"), F.col("name").alias("src_name"), "v")
     sent = prepared.join(F.broadcast(live) if small else live, G.SRC)
     sent = sent.withColumn("act", transfer(F.col("v"), F.col("mass10"), F.col("total10"), F.col("num_edges")))
-    before = F.lag("act").over(Window.partitionBy(*G.SRC).orderBy(F.desc("mass10"), "dst_type", "dst_name"))
-    kept = sent.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") >= min_activation))
-    return kept.groupBy(F.col("dst_type").alias("type"), F.col("dst_name").alias("name")).agg(F.sum("act").alias("v"))
+    strong = sent.where(F.col("act") >= min_activation).select("dst_type", "dst_name", "act")
+    first = F.min(F.struct((-F.col("mass10")).alias("m"), "dst_type", "dst_name", "act")).alias("f")
+    weak = sent.where(F.col("act") < min_activation).groupBy(*G.SRC).agg(first).select("f.dst_type", "f.dst_name", "f.act")
+    return strong.union(weak).groupBy(F.col("dst_type").alias("type"), F.col("dst_name").alias("name")).agg(F.sum("act").alias("v"))
 
 
 def total(*parts: DataFrame) -> DataFrame:

@@ -168,15 +168,13 @@ def cache_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.url_to_file_name("url").alias("file_name"))
 
 
-@query(HREFS + """, e AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/]+') || href AS target FROM h WHERE starts_with(href, '/')),
-l0 AS (SELECT min(url) AS url FROM pages),
-l1 AS (SELECT DISTINCT target AS url FROM e JOIN l0 USING (url) WHERE target NOT IN (SELECT url FROM l0)),
-l2 AS (SELECT DISTINCT target AS url FROM e JOIN l1 USING (url) WHERE target NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1))
-SELECT url, 0 AS level FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2""")
+@query("WITH RECURSIVE h" + HREFS.removeprefix("WITH h") + """, e AS (SELECT DISTINCT url, target FROM (SELECT url, regexp_extract(url, '^[a-z]+://[^/]+') || href AS target FROM h WHERE starts_with(href, '/')) WHERE NOT regexp_matches(target, '(?i)\\.(jpg|png|svg|tif|mp4|avi|mkv|css)$')),
+r AS (SELECT min(url) AS url, 0 AS level FROM pages UNION SELECT target, level + 1 FROM r JOIN e USING (url) WHERE level < 1000)
+SELECT url, min(level)::INT AS level FROM r GROUP BY url""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first from the first address, two levels."""
+    """Breadth-first from the first address until nothing new is reached."""
     pages = table(spark, sf_dir, "pages")
-    return C.crawl(pages, C.CrawlSource("test", pages.agg(F.min("url")).first()[0]), max_levels=2)
+    return C.crawl(pages, C.CrawlSource("test", pages.agg(F.min("url")).first()[0]))
 
 
 # ---- the graph

@@ -5,7 +5,7 @@ There is no network: a page that the table lacks is a page that can't be fetched
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -112,18 +112,22 @@ def _targets(html_col: str) -> Column:
     return F.concat(F.regexp_extract_all(html_col, F.lit(HREF), F.lit(1)), F.regexp_extract_all(html_col, F.lit(HREF), F.lit(2)))
 
 
-def crawl(pages: DataFrame, source: CrawlSource, max_levels: int = 50, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, level): pages reached breadth-first from the seed; pages that the table lacks are reached, but lead nowhere."""
+def crawl(pages: DataFrame, source: CrawlSource, on_page: Callable[[DataFrame], None] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(url, level): pages reached breadth-first from the seed, until nothing new is reached; pages that the table lacks are reached, but lead nowhere.
+
+    on_page, if given, gets the stored pages of each level as they are reached.
+    """
     edges = cut(links(pages, source.allow, url_col, html_col))
     spark = pages.sparkSession
     level = cut(spark.createDataFrame([(source.seed,)], "url string").withColumn("level", F.lit(0)))
-    visited = level
-    for k in range(1, max_levels + 1):
+    visited, k = level, 0
+    while not level.isEmpty():
+        if on_page:
+            on_page(pages.join(level.select(F.col("url").alias(url_col)), url_col, "left_semi"))
+        k += 1
         new = edges.join(level.select("url"), "url").select(F.col("target").alias("url")).distinct()
         level = cut(new.join(visited.select("url"), "url", "left_anti").withColumn("level", F.lit(k)))
-        if level.isEmpty():
-            break
-        visited = visited.union(level)
+        visited = cut(visited.union(level)) if k % 20 == 0 else visited.union(level)  # long chains make long plans
     return visited
 
 
