@@ -66,16 +66,21 @@ def in_categories(results: DataFrame, enabled: list[str], known: list[str]) -> D
     return results.where(c.isin(enabled) | ~c.isin(known) | c.isNull())
 
 
+def _best_first(name: str = "score") -> list[Column]:
+    """Highest first, ties by node; scores that agree in nine digits are ties, whatever the order in which they were summed."""
+    return [F.desc(F.round(name, 9)), *[F.col(c) for c in NODE]]
+
+
 def above_share(results: DataFrame, share: float) -> DataFrame:
     """Results of at least this share of the highest score; the highest is one aggregated row."""
     top = results.agg(F.max("score").alias("_top"))
-    return results.join(F.broadcast(top), F.col("score") >= share * F.col("_top")).drop("_top")
+    return results.join(F.broadcast(top), F.round("score", 9) >= F.round(share * F.col("_top"), 9)).drop("_top")
 
 
 def best_per_document(results: DataFrame, document: Column | None = None) -> DataFrame:
     """The highest result of each document."""
     d = document if document is not None else N.to_document(F.col("type"), F.col("name"))
-    w = Window.partitionBy("_doc").orderBy(F.desc("score"), *NODE)
+    w = Window.partitionBy("_doc").orderBy(*_best_first())
     return results.withColumn("_doc", d).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_doc", "_r")
 
 
@@ -90,7 +95,7 @@ def top(results: DataFrame, n: int, min_confidence: float | None = None) -> Data
     """The n highest results with score * 1000 above min_confidence."""
     if min_confidence is not None:
         results = results.where(F.col("score") * 1000 > min_confidence)
-    return results.orderBy(F.desc("score"), *NODE).limit(n)
+    return results.orderBy(*_best_first()).limit(n)
 
 
 def named(results: DataFrame, names: DataFrame) -> DataFrame:
@@ -107,8 +112,8 @@ def needs_disambiguation(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def one_per_name(results: DataFrame, name_col: str, limit: int) -> DataFrame:
     """Of the first `limit` results, the highest of each name; suppressed ones have used their place."""
-    first = results.orderBy(F.desc("score"), *NODE).limit(limit)
-    w = Window.partitionBy(name_col).orderBy(F.desc("score"), *NODE)
+    first = results.orderBy(*_best_first()).limit(limit)
+    w = Window.partitionBy(name_col).orderBy(*_best_first())
     return first.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

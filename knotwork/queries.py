@@ -242,7 +242,7 @@ def degree_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOC_WORDS} SELECT {AS_NODES} FROM n")
 def incremental_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two halves trained apart and merged are the whole."""
+    """A1: two halves trained apart and merged are the whole."""
     d = documents(spark, sf_dir)
     half = lambda k: G.edges(X.text_features(d.where(F.col("doc_id") % 2 == k), kinds=("word",)))
     return _node_rows(G.nodes(G.merge(half(0), half(1))))
@@ -270,7 +270,7 @@ def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that quote a test item; they meet by five inner words of the item, which are whole words of the
+    """Documents that quote a test item; they meet by five inner words of the item, which are whole words of the
     document too.  Items too short for that are searched in every text, in slices of bounded size."""
     split = lambda t: F.split(t, r"\s+")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -368,6 +368,7 @@ def scope_overlap_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.run(q, A.prepare(doc_words(spark, sf_dir))).select(F.col("type").cast("int").alias("type"), "name", F.round("score", 5).alias("score"))
 
 
+
 # ---- extractors
 
 PAGE = E.Source("page", r"^https?://([^/]+)/[a-z]{2}/(\d+)", "BookChapter", "BookParagraph", [("h1", None, None)], [("p", None, None)])
@@ -400,9 +401,9 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{DOC_WORDS}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h')},
 d AS (SELECT name::BIGINT AS doc_id, v AS score FROM h_all WHERE type = {ENTITY}),
 g AS (SELECT d.* FROM d JOIN labels USING (doc_id) WHERE quality = 1)
-SELECT doc_id, round(score, 6) AS score FROM g WHERE score >= 0.01 * (SELECT max(score) FROM g) ORDER BY g.score DESC, doc_id::VARCHAR LIMIT 50""")
-def slow_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a category, best first."""
+SELECT doc_id, round(score, 6) AS score FROM g WHERE round(score, 9) >= round(0.01 * (SELECT max(score) FROM g), 9) ORDER BY round(g.score, 9) DESC, doc_id::VARCHAR LIMIT 50""")
+def quality_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of good quality, best first."""
     found = A.run(_one_scope(HOPS), A.prepare(doc_words(spark, sf_dir)))
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("name")).distinct()
     kept = found.where(F.col("type") == ENTITY).join(good, "name", "left_semi")
@@ -410,16 +411,6 @@ def slow_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("name").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query()
-def fast_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts by the characters of their names."""
-    names = table(spark, sf_dir, "part").select(F.lit(ENTITY).cast("short").alias("type"), F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("plain_name"), F.concat_ws(" ", "p_name", "p_brand").alias("disambig_name"))
-    index = A.prepare(G.edges(X.char_features(names, text_col="plain_name")))
-    phrase = names.agg(F.min("plain_name")).first()[0]
-    found = S.fast_search(phrase, index, names)
-    return found.select(F.col("type").cast("int").alias("type"), "name", F.round("score", 6).alias("score"), "plain_name")
-
-
 @query("SELECT name, count(*)::BIGINT AS n, min(p_partkey)::BIGINT AS first_id FROM (SELECT p_partkey, p_name AS name FROM part) GROUP BY name")
 def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that share a name."""
@@ -431,7 +422,7 @@ def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(n_name || ' (' || r_name || ')', 'UNKNOWN_NAME') AS display_name FROM customer LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey")
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with a fallback; every fifth nation is left without one."""
+    """Names with a fallback; every fifth nation is left without one."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 5 <> 0")
     kind = F.lit(ENTITY).cast("short").alias("type")
     names = n.select(kind, F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("plain_name"), F.format_string("%s (%s)", "n_name", "r_name").alias("disambig_name"))
@@ -448,7 +439,7 @@ def disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey::VARCHAR) AS r FROM part) WHERE r = 1 AND p_retailprice >= 0.25 * (SELECT max(p_retailprice) FROM part)""")
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result a brand, above a quarter of the highest."""
+    """One result a brand, above a quarter of the highest."""
     rows = table(spark, sf_dir, "part").select(F.lit(ENTITY).alias("type"), F.col("p_partkey").cast("string").alias("name"), F.col("p_retailprice").alias("score"), "p_brand")
     return S.above_share(S.best_per_document(rows, F.col("p_brand")), 0.25).select(F.col("name").cast("long").alias("p_partkey"), "p_brand")
 
@@ -526,7 +517,7 @@ def speech_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, length(props)::INT AS n FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of a JSON column."""
+    """Fields of a JSON column."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.length("props").alias("n"))
 
 
@@ -570,3 +561,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+# queries of other modules register themselves
+from . import queries_model, queries_sites  # noqa: E402, F401
