@@ -403,11 +403,13 @@ def test_lm_score_as_plain(spark, sf_dir):
         total = []
         for k in range(lm.CLUSTERS):
             if nk[k]:
-                log, weight = math.log10(nk[k] / n), np.array(lm.MIX) * lm.PRIOR
+                log, known, seen = math.log10(nk[k] / n), lm.MIX[0] + lm.MIX[1], 0.0
                 for j, w in enumerate(ws):
-                    parts = np.array([ck[k][w] / nk[k], c[w] / n, ws[:j].count(w) / max(1, j), math.exp(p[at[j] : at[j + 1]].sum())])
-                    log += math.log10((weight / (lm.PRIOR + j) * parts).sum())
-                    weight = weight + np.array(lm.MIX) * parts / (np.array(lm.MIX) * parts).sum()
+                    counts = (lm.MIX[0] * ck[k][w] / nk[k] + lm.MIX[1] * c[w] / n) / known
+                    own = (lm.MIX[2] * ws[:j].count(w) / max(1, j) + lm.MIX[3] * math.exp(p[at[j] : at[j + 1]].sum())) / (1 - known)
+                    weight = (lm.PRIOR * known + seen) / (lm.PRIOR + j)
+                    log += math.log10(weight * counts + (1 - weight) * own)
+                    seen += known * counts / (known * counts + (1 - known) * own)
                 total.append(log)
         want = max(total) + math.log10(sum(10 ** (x - max(total)) for x in total))
         assert math.isclose(got[i].score, want, rel_tol=1e-5), i
