@@ -90,16 +90,12 @@ class Words:
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A hash of each word."""
         if self.of is None:
-            known: dict[bytes, int] = {}
-            self.of, w = np.empty(len(self.start), dtype=np.int32), 0
-            while w < len(self.of):
-                stop = max(w + 1, int(np.searchsorted(self.end, int(self.start[w]) + PIECE, side="right")))
-                part = self.data[int(self.start[w]) : int(self.end[stop - 1])].split()
-                for x in set(part).difference(known):
-                    known[x] = len(known)
-                self.of[w:stop] = np.fromiter(map(known.__getitem__, part), dtype=np.int32, count=stop - w)
-                w = stop
-            self.table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), dtype=np.uint64).reshape(-1, 2)
+            raw = np.frombuffer(self.data, dtype=np.uint8)
+            ends = np.concatenate(([0], np.cumsum(self.end - self.start)))
+            letters = pa.py_buffer(np.ascontiguousarray(raw[_IN_WORD[raw]]))  # the words without what lies between them
+            known = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends.astype(np.int64)), letters]).dictionary_encode()
+            self.of = known.indices.to_numpy()
+            self.table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known.dictionary.to_pylist())), dtype=np.uint64).reshape(-1, 2)
         return self.table[self.of, lane]
 
     def text(self, a: int, b: int) -> bytes:

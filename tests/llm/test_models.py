@@ -353,7 +353,7 @@ def test_lm_gradients():
         net.w[k] = net.w[k].astype(np.float64) + g.normal(0, 0.1, net.w[k].shape)
     before, mask, own, target, place = lm.steps(g.integers(0, lm.UNITS, 100).astype(np.int16), np.array([0, 37, 100]))
     real = place >= 0
-    loss = lambda: -(lm.log_p(net.tables(), before, mask, own, target) * real).sum() / real.sum()
+    loss = lambda: -(lm.log_p(net.tables(), before[0], mask, own, target) * real).sum() / real.sum()
     for k, d in lm._gradients(net.w, before, mask, own, target, real, net.bias()).items():
         at = np.unravel_index(np.abs(d).argmax(), d.shape)
         keep = net.w[k][at]
