@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, html_text, langid, lm, pipeline, secrets, simhash, substrings, toxicity
+from . import bpe, decontam, flac, html_text, langid, licenses, lm, merkle, pipeline, secrets, simhash, substrings, toxicity, trie, twins
 from .common import fold, table
 
 OP6_SQL = r"""
@@ -81,9 +81,21 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.tries(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam, "pipeline": pipeline.run}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_substrings": op6_substrings, "op7_flac": op7_flac, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_decontam": op10_decontam, "op11_merkle": op11_merkle, "op12_licenses": op12_licenses, "op13_trie": op13_trie, "pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substrings": OP6_SQL, "op10_decontam": OP10_SQL}
+    return {"op6_substrings": OP6_SQL, "op10_decontam": OP10_SQL, "op11_merkle": twins.merkle_sql(), "op12_licenses": twins.license_sql(), "op13_trie": twins.trie_sql()}
