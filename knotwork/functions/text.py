@@ -38,16 +38,19 @@ def words(text: Column | str) -> Column:
 
 
 def ngrams(ws: Column | str, n: int, sep: str = "|") -> Column:
-    """Runs of n consecutive elements of an array, joined."""
-    ws = _col(ws)
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), sep))).otherwise(F.array())
+    """Runs of n consecutive elements of an array, joined; the array is computed once, whatever expression it is."""
+    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), sep))
+    return let(_col(ws), lambda w: F.when(F.size(w) >= n, run(w)).otherwise(F.array().cast("array<string>")))
 
 
 def pairs_within(ws: Column | str, order: int) -> Column:
     """Each element with each of the next `order` ones, as structs (a, b)."""
-    ws = _col(ws)
-    near = lambda i: F.transform(F.slice(ws, i + 1, order), lambda b: F.struct(F.element_at(ws, i).alias("a"), b.alias("b")))
-    return F.when(F.size(ws) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.size(ws) - 1), near))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+
+    def made(w: Column) -> Column:
+        near = lambda i: F.transform(F.slice(w, i + 1, order), lambda b: F.struct(F.element_at(w, i).alias("a"), b.alias("b")))
+        return F.when(F.size(w) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.size(w) - 1), near))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+
+    return let(_col(ws), made)
 
 
 def char_trigrams(word: Column | str) -> Column:

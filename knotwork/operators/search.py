@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dims import TYPE
 from ..functions import nodes as N
+from ..sources.edges import EdgeStore
 from .spread import NODE, Query, run
 
 # Node types that a search may show, and such as only carry activation.
@@ -130,7 +131,7 @@ def upsert_names(names: DataFrame, seq: str = "seq") -> DataFrame:
     return names.groupBy(*NODE).agg(last("plain_name"), last("disambig_name"))
 
 
-def fast_search(phrase: str, index: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
+def fast_search(phrase: str, index: EdgeStore, names: DataFrame, limit: int = 10) -> DataFrame:
     """Type-ahead: character-level roots, a quarter of the best score as cut-off, names, one row a name."""
     q = Query()
     for kind, name in char_nodes(phrase):
@@ -141,7 +142,7 @@ def fast_search(phrase: str, index: DataFrame, names: DataFrame, limit: int = 10
     return literal.unionByName(one_per_name(found, "plain_name", limit)).orderBy(F.desc("score"), *NODE)
 
 
-def slow_search(query: Query, graph: DataFrame, enabled: list[str] | None = None, known: list[str] | None = None, ignored: DataFrame | None = None, limit: int = 50, min_confidence: float = 0.0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def slow_search(query: Query, graph: EdgeStore, enabled: list[str] | None = None, known: list[str] | None = None, ignored: DataFrame | None = None, limit: int = 50, min_confidence: float = 0.0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Deep search: (results, activated words).
 
     Results are paragraphs and documents of enabled categories, one a document, above a hundredth of the

@@ -1,4 +1,9 @@
-"""Spreading activation over the graph, for one scope of roots or several."""
+"""Spreading activation over the stored graph, for one scope of roots or several.
+
+Activations of all scopes are one table keyed by the scope's mask.  They are spread in the same hops, compared in one join and
+merged in one aggregate, so the number of jobs grows with the hops, not with the scopes.  A hop is one scan of the
+buckets that have active nodes, one join and one aggregate.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.activation import transfer
 from ..plans import lattice
-from ..plans.session import cut
-from . import graph as G
+from ..plans.session import cut, new_folder
+from ..sources.edges import SRC, EdgeStore
 
 NODE = ["type", "name"]
-#: Active nodes that may be sent to every task; more are joined by shuffle.
+#: Active nodes (of all scopes) that may be sent to every task, a name having 255 characters at most; more are joined by shuffle.
 BROADCAST_NODES = 50_000
 
 
@@ -50,74 +55,95 @@ class Query:
         return spark.createDataFrame(rows, "scope int, type short, name string, weight double")
 
 
-def prepare(graph: DataFrame) -> DataFrame:
-    """Edges with their source's number of edges and total mass, written once for all hops.
-
-    Totals and edges come from the same shuffle of sums, which Spark reuses, so features are made once.
-    """
-    return cut(graph.join(G.nodes(graph), G.SRC))
+def prepare(graph: DataFrame, buckets: int | None = None) -> EdgeStore:
+    """The graph, stored once for all hops in the folder that the session's tasks share."""
+    return EdgeStore.write(graph, new_folder(graph.sparkSession, "edges"), buckets)
 
 
-def hop(active: DataFrame, prepared: DataFrame, min_activation: float, small: bool = True) -> DataFrame:
-    """(type, name, v): what active nodes pass on.
+def hop(active: DataFrame, store: EdgeStore, min_activation: float, small: bool = True, buckets: list[int] | None = None) -> DataFrame:
+    """(mask, type, name, v): what active nodes (mask, type, name, v) pass on; active ones without a mask count as one scope.
 
     A node passes over its edges from the heaviest on, up to and including the first one below the threshold.
-    What an edge passes on falls with its mass, so that these are all edges that pass on enough, and of the
-    others the heaviest of each node, which is found by an aggregate with map-side combine: no node's edges are
-    ever sorted or held by one task, and the join may be dealt anew where a node has very many.
+    Since each edge knows the mass of the one before it, that is a filter: an edge is passed if the one before it is not below.
+    No node's edges are sorted or held by one task, and the join may be dealt anew where a node has very many.
     """
-    live = active.where(F.col("v") >= min_activation).select(F.col("type").alias("src_type"), F.col("name").alias("src_name"), "v")
-    sent = prepared.join(F.broadcast(live) if small else live, G.SRC)
-    sent = sent.withColumn("act", transfer(F.col("v"), F.col("mass10"), F.col("total10"), F.col("num_edges")))
-    strong = sent.where(F.col("act") >= min_activation).select("dst_type", "dst_name", "act")
-    first = F.min(F.struct((-F.col("mass10")).alias("m"), "dst_type", "dst_name", "act")).alias("f")
-    weak = sent.where(F.col("act") < min_activation).groupBy(*G.SRC).agg(first).select("f.dst_type", "f.dst_name", "f.act")
-    return strong.union(weak).groupBy(F.col("dst_type").alias("type"), F.col("dst_name").alias("name")).agg(F.sum("act").alias("v"))
+    scoped = active if "mask" in active.columns else active.withColumn("mask", F.lit(1).cast("long"))
+    live = scoped.where(F.col("v") >= min_activation).select("mask", F.col("type").alias("src_type"), F.col("name").alias("src_name"), "v")
+    edges = store.edges if buckets is None else store.within(buckets)
+    sent = edges.join(F.broadcast(live) if small else live, SRC)
+    passed = F.col("before10").isNull() | (transfer(F.col("v"), F.col("before10"), F.col("total10"), F.col("num_edges")) >= min_activation)
+    act = transfer(F.col("v"), F.col("mass10"), F.col("total10"), F.col("num_edges"))
+    return sent.where(passed).groupBy("mask", F.col("dst_type").alias("type"), F.col("dst_name").alias("name")).agg(F.sum(act).alias("v"))
 
 
 def total(*parts: DataFrame) -> DataFrame:
-    """The sum of activation maps."""
-    out = parts[0].select(*NODE, "v")
+    """The sum of activation maps, by mask if they have one."""
+    out = parts[0]
     for p in parts[1:]:
-        out = out.union(p.select(*NODE, "v"))
-    return out.groupBy(*NODE).agg(F.sum("v").alias("v"))
+        out = out.unionByName(p)
+    return out.groupBy(*[c for c in ("mask", *NODE) if c in out.columns]).agg(F.sum("v").alias("v"))
 
 
-def spread(start: DataFrame, prepared: DataFrame, min_activation: float = 1e-4, max_hops: int = 16) -> DataFrame:
-    """(type, name, v): the start and all that it activates, summed over hops."""
-    active = cut(start.select(*NODE, "v"))
+def spread(start: DataFrame, store: EdgeStore, min_activation: float = 1e-4, max_hops: int = 16) -> DataFrame:
+    """The start (mask, type, name, v) and all that it activates, summed over hops; each mask spreads by itself."""
+    active = cut(start)
     parts = [active]
     for _ in range(max_hops):
-        n = active.where(F.col("v") >= min_activation).count()
+        alive = active.where(F.col("v") >= min_activation)
+        n, buckets = alive.agg(F.count("*"), F.collect_set(store.bucket(F.col("type"), F.col("name")))).first()
         if not n:
             break
-        active = cut(hop(active, prepared, min_activation, n <= BROADCAST_NODES))
+        active = cut(hop(active, store, min_activation, n <= BROADCAST_NODES, buckets))
         parts.append(active)
     return cut(total(*parts))
 
 
-def overlap(a: DataFrame, b: DataFrame, factor: float) -> DataFrame:
-    """What both maps have, with `factor` times the sum of their activations."""
-    both = a.select(*NODE, F.col("v").alias("va")).join(b.select(*NODE, F.col("v").alias("vb")), NODE)
-    return both.select(*NODE, (F.lit(factor) * (F.col("va") + F.col("vb"))).alias("v"))
+def overlap(acts: DataFrame, pairs: list[lattice.Merge], factor: float) -> DataFrame:
+    """(mask, type, name, v): what the two masks of each pair share, with `factor` times the sum of their activations."""
+    named = acts.sparkSession.createDataFrame([(p.a, p.b, p.mask) for p in pairs], "a long, b long, union long")
+    one = acts.select(F.col("mask").alias("a"), *NODE, F.col("v").alias("va")).join(F.broadcast(named), "a")
+    both = one.join(acts.select(F.col("mask").alias("b"), *NODE, F.col("v").alias("vb")), ["b", *NODE])
+    return both.select(F.col("union").alias("mask"), *NODE, (F.lit(factor) * (F.col("va") + F.col("vb"))).alias("v"))
 
 
-def run(query: Query, prepared: DataFrame) -> DataFrame:
-    """(type, name, score): all that the scopes and their overlaps activate, without the roots."""
-    spark = prepared.sparkSession
-    roots = query.roots(spark)
-    scopes = [roots.where(F.col("scope") == s).select(*NODE, F.col("weight").alias("v")) for s in sorted(query.scopes)]
+class _Scopes:
+    """The activations of all live masks as one table, and those that have been spread."""
+
+    def __init__(self, query: Query, store: EdgeStore, roots: DataFrame):
+        self.query, self.store, self.acts = query, store, roots
+        self.found: list[DataFrame] = []
+        self.shared: DataFrame | None = None
 
-    def merge(a: DataFrame, b: DataFrame, carried: list[DataFrame]) -> DataFrame | None:
-        shared = cut(overlap(a, b, query.overlap))
-        if shared.isEmpty():
-            return None
-        return total(shared, *carried) if carried else shared
+    def spread(self, masks: list[int]) -> None:
+        here = F.col("mask").isin(masks)
+        made = spread(self.acts.where(here), self.store, self.query.min_activation, self.query.max_hops)
+        self.found.append(made)
+        self.acts = self.acts.where(~here).unionByName(made)
 
-    made = lattice.run(scopes, lambda s: spread(s, prepared, query.min_activation, query.max_hops), merge)
-    if not made:
+    def share(self, pairs: list[lattice.Merge]) -> set[int]:
+        self.shared = cut(overlap(self.acts, pairs, self.query.overlap))
+        return {r.mask for r in self.shared.select("mask").distinct().collect()}  # at most one for each pair
+
+    def merge(self, made: list[lattice.Merge], rest: list[int]) -> None:
+        parts = [self.shared]
+        if carried := [(m, p.mask) for p in made for m in p.carried]:
+            moved = self.acts.sparkSession.createDataFrame(carried, "mask long, into long")
+            parts.append(self.acts.join(F.broadcast(moved), "mask").select(F.col("into").alias("mask"), *NODE, "v"))
+        self.acts = cut(total(*parts).unionByName(self.acts.where(F.col("mask").isin(rest))))
+
+
+def run(query: Query, store: EdgeStore) -> DataFrame:
+    """(type, name, score): all that the scopes and their overlaps activate, without the roots."""
+    spark = store.edges.sparkSession
+    roots = query.roots(spark)
+    places = {s: 1 << k for k, s in enumerate(sorted(query.scopes))}
+    mask = F.element_at(F.create_map(*[F.lit(x).cast("long") for s, m in places.items() for x in (s, m)]), F.col("scope").cast("long")) if places else F.lit(0).cast("long")
+    scopes = _Scopes(query, store, roots.select(mask.alias("mask"), *NODE, F.col("weight").alias("v")))
+    lattice.run(len(places), scopes.spread, scopes.share, scopes.merge)
+    if not scopes.found:
         return roots.select(*NODE, F.col("weight").alias("score")).limit(0)
-    return total(*[s for _, s in made]).join(roots.select(*NODE).distinct(), NODE, "left_anti").select(*NODE, F.col("v").alias("score"))
+    found = total(*[f.select(*NODE, "v") for f in scopes.found])
+    return found.join(roots.select(*NODE).distinct(), NODE, "left_anti").select(*NODE, F.col("v").alias("score"))
 
 
 def ordered(results: DataFrame) -> DataFrame:

@@ -1,56 +1,64 @@
 """In which order scopes are spread and merged; plain integers on the driver.
 
-Each scope is a bit.  Masks are spread in the order in which they were made; then every pair of live masks
-is merged under their union, the first time it occurs, if they share a node.  Whatever a merged scope's
+Each scope is a bit.  All masks that wait are spread together; then every pair of live masks is merged under
+their union, the first time it occurs, if they share a node, all pairs of a round together.  Whatever a merged scope's
 parents have not spread yet goes into it whole, and they are spread no more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import TypeVar
+from dataclasses import dataclass
 
-T = TypeVar("T")
 MOST_SCOPES = 32
 
 
-def run(scopes: list[T], spread: Callable[[T], T], merge: Callable[[T, T, list[T]], T | None]) -> list[tuple[int, T]]:
-    """Masks with what spreading them gave, in order.
+@dataclass(frozen=True)
+class Merge:
+    """Two masks merged under their union; `carried` are those of them that go into it whole."""
 
-    spread() gets a scope's activations and returns all that they reach.  merge() gets two of them and the
-    ones to carry over whole, and returns the merged scope, or None if the two share nothing.
-    """
-    if len(scopes) > MOST_SCOPES:
+    mask: int
+    a: int
+    b: int
+    carried: tuple[int, ...] = ()
+
+
+def run(n: int, spread: Callable[[list[int]], None], share: Callable[[list[Merge]], set[int]], merge: Callable[[list[Merge], list[int]], None]) -> list[int]:
+    """The masks of n scopes that were spread, in order.
+
+    spread() gets masks to spread together.  share() gets pairs and returns the unions of those that share something.  merge()
+    gets the pairs to merge, and the masks that stay live beside them."""
+    if n > MOST_SCOPES:
         raise ValueError(f"at most {MOST_SCOPES} scopes")
-    live: dict[int, T] = {1 << k: s for k, s in enumerate(scopes)}
-    seen, done = set(live), set()
-    out: list[tuple[int, T]] = []
-    while set(live) - done:
-        for mask in [m for m in live if m not in done]:
-            live[mask] = spread(live[mask])
-            out.append((mask, live[mask]))
-            done.add(mask)
+    live = [1 << k for k in range(n)]
+    seen, done, out = set(live), set(), []
+    while waiting := [m for m in live if m not in done]:
+        spread(waiting)
+        out += waiting
+        done.update(waiting)
         while True:
-            new: dict[int, T] = {}
-            masks = list(live)
-            for a in masks:
-                for b in masks:
-                    mask = a | b
-                    if a == b or mask in seen:
-                        continue
-                    seen.add(mask)
-                    carried = [m for m in (a, b) if m not in done]
-                    made = merge(live[a], live[b], [live[m] for m in carried])
-                    if made is not None:
-                        new[mask] = made
-                        done.update(carried)
+            pairs: list[Merge] = []
+            for a in live:
+                for b in live:
+                    if a != b and a | b not in seen:
+                        seen.add(a | b)
+                        pairs.append(Merge(a | b, a, b))
+            sharing, made = share(pairs) if pairs else set(), []
+            for p in pairs:
+                if p.mask in sharing:
+                    carried = tuple(m for m in (p.a, p.b) if m not in done)
+                    made.append(Merge(p.mask, p.a, p.b, carried))
+                    done.update(carried)
             # what was merged comes first; what was not spread stays live behind it
-            live = new | {m: s for m, s in live.items() if m not in done}
-            if not new:
+            rest = [m for m in live if m not in done]
+            if made:
+                merge(made, rest)
+            live = [m.mask for m in made] + rest
+            if not made:
                 break
     return out
 
 
 def order(n: int) -> list[int]:
     """The masks that n scopes spread if all of them overlap."""
-    return [m for m, _ in run([frozenset()] * n, lambda s: s, lambda a, b, c: a)]
+    return run(n, lambda masks: None, lambda pairs: {p.mask for p in pairs}, lambda made, rest: None)

@@ -23,6 +23,7 @@ from .plans.session import new_folder
 from .queries import AS_NODES, DOC_WORDS, EDGES, ENTITY, HOPS, LEAST, NODES, ROOTS, WITH_WORDS, WORD, W, _hops, _lit, _node_rows, _one_scope, _root, _rows, doc_words, documents, query, table
 from .sources import crawl as C
 from .sources import store
+from .sources.generations import GraphLog
 
 PARTS = "p AS (SELECT p_partkey AS k, p_name, p_size, p_brand FROM part)"
 INT = "CAST({} AS INT)"
@@ -247,8 +248,8 @@ def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOC_WORDS} SELECT dst_type::INT AS type, dst_name AS name, mass10::BIGINT AS mass10 FROM e WHERE src_type = {W} AND src_name = '{ROOTS[0]}'")
 def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of one node."""
-    found = G.lookup(doc_words(spark, sf_dir), W, ROOTS[0])
+    """The edges of one node, from its bucket of the stored graph."""
+    found = A.prepare(doc_words(spark, sf_dir)).lookup(W, ROOTS[0])
     return found.select(F.col("dst_type").cast("int").alias("type"), F.col("dst_name").alias("name"), "mass10")
 
 
@@ -429,3 +430,19 @@ def see_also(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = parts(spark, sf_dir).where("k % 4 = 0").select(F.expr(f"'LAMP ' || {LETTERS}").alias("topic"), F.array(F.lit("Harbour"), F.lit("Lamp")).alias("see"))
     f = E.see_also(topics)
     return f.select("a_name", "b_name", F.col("a_type").cast("int").alias("type"), "weight10")
+
+
+@query(f"{DOC_WORDS} SELECT {AS_NODES} FROM n")
+def compacted_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in batches; deltas are compacted twice, batches are replayed between, and each counts once."""
+    log = GraphLog(spark, new_folder(spark, "log"))
+    d = documents(spark, sf_dir)
+    add = lambda k: log.add(X.text_features(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k), kinds=("word",)), k)
+    add(0)
+    add(1)
+    log.compact()
+    add(1)  # is in the generation: its delta is ignored
+    add(2)
+    log.compact()
+    add(2)
+    return _node_rows(G.nodes(log.current()))

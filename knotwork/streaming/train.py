@@ -1,35 +1,35 @@
 """Incremental training: features that arrive are added to a stored graph.
 
-Training is additive.  A batch of features is summed to edges and written as a delta; deltas are merged into
-one generation of the graph now and then.  The batch number names the delta, so a batch that is run again
-replaces its own delta and counts once.
+Training is additive.  A batch of features is summed to edges and written as a delta; deltas are compacted into
+generations now and then, behind a manifest (see sources/generations.py).  The batch number names the delta, so a batch that is run
+again counts once, whether or not it was compacted meanwhile.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import features as X
-from ..operators import graph as G
-from ..sources.store import EDGE_SCHEMA
+from ..sources.generations import GraphLog
 
 
 def add_batch(features: DataFrame, path: str, batch: int) -> None:
-    G.edges(features).write.mode("overwrite").parquet(f"{path}/delta={batch}")
+    GraphLog(features.sparkSession, path).add(features, batch)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The graph of all deltas so far."""
-    deltas = spark.read.schema(EDGE_SCHEMA).option("basePath", path).parquet(path)
-    return deltas.groupBy(*G.EDGE).agg(F.sum("mass10").alias("mass10"))
+    """The graph of all batches so far."""
+    return GraphLog(spark, path).current()
 
 
-def train_stream(docs: DataFrame, path: str, checkpoint: str, **options: object) -> StreamingQuery:
-    """Train on a stream of documents; every micro-batch is one delta."""
+def train_stream(docs: DataFrame, path: str, checkpoint: str, compact_every: int = 0, **options: object) -> StreamingQuery:
+    """Train on a stream of documents; every micro-batch is one delta, and every `compact_every`th one compacts them."""
 
     def each(batch: DataFrame, number: int) -> None:
-        add_batch(X.text_features(batch, **options), path, number)
+        log = GraphLog(batch.sparkSession, path)
+        log.add(X.text_features(batch, **options), number)
+        if compact_every and (number + 1) % compact_every == 0:
+            log.compact()
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

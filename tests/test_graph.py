@@ -218,6 +218,81 @@ def test_query_settings(spark, world):
     assert large.count() > 0
 
 
+def read_folders(df):
+    """Folders that a query's scans read when it runs, of all that the table has."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    seen = []
+
+    def walk(p):
+        if p.nodeName() == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if p.nodeName().startswith("Scan parquet"):
+            seen.append((p.metrics().apply("numPartitions").value() if p.metrics().contains("numPartitions") else None, p.metrics().apply("numFiles").value()))
+        kids = p.children()
+        for k in range(kids.size()):
+            walk(kids.apply(k))
+        if hasattr(p, "plan") and "QueryStage" in p.nodeName():
+            walk(p.plan())
+
+    walk(plan)
+    return seen
+
+
+def test_hop_and_lookup_read_the_buckets_of_active_nodes(spark, world):
+    g = G.edges(features(spark, world))
+    store = A.prepare(g, buckets=16)
+    active = spark.createDataFrame([(W, "w1", 1.0), (W, "w2", 0.5), (E, "nothing", 1.0)], "type short, name string, v double")
+    found = sorted(r[0] for r in active.select(store.bucket(F.col("type"), F.col("name"))).distinct().collect())
+    pruned, whole = A.hop(active, store, 1e-3, buckets=found), A.hop(active, store, 1e-3)
+    rows = lambda d: {(r.type, r.name): round(r.v, 12) for r in d.collect()}
+    assert rows(pruned) == rows(whole) != {}
+    assert "PartitionFilters: [bucket" in pruned._jdf.queryExecution().toString()
+    assert max(f for _, f in read_folders(pruned)) <= len(found) < min(f for _, f in read_folders(whole))
+    assert [tuple(r)[1:] for r in store.lookup(W, "w1").select("src_type", "dst_type", "dst_name", "mass10").collect()] == [tuple(r)[1:] for r in G.lookup(g, W, "w1").select("src_type", "dst_type", "dst_name", "mass10").collect()]
+    assert [f for _, f in read_folders(store.lookup(W, "w1"))] == [1]
+    assert store.of_nodes(active).count() == g.where("src_name in ('w1', 'w2')").count()
+    assert "PushedFilters" in store.lookup(W, "w1")._jdf.queryExecution().toString()
+
+
+def test_edges_know_the_one_before(spark, world, tmp_path, monkeypatch):
+    from knotwork.sources import edges as S
+
+    g = G.edges(features(spark, world))
+    by = defaultdict(list)
+    for r in S.described(g).collect():
+        by[r.src_type, r.src_name].append(r)
+    assert sum(map(len, by.values())) == g.count()
+    for rs in by.values():
+        rs.sort(key=lambda r: (-r.mass10, r.dst_type, r.dst_name))
+        assert [r.before10 for r in rs] == [None, *[r.mass10 for r in rs[:-1]]]
+        assert {(r.num_edges, r.total10) for r in rs} == {(len(rs), sum(r.mass10 for r in rs))}
+    monkeypatch.setattr(S, "NODE_EDGES", 2)  # nodes of many edges lie in several files
+    S.EdgeStore.write(g, str(tmp_path / "g"), 4)
+    again = S.EdgeStore.open(spark, str(tmp_path / "g"))
+    assert again.buckets == 4 and as_dict(again.edges) == as_dict(g)
+    S.EdgeStore.write(g.limit(0), str(tmp_path / "none"), 4)
+    assert A.run(A.Query().add_root(W, "w1"), S.EdgeStore(again.edges.limit(0), 4)).count() == 0
+
+
+def test_scopes_share_jobs(spark, world):
+    """Three scopes take no more hops than one: all are spread together."""
+    store = A.prepare(G.edges(features(spark, world)))
+    calls = []
+    real = A.hop
+    try:
+        A.hop = lambda *a, **k: calls.append(1) or real(*a, **k)
+        for scopes in (1, 3):
+            q = A.Query(min_activation=1e-3, max_hops=2, overlap=0.0)
+            for k in range(scopes):
+                q.add_root(W, f"w{k}", k)
+            before = len(calls)
+            A.run(q, store)
+            assert len(calls) - before <= 2 * (1 if scopes == 1 else 2)
+    finally:
+        A.hop = real
+
+
 def test_percentiles(spark):
     g = G.edges(features(spark, [(E, f"e{k}", W, f"w{j}", 1) for k in range(10) for j in range(k + 1)]))
     p = {r.pct: r.num_edges for r in G.degree_percentiles(g).collect()}
@@ -234,3 +309,49 @@ def test_stream(spark, tmp_path):
     assert as_dict(train.current(spark, str(tmp_path / "graph"))) == as_dict(G.edges(X.text_features(docs)))
     train.add_batch(X.text_features(docs), str(tmp_path / "graph"), 0)  # a batch run again replaces itself
     assert train.current(spark, str(tmp_path / "graph")).where(F.col("mass10") <= 0).count() == 0
+
+
+def test_batches_replayed_during_compaction_count_once(spark, tmp_path, monkeypatch):
+    from knotwork.sources.generations import GraphLog
+
+    log = GraphLog(spark, str(tmp_path / "log"))
+    part = lambda *rows: features(spark, list(rows))
+    a, b, c = (E, "d1", W, "x", 3), (E, "d1", W, "y", 5), (E, "d2", W, "x", 7)
+    assert log.current().count() == 0 and log.compact().number == 0
+    log.add(part(a), 0)
+    log.add(part(b), 1)
+    real = GraphLog._publish
+
+    def replay_first(self, m):
+        log.add(part(b), 1)  # while the new generation is written but not named
+        assert as_dict(log.current()) == as_dict(G.edges(part(a, b)))
+        log.add(part(c), 2)
+        return real(self, m)
+
+    monkeypatch.setattr(GraphLog, "_publish", replay_first)
+    m = log.compact()
+    monkeypatch.undo()
+    assert m.batches == {0, 1} and log.deltas(m) == [2]
+    log.add(part(b), 1)  # and after it was named
+    assert as_dict(log.current()) == as_dict(G.edges(part(a, b, c)))
+    # a compaction that another one overtook is not named
+    old = log.manifest
+    late = GraphLog(spark, str(tmp_path / "log"))
+    monkeypatch.setattr(late, "manifest", lambda found=old(): found)
+    log.compact()
+    late.compact()
+    assert log.manifest().number == 2 and as_dict(log.current()) == as_dict(G.edges(part(a, b, c)))
+    gone = log.clean()
+    assert "deltas/1" in gone and as_dict(log.current()) == as_dict(G.edges(part(a, b, c)))
+    (tmp_path / "log" / "deltas" / "9").mkdir()  # a delta whose writer died
+    assert as_dict(log.current()) == as_dict(G.edges(part(a, b, c)))
+
+
+def test_stream_compacts(spark, tmp_path):
+    from knotwork.streaming import train
+
+    docs = spark.createDataFrame([(k, f"word{k % 3} common text {k}") for k in range(12)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    train.train_stream(stream, str(tmp_path / "graph"), str(tmp_path / "state"), compact_every=2).awaitTermination(120)
+    assert as_dict(train.current(spark, str(tmp_path / "graph"))) == as_dict(G.edges(X.text_features(docs)))
