@@ -199,13 +199,12 @@ def to_named_document(kind: Column, name: Column) -> Column:
     return F.when(own, F.struct(p["type"].alias("type"), p["name"].alias("name"))).otherwise(d)
 
 
-# Result types by node type; books by the beginning of their names.
+# Result types by node type, other types are unknown; books by the beginning of their names.
 _RESULT = {
-    "ScriptureVerse": "ScriptureVerse", "ScriptureSupplementalPara": "ScriptureVerse", "ScriptureSentence": "ScriptureVerse", "ScriptureChapter": "ScriptureChapter",
-    "ScriptureBook": "ScriptureBook", "ConferenceTalk": "ConferenceTalk", "ConferenceTalkParagraph": "ConferenceTalk", "ConferenceTalkSentence": "ConferenceTalk",
-    "ConferenceSpeaker": "Person", "TopicalGuideKeyword": "Topic", "GuideToScripturesTopic": "Topic", "TripleIndexTopic": "Topic", "BibleDictionaryTopic": "Topic",
-    "BibleDictionaryParagraph": "Topic", "ByuSpeech": "ByuSpeech", "ByuSpeechParagraph": "ByuSpeech", "Hymn": "Hymn", "HymnVerse": "Hymn",
-    "Proclamation": "Proclamation", "ProclamationParagraph": "Proclamation", "Word": "KeywordPhrase", "NGram": "KeywordPhrase",
+    "ScriptureBook": "ScriptureBook", "ScriptureChapter": "ScriptureChapter", "ScriptureVerse": "ScriptureVerse", "ConferenceSpeaker": "Person",
+    "ConferenceTalk": "ConferenceTalk", "ConferenceTalkParagraph": "ConferenceTalk", "BibleDictionaryTopic": "BibleDictionary", "BibleDictionaryParagraph": "BibleDictionary",
+    "TopicalGuideKeyword": "Topic", "TripleIndexTopic": "Topic", "GuideToScripturesTopic": "Topic", "ByuSpeech": "ByuSpeech", "ByuSpeechParagraph": "ByuSpeech",
+    "Hymn": "Hymn", "HymnVerse": "Hymn", "Proclamation": "Proclamation", "ProclamationParagraph": "Proclamation",
 }
 _BOOK_PREFIX = {"atgq|": "BookATGQ", "md|": "BookMD", "messiah1|": "BookMessiah1", "messiah2|": "BookMessiah2", "messiah3|": "BookMessiah3"}
 
@@ -213,7 +212,7 @@ _BOOK_PREFIX = {"atgq|": "BookATGQ", "md|": "BookMD", "messiah1|": "BookMessiah1
 def result_type(kind: Column, name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for a, b in _RESULT.items() for x in (TYPE[a], b)])
     of_book = reduce(lambda w, kv: w.when(name.startswith(kv[0]), F.lit(kv[1])), _BOOK_PREFIX.items(), F)
-    books = kind.isin([TYPE["BookChapter"], TYPE["BookParagraph"], TYPE["BookSentence"]])
+    books = kind.isin([TYPE["BookChapter"], TYPE["BookParagraph"]])
     return F.coalesce(F.when(books, of_book.otherwise(F.lit("Unknown"))), F.try_element_at(known, kind.cast("int")), F.lit("Unknown"))
 
 
@@ -223,10 +222,20 @@ def canon_of(kind: Column, name: Column) -> Column:
     return F.try_element_at(known, F.split_part(name, F.lit("|"), F.lit(1)))
 
 
+# What each output filter is for; one is for all books.
+CATEGORIES = ("ot", "nt", "bofm", "dc-testament", "pgp", "ConferenceTalk", "BibleDictionary", "Book", "ByuSpeech", "Hymn")
+_CATEGORY = {
+    "ConferenceTalk": "ConferenceTalk", "ConferenceTalkParagraph": "ConferenceTalk", "BibleDictionaryTopic": "BibleDictionary", "BibleDictionaryParagraph": "BibleDictionary",
+    "BookChapter": "Book", "BookParagraph": "Book", "ByuSpeech": "ByuSpeech", "ByuSpeechParagraph": "ByuSpeech", "Hymn": "Hymn", "HymnVerse": "Hymn",
+}
+NO_FILTER, NO_BOOK = "NoFilter", "NoBook"
+
+
 def category(kind: Column, name: Column) -> Column:
-    """What output filters go by: a canon, or a kind of document."""
-    scripture = kind.isin([TYPE[t] for t in ("ScriptureVerse", "ScriptureChapter", "ScriptureBook", "ScriptureSupplementalPara", "ScriptureSentence", "ScriptureSupplementalParaSentence")])
-    return F.when(scripture, canon_of(kind, name)).otherwise(result_type(kind, name))
+    """What output filters go by: a canon, or a kind of document; NO_FILTER for what is always shown, NO_BOOK for scripture of an unknown book."""
+    scripture = kind.isin([TYPE[t] for t in ("ScriptureVerse", "ScriptureChapter", "ScriptureBook")])
+    known = F.create_map(*[F.lit(x) for a, b in _CATEGORY.items() for x in (TYPE[a], b)])
+    return F.when(scripture, F.coalesce(canon_of(kind, name), F.lit(NO_BOOK))).otherwise(F.coalesce(F.try_element_at(known, kind.cast("int")), F.lit(NO_FILTER)))
 
 
 def pretty(kind: Column, name: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import BOOK_IDS, BOOKS, CANONS, MOST_VERSES, REFERENCE_WORKS, TYPE
+from .automaton import Automaton
 
 # The forms of links, and of hymn, proclamation and talk mentions.
 _LINK = re.compile(r"/study/scriptures/([^/]+)/([^/?\"]+)(?:/(\d+))?\?lang=\w+(?:&(?:amp;)?id=([^&#\"\s]+))?(?:&(?:amp;)?span=([^&#\"\s]+))?(?:#([^\"\s]+))?")
@@ -80,24 +81,63 @@ def _aliases() -> dict[str, str]:
 ALIASES = _aliases()
 _CANON = {b: c for b, c, _, _ in BOOKS}
 _CHAPTERS = {b: n for b, _, _, n in BOOKS}
-_NAMES = "|".join(re.escape(a).replace(r"\ ", r"\.?\s+") for a in sorted(ALIASES, key=len, reverse=True))
-_ONE = re.compile(rf"^\s*({_NAMES})\.?(?:\s*(\d+)(?::(\d+))?)?\s*\.?\s*$", re.I)
-_IN_TEXT = re.compile(rf"(?<![\w])({_NAMES})\.?,?\s*(?=\d)", re.I)
-
-
-def book_of(alias: str) -> str | None:
-    return ALIASES.get(re.sub(r"\s+", " ", alias.replace(".", " ")).strip().lower()) or ALIASES.get(re.sub(r"\s+", " ", alias.replace(".", "")).strip().lower())
+_AFTER_ONE = re.compile(r"\.?(?:\s*(\d+)(?::(\d+))?)?\s*\.?\s*$")
+_AFTER_NAME = re.compile(r"\.?,?\s*(?=\d)")
+_GAP = re.compile(r"\.?\s+")
+
+
+class Aliases:
+    """Names of books, found in running text by one pass of an automaton over it, in any case and with any spaces or dots between words."""
+
+    def __init__(self, books: dict[str, str] | None = None):
+        self.books = {_GAP.sub(" ", a).lower(): b for a, b in (ALIASES if books is None else books).items()}
+        self.automaton = Automaton(self.books)
+        self.longest = max(map(len, self.books), default=0)
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, book) of names that a number follows, from the left, the longest first; end is behind what may stand between."""
+        # in the form of the names, and where each character was
+        plain, places, at = [], [], 0
+        for m in _GAP.finditer(text):
+            plain += (text[at : m.start()], " ")
+            places += (*range(at, m.start()), m.start())
+            at = m.end()
+        plain.append(text[at:])
+        places += (*range(at, len(text)), len(text))
+        low = "".join(c if len(c) == 1 else "?" for c in map(str.lower, "".join(plain)))
+        tails: dict[int, int] = {}
+
+        def accept(s: int, e: int) -> bool:
+            before, end = places[s], places[e - 1] + 1
+            if before and (text[before - 1].isalnum() or text[before - 1] == "_"):
+                return False
+            tail = _AFTER_NAME.match(text, end)
+            if tail:
+                tails[e] = tail.end()
+            return tail is not None
+
+        return [(places[s], tails[e], self.books[name]) for s, e, name in self.automaton.longest(low, accept)]
+
+    def first(self, text: str) -> tuple[str, str | None, str | None] | None:
+        """(book, chapter, verse) of a string that is one reference."""
+        s = _GAP.sub(" ", text.strip()).lower()
+        for n in range(min(len(s), self.longest), 0, -1):
+            book = self.books.get(s[:n].rstrip(".")) if not s[n - 1].isspace() else None
+            if book and (m := _AFTER_ONE.match(s, n)):
+                return book, m[1], m[2]
+        return None
 
 
 class Parser:
     """Parses references; `verses` gives the verse counts of books (dims.verse_counts), `hymns` the songs by number (dims.hymn_names).
 
-    A chapter whose length isn't given is taken to have as many verses as the longest one has.
+    `aliases` gives names of books, instead of those that are known.  A chapter whose length isn't given is taken to have as many verses as the longest one has.
     """
 
-    def __init__(self, verses: dict[str, tuple[int, ...]] | None = None, hymns: dict[int, str] | None = None):
+    def __init__(self, verses: dict[str, tuple[int, ...]] | None = None, hymns: dict[int, str] | None = None, aliases: dict[str, str] | None = None):
         self.verses = verses or {}
         self.hymns = hymns or {}
+        self.aliases = Aliases(aliases)
 
     def n_verses(self, book: str, chapter: int) -> int:
         known = self.verses.get(book)
@@ -114,11 +154,10 @@ class Parser:
 
     def one(self, text: str) -> Reference | None:
         """A string that is one reference: a book, a chapter or a verse."""
-        m = _ONE.match(text)
-        book = book_of(m[1]) if m else None
-        if not book:
+        found = self.aliases.first(text)
+        if not found:
             return None
-        chapter, verse = (int(m[2]) if m[2] else None), (int(m[3]) if m[3] else None)
+        book, chapter, verse = found[0], *(int(x) if x else None for x in found[1:])
         if chapter is not None and verse is None and _CHAPTERS[book] == 1:
             chapter, verse = 1, chapter
         r = Reference(_CANON[book], book, chapter, verse)
@@ -126,13 +165,10 @@ class Parser:
 
     def in_text(self, text: str) -> list[Reference]:
         """All references in running text; a chapter carries over to the verses after it."""
-        found = list(_IN_TEXT.finditer(text))
+        found = self.aliases.find(text)
         out: list[Reference] = []
-        for k, m in enumerate(found):
-            book = book_of(m[1])
-            if not book:
-                continue
-            at, stop = m.end(), found[k + 1].start() if k + 1 < len(found) else len(text)
+        for k, (_, at, book) in enumerate(found):
+            stop = found[k + 1][0] if k + 1 < len(found) else len(text)
             chapter = 1 if _CHAPTERS[book] == 1 else None
             named, canon = False, _CANON[book]
             while s := _STEP.match(text, at, stop):

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from ..dims import TYPE, WEIGHT10
 from ..functions import nodes as N
 from ..functions import text as T
-from ..functions.html import format_fragment, select
+from ..functions.html import format_fragment
 from ..functions.references import Parser
+from ..functions.selectors import Selectors, outermost
 from . import features as X
+from . import segments as Q
 
 Accept = list[tuple[str, str | None, str | None]]
 
@@ -95,17 +97,29 @@ def _clean_author(html: str) -> str:
     return re.sub(r"^(?:[Bb]y\s+)?(?:(?:Elder|President|Sister|Bishop|Brother)\s+)?", "", re.sub(r"\([^)]*\)", "", _plain(html))).strip()
 
 
-def _parse(source: Source, url: str, html: str, parser: Parser) -> dict | None:
+#: All that a page of any source is read for, in one pass: titles, authors, forums, notes and paragraphs.
+_FORUM = ["//a[@class~=\"single-speech__type\"]"]
+
+
+def _paths(source: Source) -> dict[str, list[str]]:
+    test = lambda t, a, v: f"//{t}" + (f'[@{a}~="{v}"]' if a and v is not None else f"[@{a}]" if a else "")
+    each = lambda accept: [test(*x) for x in accept]
+    return {"title": each(source.title), "author": each(source.author), "forum": _FORUM, "note": ["//li[@id]"], "body": [] if source.body_pattern else each(source.body)}
+
+
+def _parse(source: Source, selectors: Selectors, url: str, html: str, parser: Parser) -> dict | None:
     found = _id_of(source, url)
     if not found:
         return None
     name, more = found
     if source.kind == "hymn" and (song := parse_song(html)):
         return {"url": url, "kind": source.kind, "type": TYPE[source.node], "name": name, "title": song["title"], "author": None, "paragraphs": song["paragraphs"], **more}
-    title = next((_plain(x) for _, _, x in select(html, source.title)), None)
-    author = next((_clean_author(x) for _, _, x in select(html, source.author)), None) if source.author else None
-    notes = {a.get("id"): parser.everything(x) for _, a, x in select(html, [("li", "id", None)]) if a.get("id")}
-    bodies = [({}, x) for x in re.findall(source.body_pattern, html)] if source.body_pattern else [(a, x) for _, a, x in select(html, source.body)]
+    page = {n: outermost(f) for n, f in selectors.match(html).items()}
+    title = next((_plain(x.inner) for x in page["title"]), None)
+    author = next((_clean_author(x.inner) for x in page["author"]), None)
+    forum = next((_plain(x.inner) for x in page["forum"]), None)
+    notes = {x.attrs["id"]: parser.everything(x.inner) for x in page["note"] if x.attrs["id"]}
+    bodies = [({}, x) for x in re.findall(source.body_pattern, html)] if source.body_pattern else [(x.attrs, x.inner) for x in page["body"]]
     rows, k = [], 0
     for attrs, inner in bodies:
         words = (attrs.get("class") or "").split()
@@ -126,7 +140,7 @@ def _parse(source: Source, url: str, html: str, parser: Parser) -> dict | None:
         if source.numbered:  # links within the chapter say nothing new
             refs = {(t, n): low for (t, n), low in refs.items() if not n.startswith(f"{name}|")}
         rows.append({"id": pid, "class": kind, "text": text, "refs": [{"type": t, "name": n, "low_emphasis": low} for (t, n), low in refs.items()], "marked": marked})
-    return {"url": url, "kind": source.kind, "type": TYPE[source.node], "name": name, "title": title, "author": author, "paragraphs": rows, **more}
+    return {"url": url, "kind": source.kind, "type": TYPE[source.node], "name": name, "title": title, "author": author, "forum": forum, "paragraphs": rows, **more}
 
 
 def parse_song(html: str, parser: Parser | None = None) -> dict | None:
@@ -148,12 +162,12 @@ def parse_song(html: str, parser: Parser | None = None) -> dict | None:
 
 def parse_pages(pages: DataFrame, source: Source, parser: Parser | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages of one source in the common shape; other pages and null ones are left out."""
-    p = parser or Parser()
+    p, selectors = parser or Parser(), Selectors(_paths(source))
     names = [c.split()[0] for c in PARSED.split(", ")[:-1]] + ["paragraphs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made = [x for u, h in zip(rows[url_col], rows[html_col], strict=True) if u and h and (x := _parse(source, u, h, p))]
+            made = [x for u, h in zip(rows[url_col], rows[html_col], strict=True) if u and h and (x := _parse(source, selectors, u, h, p))]
             yield pd.DataFrame([[x.get(c) for c in names] for x in made], columns=names).astype({"year": "Int32"})
 
     mine = pages.where(F.col(url_col).rlike(source.address)).select(url_col, html_col)
@@ -161,22 +175,22 @@ def parse_pages(pages: DataFrame, source: Source, parser: Parser | None = None,
 
 
 def is_valid_talk(title: Column, author: Column) -> Column:
-    """No reports, statistics or sustainings, and an author of sane length."""
-    # Titles that are no talks.
-    bad = ("Audit", "Auditing", "Finance", "Financial Report", "Statistical", "Sustaining", "Solemn Assembly", "Welfare Session")
-    ok = F.trim(F.coalesce(author, F.lit(""))) != ""
-    for b in bad:
-        ok = ok & ~F.coalesce(title, F.lit("")).contains(b)
-    return ok & ~author.contains("Presented by") & (F.length(author) <= 70)
+    """No reports of audits or finances, statistics, sustainings of officers or welfare meetings, and an author of sane length."""
+    t, by = F.coalesce(title, F.lit("")), F.coalesce(author, F.lit(""))
+    # What titles and authors tell that are no talks.
+    report = (t.contains("Audit") | t.contains("Finance")) & t.contains("Report")
+    sustaining = t.contains("Sustain") & t.contains("Officers")
+    welfare = F.lower(t).contains("welfare services meeting") | F.lower(t).contains("welfare services session")
+    return ~report & ~t.contains("Statistic") & ~sustaining & ~welfare & ~by.contains("Presented by") & by.rlike(r"\S") & (F.length(by) <= 70)
 
 
 def is_devotional(parsed: DataFrame, least_paragraphs: int = 3, least_score: float = 1.0) -> DataFrame:
-    """Speeches of the devotional forum with enough paragraphs and references: distinct chapters per paragraph x 600 / words."""
+    """Speeches whose forum is just that of devotionals, in any case, with enough paragraphs and references: distinct chapters per paragraph x 600 / words."""
     chapters = lambda p: F.array_distinct(F.transform(F.filter(p["refs"], lambda r: r["type"] == TYPE["ScriptureVerse"]), lambda r: N.drop_last(r["name"])))
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
     n = total(F.transform("paragraphs", lambda p: F.size(chapters(p))))
     words = total(F.transform("paragraphs", lambda p: F.size(F.split(F.trim(p["text"]), r"\s+"))))
-    forum = F.col("forum").isNull() | F.col("forum").contains("Devotional")
+    forum = F.coalesce(F.lower(F.trim("forum")) == "devotional", F.lit(False))
     return parsed.where(forum & (F.size("paragraphs") >= least_paragraphs) & (words > 0) & (n * 600 / words >= least_score))
 
 
@@ -294,21 +308,40 @@ def documents(parsed: DataFrame, source: Source) -> DataFrame:
     return joined.select(F.lit(source.kind).alias("type"), N.to_text(F.col("type"), F.col("name")).alias("eid"), F.lit("en").alias("lang"), "title", "speaker", "year", "phase", "paragraphs")
 
 
-def segment_encyclopedia(paras: DataFrame, parser: Parser | None = None) -> DataFrame:
-    """(archive, topic, text, length, see): an encyclopedia's stream of paragraphs cut at headings in capitals; short topics stay only if they refer to others."""
-    heading = F.when(F.col("text").rlike(r"^[A-Z][A-Z ,.'’()-]{2,}$"), F.regexp_replace("text", r"[.\s]+$", ""))
-    w = Window.partitionBy("archive").orderBy("file", "pos")
-    rows = paras.withColumn("_h", heading).withColumn("_i", F.row_number().over(w))
-    again = Window.partitionBy("archive", "_h").orderBy("_i")
-    rows = rows.withColumn("_gap", F.col("_i") - F.lag("_i").over(again))
-    rows = rows.where(F.col("_h").isNull() | F.col("_gap").isNull() | (F.col("_gap") > 5))
-    rows = rows.withColumn("topic", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    body = rows.where(F.col("_h").isNull() & F.col("topic").isNotNull())
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda x: x["text"]), "\n")
-    topics = body.groupBy("archive", "topic").agg(texts.alias("text"))
-    see = F.transform(F.split(F.regexp_extract("text", r"(?i)\bsee\s+(?:also\s+)?([A-Z][^.]*)", 1), r"[,;]\s*"), F.trim)
-    topics = topics.withColumn("see", F.filter(see, lambda x: x != "")).withColumn("length", F.length("text"))
-    return topics.where((F.col("length") >= 30) | (F.size("see") > 0)).select("archive", "topic", "text", "length", "see")
+# Headings of an encyclopedia, lines that look like one but are none, lines that refer to other topics and those that go on with that, and lines with a word.
+HEADING, NO_HEADING = r"^ *\( *(.+) .{0,4}$", "Discourses of Wilford Woodruff"
+SEE, SEE_ON, MEANINGFUL = r"^ *See +([A-Z][a-zA-Z, '.()-]+)$", r"^ *[A-Z, '.()-]+ *$", r"[a-zA-Z]{3}"
+SHORT_TOPIC = 30
+
+
+def segment_encyclopedia(paras: DataFrame, heading: str = HEADING) -> DataFrame:
+    """(archive, number, topic, text, length, see): an encyclopedia's stream of paragraphs (archive, file, pos, text) cut at its headings.
+
+    Page headers that repeat a nearby topic are dropped, lines that refer to other topics are read as such, and topics of
+    less than 30 characters stay only, and without their text, if they refer to others.  An archive is never ordered by one task."""
+    group, order = ["archive"], ["file", "pos"]
+    found = F.when(~F.col("text").contains(NO_HEADING), F.regexp_extract("text", heading, 1))
+    name = F.regexp_replace(F.trim(found), r"[) ]+$", "")
+    rows = Q.topic_stream(paras.withColumn("_name", F.when(name != "", name)), group, order, "_name")
+    # what a line is: a reference, text, or one that depends on which of the two came last
+    line = F.trim(F.regexp_replace("text", " +", " "))
+    rows = rows.withColumn("text", line)
+    sees, goes_on, says = F.col("text").rlike(SEE), F.col("text").rlike(SEE_ON), F.col("text").rlike(MEANINGFUL)
+    w = Window.partitionBy(*group, "number").orderBy(*order)
+    before = F.last(F.when(sees, "see").when(says & ~goes_on, "text"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    kind = F.when(sees, "see").when(goes_on & F.coalesce(before == "see", F.lit(False)), "on").when(says, "text")
+    split = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    undotted = F.filter(F.transform(split(F.regexp_extract("text", SEE, 1)), lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")), lambda x: F.trim(x) != "")
+    rows = rows.withColumn("_kind", kind)
+    rows = rows.withColumn("_see", F.when(F.col("_kind") == "see", undotted).when(F.col("_kind") == "on", split(F.col("text"))))
+    at = [F.col(c) for c in order]
+    texts = F.array_sort(F.collect_list(F.when(F.col("_kind") == "text", F.struct(*at, "text"))))
+    see = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("_see").isNotNull(), F.struct(*at, "_see")))), lambda x: x["_see"]))
+    topics = rows.groupBy(*group, "number", "topic").agg(texts.alias("_texts"), see.alias("see"))
+    topics = topics.withColumn("length", F.aggregate("_texts", F.lit(0), lambda n, x: n + F.length(x["text"])))
+    long = F.col("length") >= SHORT_TOPIC
+    body = F.when(long, F.array_join(F.transform("_texts", lambda x: x["text"]), "\n")).otherwise("")
+    return topics.where(long | (F.size("see") > 0)).select(*group, "number", "topic", body.alias("text"), F.when(long, F.col("length")).otherwise(0).alias("length"), "see")
 
 
 def see_also(topics: DataFrame, book: str = "md") -> DataFrame:

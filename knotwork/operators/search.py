@@ -14,8 +14,8 @@ from .spread import NODE, Query, run
 
 # Node types that a search may show, and such as only carry activation.
 SHOWN = (
-    "ScriptureVerse", "ScriptureChapter", "ScriptureBook", "ScriptureSupplementalPara", "BibleDictionaryTopic", "BibleDictionaryParagraph",
-    "ConferenceTalk", "ConferenceTalkParagraph", "BookChapter", "BookParagraph", "ByuSpeech", "ByuSpeechParagraph", "Hymn", "ProclamationParagraph", "Proclamation",
+    "ScriptureVerse", "ConferenceTalk", "ConferenceTalkParagraph", "BibleDictionaryTopic", "BibleDictionaryParagraph", "BookChapter", "BookParagraph",
+    "ByuSpeech", "ByuSpeechParagraph", "Hymn", "HymnVerse", "Proclamation", "ProclamationParagraph",
 )
 HIDDEN = ("Word", "NGram", "CharNGram")
 UNKNOWN_NAME = "UNKNOWN_NAME"
@@ -61,10 +61,10 @@ def by_paragraph(results: DataFrame) -> DataFrame:
     return results.select(p["type"].alias("type"), p["name"].alias("name"), "score").groupBy(*NODE).agg(F.max("score").alias("score"))
 
 
-def in_categories(results: DataFrame, enabled: list[str], known: list[str]) -> DataFrame:
-    """Results of enabled categories; categories that no filter knows pass."""
+def in_categories(results: DataFrame, enabled: list[str]) -> DataFrame:
+    """Results of enabled categories (nodes.CATEGORIES); what no filter is for passes, verses of unknown books don't."""
     c = N.category(F.col("type"), F.col("name"))
-    return results.where(c.isin(enabled) | ~c.isin(known) | c.isNull())
+    return results.where(c.isin([*enabled, N.NO_FILTER]))
 
 
 def _best_first(name: str = "score") -> list[Column]:
@@ -137,12 +137,12 @@ def fast_search(phrase: str, index: EdgeStore, names: DataFrame, limit: int = 10
     for kind, name in char_nodes(phrase):
         q.add_root(kind, name)
     found = named(above_share(visible(run(q, index)), 0.25), names)
-    spark = index.sparkSession
+    spark = index.edges.sparkSession
     literal = spark.createDataFrame([(TYPE["Word"], phrase, 1000.0, phrase, phrase)], "type short, name string, score double, plain_name string, display_name string")
     return literal.unionByName(one_per_name(found, "plain_name", limit)).orderBy(F.desc("score"), *NODE)
 
 
-def slow_search(query: Query, graph: EdgeStore, enabled: list[str] | None = None, known: list[str] | None = None, ignored: DataFrame | None = None, limit: int = 50, min_confidence: float = 0.0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def slow_search(query: Query, graph: EdgeStore, enabled: list[str] | None = None, ignored: DataFrame | None = None, limit: int = 50, min_confidence: float = 0.0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Deep search: (results, activated words).
 
     Results are paragraphs and documents of enabled categories, one a document, above a hundredth of the
@@ -151,12 +151,12 @@ def slow_search(query: Query, graph: EdgeStore, enabled: list[str] | None = None
     found = run(query, graph)
     results = shown(by_paragraph(found), extra)
     if enabled is not None:
-        results = in_categories(results, enabled, known or enabled)
+        results = in_categories(results, enabled)
     if ignored is not None:
         results = without_documents(results, ignored)
     results = top(above_share(best_per_document(results), 0.01), limit, min_confidence)
     words = above_share(found, 0.01).where(F.col("type").isin(TYPE["Word"], TYPE["NGram"]))
-    roots = query.roots(graph.sparkSession).where(F.col("type").isin(TYPE["Word"], TYPE["NGram"])).select(*NODE, F.lit(1.0).alias("score")).distinct()
+    roots = query.roots(graph.edges.sparkSession).where(F.col("type").isin(TYPE["Word"], TYPE["NGram"])).select(*NODE, F.lit(1.0).alias("score")).distinct()
     return results, words.unionByName(roots)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ordered as O
 
 
 def merge_runs(rows: DataFrame, part: list[str], order: str, in_run: Column, text_col: str = "text", sep: str = "\n") -> DataFrame:
@@ -25,23 +26,47 @@ def fill_heading(rows: DataFrame, part: list[str], order: str, heading: Column,
     return rows.withColumn(name, F.last(heading, ignorenulls=True).over(w))
 
 
-def drop_repeated_headings(rows: DataFrame, part: list[str], order: str, heading: str, before: int = 5, after: int = 4) -> DataFrame:
-    """Rows without a heading that also stands on another line of the same part nearby, after it: page headers.
+#: A body line that equals a topic is a page header if the topic is at most so many places before the line's own, or less than so many behind.
+NEAR = 5
 
-    Of equal headings within `before` lines back and `after` lines ahead the first stays.
-    """
-    w = Window.partitionBy(*part, heading).orderBy(order)
-    near = F.col(order) - F.lag(order).over(w) <= max(before, after)
-    return rows.withColumn("_again", F.col(heading).isNotNull() & F.coalesce(near, F.lit(False))).where(~F.col("_again")).drop("_again")
+
+def topic_stream(rows: DataFrame, group: list[str], order: list[str], name: str, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """Body lines with their topic and its number, from a stream of lines some of which name a topic.
+
+    The first line that names a topic begins it; later ones of the same name, in any case, are body text.  Lines before the
+    first topic are left out, and so are lines that only repeat a nearby topic: of number n, c - near <= n < c + near,
+    where c is the topic that is repeated.  A topic without lines gives one row without text."""
+    lines = O.dealt(rows, group, order)
+    firsts = lines.where(F.col(name).isNotNull()).groupBy(*group, F.lower(name).alias("_low")).agg(F.min(F.struct(*order)).alias("_at"))
+    firsts = firsts.select(*group, F.col("_at.*"), F.lit(True).alias("_begins"))
+    lines = lines.join(firsts, [*group, *order], "left")
+    begins = F.coalesce("_begins", F.lit(False))
+    lines = O.running(lines, group, order, last={"topic": F.when(begins, F.col(name))}, count={"number": begins})
+    topics = lines.where(begins).select(*group, F.lower(name).alias("_low"), F.col("number").alias("_of"))
+    body = lines.where(F.col("number") > 0).withColumn(text_col, F.when(~begins, F.col(text_col)))
+    said = F.trim(F.regexp_replace(text_col, " +", " "))
+    body = body.withColumn("_low", F.lower(said)).join(topics, [*group, "_low"], "left")
+    again = (F.col("number") >= F.col("_of") - near) & (F.col("number") < F.col("_of") + near)
+    return body.where(~F.coalesce(again, F.lit(False))).drop("_low", "_of", "_begins", "_part", name)
 
 
 def notes_in_sentences(sentences: DataFrame, notes: DataFrame, part: list[str], slack: int = 5) -> DataFrame:
     """Sentences (start, end) joined with notes (pos) that lie in them or up to `slack` behind.
 
-    The equality on `part` bounds what meets; the range is tested within.
-    """
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end") + slack)
-    return sentences.join(notes, part).where(inside)
+    Sentences of a part must not overlap or begin at the same place.  Then those that can hold a note are the ones that begin at
+    most `slack` before it, of which there are `slack` + 1 at most, and the last one before these.  Sentences and notes are
+    one sequence by place, over which two range frames find them: no sentence is paired with a note that it can't hold."""
+    c = F.col
+    rest_s, rest_n = [x for x in sentences.columns if x not in part], [x for x in notes.columns if x not in part]
+    s, n = sentences.select(*part, F.struct(*rest_s).alias("_s"), c("start").alias("_at")), notes.select(*part, F.struct(*rest_n).alias("_n"), c("pos").alias("_at"))
+    both = s.unionByName(n, allowMissingColumns=True)
+    by_place = Window.partitionBy(*part).orderBy("_at")
+    near = F.collect_list("_s").over(by_place.rangeBetween(-slack, 0))
+    earlier = F.last("_s", ignorenulls=True).over(by_place.rangeBetween(Window.unboundedPreceding, -slack - 1))
+    swept = both.withColumn("_near", near).withColumn("_earlier", F.array_compact(F.array(earlier))).where(c("_n").isNotNull())
+    met = swept.select(*part, "_n", F.explode(F.concat("_earlier", "_near")).alias("_s"))
+    found = met.where((c("_n.pos") >= c("_s.start")) & (c("_n.pos") <= c("_s.end") + slack))
+    return found.select(*part, *[c(f"_s.{x}") for x in rest_s], *[c(f"_n.{x}") for x in rest_n])
 
 
 def range_join(left: DataFrame, right: DataFrame, start: str, end: str, at: str, width: float) -> DataFrame:

@@ -98,6 +98,57 @@ def spread(start: DataFrame, store: EdgeStore, min_activation: float = 1e-4, max
     return cut(total(*parts))
 
 
+#: Of a node's activation at most this share is passed on by all of its edges together: edges' x = mass * n / total are 1 on
+#: average, and no mean of sigmoid((x - 1) / 2) over x >= 0 with that average exceeds it (its concave hull at 1).
+MOST_PASSED = 0.501
+#: Frontier classes of an octave of activation.
+CLASSES = 8
+
+
+@dataclass(frozen=True)
+class BestFirst:
+    """What was found, the edges that were read for it, and the most that is missing from it, over all nodes together (0: nothing)."""
+
+    found: DataFrame
+    edges: int
+    bound: float
+
+
+def best_first(start: DataFrame, store: EdgeStore, most_edges: int, min_activation: float = 1e-4, max_hops: int = 16) -> BestFirst:
+    """Spreading of one scope that reads at most so many edges, from the nodes that can pass on most.
+
+    Hops are as in spread().  The active nodes of a hop are dealt to classes by their activation, which bounds what they pass on; classes are
+    taken from the highest on while their edges fit into the budget.  If some do not fit, they and later hops are left out,
+    and what all of that could have brought is bounded: a hop passes on at most MOST_PASSED of what it gets."""
+    active = cut(start.select(*NODE, "v"))
+    parts, spent = [active], 0
+    for k in range(max_hops):
+        alive = active.where(F.col("v") >= min_activation)
+        n, buckets = alive.agg(F.count("*"), F.collect_set(store.bucket(F.col("type"), F.col("name")))).first()
+        if not n:
+            break
+        heads = store.within(buckets).where(F.col("before10").isNull()).select(F.col("src_type").alias("type"), F.col("src_name").alias("name"), "num_edges")
+        sized = cut(alive.join(heads, NODE).withColumn("_class", F.floor(F.log2("v") * CLASSES)))
+        # one row a class: eight for each doubling of activation
+        classes = sorted(sized.groupBy("_class").agg(F.sum("num_edges").alias("n"), F.sum("v").alias("v")).collect(), key=lambda r: -r["_class"])
+        taken, fits = [], most_edges - spent
+        for r in classes:
+            if r["n"] > fits:
+                break
+            taken.append(r)
+            fits -= r["n"]
+        spent = most_edges - fits
+        if taken:
+            first = sized.where(F.col("_class") >= taken[-1]["_class"]).select(*NODE, "v")
+            active = cut(hop(first, store, min_activation, n <= BROADCAST_NODES, buckets).drop("mask"))
+            parts.append(active)
+        if len(taken) < len(classes):
+            left, every = sum(r["v"] for r in classes[len(taken) :]), sum(r["v"] for r in classes)
+            later = sum(MOST_PASSED ** (j + 1) for j in range(1, max_hops - k)) * every
+            return BestFirst(cut(total(*parts)), spent, MOST_PASSED * left + later)
+    return BestFirst(cut(total(*parts)), spent, 0.0)
+
+
 def overlap(acts: DataFrame, pairs: list[lattice.Merge], factor: float) -> DataFrame:
     """(mask, type, name, v): what the two masks of each pair share, with `factor` times the sum of their activations."""
     named = acts.sparkSession.createDataFrame([(p.a, p.b, p.mask) for p in pairs], "a long, b long, union long")

@@ -564,4 +564,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # queries of other modules register themselves
-from . import queries_model, queries_sites  # noqa: E402, F401
+from . import queries_model, queries_parts, queries_sites  # noqa: E402, F401

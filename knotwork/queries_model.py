@@ -104,18 +104,19 @@ def chapter_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Of an entity made from k: its own type and name, its document, what it is named by, its result type and its category.
 CASES = [
     ("ScriptureVerse", "'gen|' || k || '|2'", "ScriptureChapter", "'gen|' || k", "ScriptureVerse", "'gen|' || k || '|2'", "ScriptureVerse", "ot"),
-    ("ScriptureSentence", "'alma|' || k || '|2|1'", "ScriptureChapter", "'alma|' || k", "ScriptureVerse", "'alma|' || k || '|2'", "ScriptureVerse", "bofm"),
+    ("ScriptureSentence", "'alma|' || k || '|2|1'", "ScriptureChapter", "'alma|' || k", "ScriptureVerse", "'alma|' || k || '|2'", "Unknown", "NoFilter"),
     ("ScriptureBook", "'rev'", "ScriptureChapter", "'rev|1'", "ScriptureBook", "'rev'", "ScriptureBook", "nt"),
-    ("ConferenceTalkSentence", "'1999|04|t' || k || '|p1|2'", "ConferenceTalk", "'1999|04|t' || k", "ConferenceTalk", "'1999|04|t' || k", "ConferenceTalk", "ConferenceTalk"),
-    ("BookParagraph", "'atgq|' || k || '|1'", "BookChapter", "'atgq|' || k", "BookChapter", "'atgq|' || k", "BookATGQ", "BookATGQ"),
-    ("BookSentence", "'messiah2|' || k || '|1|3'", "BookChapter", "'messiah2|' || k", "BookChapter", "'messiah2|' || k", "BookMessiah2", "BookMessiah2"),
+    ("ConferenceTalkSentence", "'1999|04|t' || k || '|p1|2'", "ConferenceTalk", "'1999|04|t' || k", "ConferenceTalk", "'1999|04|t' || k", "Unknown", "NoFilter"),
+    ("BookParagraph", "'atgq|' || k || '|1'", "BookChapter", "'atgq|' || k", "BookChapter", "'atgq|' || k", "BookATGQ", "Book"),
+    ("BookSentence", "'messiah2|' || k || '|1|3'", "BookChapter", "'messiah2|' || k", "BookChapter", "'messiah2|' || k", "Unknown", "NoFilter"),
     ("ByuSpeechParagraph", "'s|t' || k || '|4'", "ByuSpeech", "'s|t' || k", "ByuSpeech", "'s|t' || k", "ByuSpeech", "ByuSpeech"),
     ("HymnVerse", "'song' || k || '|1'", "Hymn", "'song' || k", "Hymn", "'song' || k", "Hymn", "Hymn"),
-    ("ProclamationParagraph", "'fam|' || k", "Proclamation", "'fam'", "Proclamation", "'fam'", "Proclamation", "Proclamation"),
-    ("BibleDictionaryParagraph", "'ark|' || k", "BibleDictionaryTopic", "'ark'", "BibleDictionaryTopic", "'ark'", "Topic", "Topic"),
-    ("ConferenceSpeaker", "'john ' || k", "ConferenceSpeaker", "'john ' || k", "ConferenceSpeaker", "'john ' || k", "Person", "Person"),
-    ("Word", "k || '|en'", "Word", "k || '|en'", "Word", "k || '|en'", "KeywordPhrase", "KeywordPhrase"),
-    ("Year", "'' || k", "Year", "'' || k", "Year", "'' || k", "Unknown", "Unknown"),
+    ("ProclamationParagraph", "'fam|' || k", "Proclamation", "'fam'", "Proclamation", "'fam'", "Proclamation", "NoFilter"),
+    ("BibleDictionaryParagraph", "'ark|' || k", "BibleDictionaryTopic", "'ark'", "BibleDictionaryTopic", "'ark'", "BibleDictionary", "BibleDictionary"),
+    ("ConferenceSpeaker", "'john ' || k", "ConferenceSpeaker", "'john ' || k", "ConferenceSpeaker", "'john ' || k", "Person", "NoFilter"),
+    ("Word", "k || '|en'", "Word", "k || '|en'", "Word", "k || '|en'", "Unknown", "NoFilter"),
+    ("Year", "'' || k", "Year", "'' || k", "Year", "'' || k", "Unknown", "NoFilter"),
+    ("ScriptureVerse", "'jst-luke|' || k || '|2'", "ScriptureChapter", "'jst-luke|' || k", "ScriptureVerse", "'jst-luke|' || k || '|2'", "ScriptureVerse", "NoBook"),
 ]
 
 
@@ -171,11 +172,15 @@ def char_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- dates and checks
 
-TALK_TITLE = "CASE k % 6 WHEN 0 THEN 'Statistical Report of ' || k WHEN 1 THEN 'The Sustaining of Officers' ELSE 'On lamp ' || k END"
-TALK_AUTHOR = "CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'Presented by lamp ' || k WHEN 2 THEN repeat('long name ', 8) ELSE 'John Lamp ' || k END"
+TITLES = ("Auditing of ", "Audit Report of ", "Finance of ", "The Finance Committee Report ", "Statistics and ", "Sustaining of ", "The Sustaining of Church Officers ", "Solemn Assembly ", "WELFARE SERVICES session ", "Welfare Session ", "Report of ")
+AUTHORS = ("John Lamp ", "", " \t ", "Presented by lamp ", "long name long name long name long name long name long name long name ")
+TALK_TITLE = f"element_at(array({', '.join(map(_lit, TITLES))}), cast(1 + k % {len(TITLES)} as int)) || p_name"
+TALK_AUTHOR = f"element_at(array({', '.join(map(_lit, AUTHORS))}), cast(1 + k % {len(AUTHORS)} as int)) || CASE WHEN k % {len(AUTHORS)} IN (1, 2) THEN '' ELSE p_brand END"
 
 
-@query(f"WITH {PARTS} SELECT k, {TALK_TITLE} AS title FROM p WHERE k % 6 > 1 AND k % 7 > 2")
+@query(f"""WITH {PARTS}, t AS (SELECT k, ([{', '.join(map(_lit, TITLES))}])[1 + k % {len(TITLES)}] || p_name AS title, ([{', '.join(map(_lit, AUTHORS))}])[1 + k % {len(AUTHORS)}] || CASE WHEN k % {len(AUTHORS)} IN (1, 2) THEN '' ELSE p_brand END AS author FROM p)
+SELECT k, title FROM t WHERE NOT ((contains(title, 'Audit') OR contains(title, 'Finance')) AND contains(title, 'Report')) AND NOT contains(title, 'Statistic') AND NOT (contains(title, 'Sustain') AND contains(title, 'Officers'))
+AND NOT regexp_matches(title, '(?i)welfare services (meeting|session)') AND NOT contains(author, 'Presented by') AND regexp_matches(author, '\\S') AND length(author) <= 70""")
 def valid_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talks that are none are left out."""
     t = parts(spark, sf_dir).select("k", F.expr(TALK_TITLE).alias("title"), F.expr(TALK_AUTHOR).alias("author"))
@@ -201,13 +206,17 @@ def dates_and_conferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", D.speech_date(text).cast("string").alias("date"), c["year"].alias("year"), c["phase"].alias("phase"))
 
 
-@query(f"WITH {PARTS} SELECT k FROM p WHERE k % 3 = 2 AND k % 2 = 0")
+FORUMS = "'Devotional', 'A Devotional', NULL, 'devotional', 'Forum', ' DEVOTIONAL '"
+
+
+@query(f"""WITH {PARTS}, s AS (SELECT k, ([{FORUMS}])[1 + k % 6] AS forum, 2 + k % 3 AS n, string_split(p_name, ' ') AS ws FROM p)
+SELECT k FROM s WHERE lower(trim(forum)) = 'devotional' AND n >= 3 AND n * 600 / (n * len(ws)) >= 110""")
 def devotionals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speeches of the right forum with enough paragraphs and references."""
+    """Speeches of the right forum with enough paragraphs and references for their words."""
     v, ref = _type("ScriptureVerse"), "array<struct<type:smallint,name:string,low_emphasis:boolean>>"
-    paras = F.expr(f"transform(sequence(1, 2 + cast(k % 3 as int)), j -> struct('p' || j as id, 'some words of text' as text, cast(array(named_struct('type', {v}, 'name', 'alma|' || j || '|1', 'low_emphasis', false)) as {ref}) as refs))")
-    rows = parts(spark, sf_dir).select("k", F.when(F.col("k") % 2 == 0, "A Devotional").otherwise("Forum").alias("forum"), paras.alias("paragraphs"))
-    return E.is_devotional(rows, least_paragraphs=4, least_score=100.0).select("k")
+    paras = F.expr(f"transform(sequence(1, 2 + cast(k % 3 as int)), j -> struct('p' || j as id, p_name as text, cast(array(named_struct('type', {v}, 'name', 'alma|' || j || '|1', 'low_emphasis', false), named_struct('type', {v}, 'name', 'alma|' || j || '|2', 'low_emphasis', true)) as {ref}) as refs))")
+    rows = parts(spark, sf_dir).select("k", F.expr(f"element_at(array({FORUMS}), cast(1 + k % 6 as int))").alias("forum"), paras.alias("paragraphs"))
+    return E.is_devotional(rows, least_paragraphs=3, least_score=110.0).select("k")
 
 
 # ---- names
@@ -332,16 +341,16 @@ BOOK_GRAPH = f"{WITH_WORDS}, f AS (SELECT {PARA} AS a_type, {BOOKED} AS a_name,
 
 
 def _book_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A deep search among documents that are chapters of three books, one of which is off, and some of which are open already."""
+    """A deep search among documents that are chapters of books, some of which are open already; filters of other kinds are off."""
     d = documents(spark, sf_dir).select(F.expr(BOOKED).alias("name"), "text", "doc_id")
     graph = A.prepare(G.edges(X.text_features(d, "name", "text", entity="BookParagraph", kinds=("word",))))
     open_already = d.where("doc_id % 10 = 0").select(F.lit(PARA).cast("short").alias("type"), "name")
     q = _one_scope(HOPS)
-    return S.slow_search(q, graph, enabled=["BookATGQ"], known=["BookATGQ", "BookMD"], ignored=open_already, limit=50, min_confidence=0.2)
+    return S.slow_search(q, graph, enabled=["Book", "ot"], ignored=open_already, limit=50, min_confidence=0.2)
 
 
 @query(f"""{BOOK_GRAPH}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops("r", "h")},
-g AS (SELECT type, name, v FROM h_all WHERE type = {PARA} AND name NOT LIKE 'md|%' AND split_part(name, '|', 2)::BIGINT % 10 <> 0)
+g AS (SELECT type, name, v FROM h_all WHERE type = {PARA} AND split_part(name, '|', 2)::BIGINT % 10 <> 0)
 SELECT type::INT AS type, name, round(v, 6) AS score FROM g WHERE round(v, 9) >= round(0.01 * (SELECT max(v) FROM g), 9) AND v * 1000 > 0.2 ORDER BY round(v, 9) DESC, type, name LIMIT 50""")
 def slow_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of books that are on, of documents not open, one a document, best first."""
@@ -356,7 +365,7 @@ def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{BOOK_GRAPH}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops("r", "h")},
-g AS (SELECT type, name, v FROM h_all WHERE type = {PARA} AND name NOT LIKE 'md|%' AND split_part(name, '|', 2)::BIGINT % 10 <> 0),
+g AS (SELECT type, name, v FROM h_all WHERE type = {PARA} AND split_part(name, '|', 2)::BIGINT % 10 <> 0),
 best AS (SELECT * FROM g WHERE round(v, 9) >= round(0.01 * (SELECT max(v) FROM g), 9) AND v * 1000 > 0.2 ORDER BY round(v, 9) DESC, type, name LIMIT 50)
 SELECT name, md5(text) AS text_md5 FROM best LEFT JOIN (SELECT {BOOKED} AS name, text FROM documents) USING (name)""")
 def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,13 +404,23 @@ def first_with_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sequences
 
-@query("""WITH o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-l AS (SELECT *, i - lag(i) OVER (PARTITION BY user_id, event_type ORDER BY i) AS gap FROM o) SELECT event_id FROM l WHERE gap IS NULL OR gap > 5""")
+# A stream of lines for each user, some of which name a topic, and others repeat one.
+LINE = "CASE event_id % 3 WHEN 0 THEN '( ' || upper(event_type) || ' ' || chr(CAST(65 + event_id % 23 AS INT)) || ' )' WHEN 1 THEN '  ' || event_type || '   ' || chr(CAST(65 + event_id % 23 AS INT)) || ' ' ELSE 'value ' || event_id END"
+STREAM = f"""s AS (SELECT user_id, event_id, {LINE} AS line FROM events), h AS (SELECT *, CASE WHEN line LIKE '( %' THEN regexp_replace(trim(regexp_extract(line, '^ *\\( *(.+) .{{0,4}}$', 1)), '[) ]+$', '') END AS name FROM s),
+f AS (SELECT *, name IS NOT NULL AND row_number() OVER (PARTITION BY user_id, lower(name) ORDER BY event_id) = 1 AS begins FROM h),
+r AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS number, trim(regexp_replace(line, ' +', ' ', 'g')) AS said FROM f),
+t AS (SELECT user_id, number, name AS topic FROM r WHERE begins),
+b AS (SELECT r.user_id, r.event_id, r.number, t.topic, r.said FROM r JOIN t ON t.user_id = r.user_id AND t.number = r.number WHERE NOT begins
+AND NOT EXISTS (SELECT 1 FROM t c WHERE c.user_id = r.user_id AND lower(c.topic) = lower(r.said) AND r.number >= c.number - 5 AND r.number < c.number + 5))"""
+
+
+@query(f"WITH {STREAM} SELECT user_id, event_id, number::BIGINT AS number, topic FROM b")
 def repeated_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of what is repeated within five places the first stays."""
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", i.alias("i"))
-    return Q.drop_repeated_headings(rows, ["user_id"], "i", "event_type").select("event_id")
+    """Lines under their topics, without those that repeat a topic that is near by its place among topics."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(LINE).alias("line"))
+    name = F.regexp_replace(F.trim(F.regexp_extract("line", E.HEADING, 1)), "[) ]+$", "")
+    rows = rows.withColumn("name", F.when(name != "", name))
+    return Q.topic_stream(rows, ["user_id"], ["event_id"], "name", "line").where("line IS NOT NULL").select("user_id", "event_id", "number", "topic")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')) DESC, turn) AS r FROM conversations) WHERE r = 1")
@@ -411,17 +430,23 @@ def best_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.best_paragraph(rows, ["conv_id"], "turn").select("conv_id", "turn")
 
 
-LETTERS = "translate(k || '', '0123456789', 'ABCDEFGHIJ')"
-ENTRY = "CASE k % 4 WHEN 0 THEN 'See Harbour, Lamp.' WHEN 1 THEN 'short' ELSE 'The entry of number ' || k || ' goes on for a while.' END"
+ENTRY = "CASE event_id % 7 WHEN 0 THEN 'See Harbour, Lamp ' || event_type || '.' WHEN 1 THEN 'ON, AND ON' WHEN 2 THEN '42 1 ?' WHEN 3 THEN 'text  ' || event_id || ' of ' || event_type ELSE '( ' || upper(event_type) || ' ' || (event_id % 997) || ' )' END"
 
 
-@query(f"""WITH {PARTS}, t AS (SELECT 'LAMP ' || {LETTERS} AS topic, {ENTRY} || CASE WHEN k % 2 = 0 THEN chr(10) || 'More of it.' ELSE '' END AS text, k FROM p)
-SELECT topic, text, length(text)::INT AS length, CASE WHEN k % 4 = 0 THEN 'Harbour,Lamp' ELSE '' END AS see FROM t WHERE k % 4 <> 1""")
+@query(f"""WITH s AS (SELECT 'a' AS user_id, event_id, {ENTRY} AS line FROM events), {STREAM[STREAM.index("h AS"):].replace("line LIKE '( %'", "regexp_extract(line, '^ *\\( *(.+) .{0,4}$', 1) <> ''")},
+k AS (SELECT *, CASE WHEN regexp_matches(said, '^ *See +([A-Z][a-zA-Z, ''.()-]+)$') THEN 'see' WHEN regexp_matches(said, '^ *[A-Z, ''.()-]+ *$') THEN 'maybe' WHEN regexp_matches(said, '[a-zA-Z]{{3}}') THEN 'text' END AS k FROM b),
+l AS (SELECT *, last_value(CASE WHEN k IN ('see', 'text') THEN k END IGNORE NULLS) OVER (PARTITION BY number ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+m AS (SELECT *, CASE WHEN k = 'maybe' THEN CASE WHEN before = 'see' THEN 'on' WHEN regexp_matches(said, '[a-zA-Z]{{3}}') THEN 'text' END ELSE k END AS kind FROM l),
+g AS (SELECT number, topic, coalesce(sum(length(said)) FILTER (WHERE kind = 'text'), 0) AS n, coalesce(string_agg(said, chr(10) ORDER BY event_id) FILTER (WHERE kind = 'text'), '') AS text,
+coalesce(string_agg(CASE WHEN kind = 'see' THEN array_to_string(list_transform(string_split(regexp_extract(said, '^ *See +(.+)$', 1), ','), lambda x: trim(trim(x), '.')), ',') ELSE array_to_string(list_transform(string_split(said, ','), lambda x: trim(x)), ',') END, ',' ORDER BY event_id) FILTER (WHERE kind IN ('see', 'on')), '') AS see FROM m GROUP BY number, topic)
+SELECT number::BIGINT AS number, topic, CASE WHEN n >= 30 THEN text ELSE '' END AS text, CASE WHEN n >= 30 THEN n ELSE 0 END::INT AS length, see FROM g WHERE n >= 30 OR see <> ''""")
 def encyclopedia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of paragraphs cut at headings, a repeated heading dropped, short entries kept only if they refer to others."""
-    rows = parts(spark, sf_dir).select("k", F.expr(f"array('LAMP ' || {LETTERS}, {ENTRY}, IF(k % 2 = 0, 'LAMP ' || {LETTERS}, NULL), IF(k % 2 = 0, 'More of it.', NULL))").alias("ls"))
-    rows = rows.select(F.lit("a").alias("archive"), F.lpad(F.col("k").cast("string"), 9, "0").alias("file"), F.posexplode("ls").alias("pos", "text")).where("text IS NOT NULL")
-    return E.segment_encyclopedia(rows).select("topic", "text", F.col("length").cast("int").alias("length"), F.array_join("see", ",").alias("see"))
+    """The lines of one archive cut at headings, repeated headings dropped, references read, short entries kept only if they refer to others."""
+    rows = table(spark, sf_dir, "events").select(F.lit("a").alias("archive"), F.lit("f").alias("file"), F.col("event_id").alias("pos"), F.expr(ENTRY).alias("text"))
+    return E.segment_encyclopedia(rows).select("number", "topic", "text", "length", F.array_join("see", ",").alias("see"))
+
+
+LETTERS = "translate(k || '', '0123456789', 'ABCDEFGHIJ')"
 
 
 @query(f"WITH {PARTS} SELECT 'md|lamp ' || lower({LETTERS}) AS a_name, unnest(['md|harbour', 'md|lamp']) AS b_name, {CHAPTER}::INT AS type, 10::BIGINT AS weight10 FROM p WHERE k % 4 = 0")

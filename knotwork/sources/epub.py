@@ -1,10 +1,17 @@
-"""EPUB archives: files of an archive, chapters by file name, paragraphs in order."""
+"""EPUB archives: members of archives as ordered rows, chapters by file name, paragraphs in order; and archives made of rows.
+
+An archive is a row (path, content), as the binaryFile source gives it or as a table holds it.  The task that has it reads its
+directory only and hands on the wanted members as they lie there, compressed; members are then dealt by archive and file, and
+inflated, decoded and parsed where they arrive, so that a set of few large books is spread over all tasks.
+"""
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,21 +24,100 @@ from ..functions.html import format_fragment, select
 SECTIONS = r"^OPS/sec_(\d+)_(\d+)\.xml$"
 PARTS = r"^OEBPS/part(\d+)\.xhtml$"
 ANY_TEXT = r"^.*\.x?html?$"
+#: Bytes of compressed members that are handed on at once.
+BATCH = 8 << 20
+_DAY = (1980, 1, 1, 0, 0, 0)
 
 
-def archive_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(archive, file, html): the files of archives whose names match; one archive is read by one task."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of archives in a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def members(archives: DataFrame, pattern: str, partitions: int | None = None) -> DataFrame:
+    """(archive, file, html): wanted members of archives (path, content), dealt by archive and file.
+
+    Null contents have none; an archive that can't be read fails, and so does a member whose checksum is wrong."""
     wanted = re.compile(pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, content in zip(rows["path"], rows["content"], strict=True):
+                if content is None:
+                    continue
+                out, held = [], 0
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for f in sorted(z.namelist()):
-                        if wanted.match(f):
-                            yield pd.DataFrame({"archive": [name], "file": [f], "html": [z.read(f).decode("utf-8", "replace")]})
+                    for m in z.infolist():
+                        if wanted.match(m.filename):
+                            raw = _raw(content, m)
+                            out.append((name, m.filename, m.compress_type, m.CRC, raw))
+                            held += len(raw)
+                            if held > BATCH:
+                                yield _frame(out)
+                                out, held = [], 0
+                yield _frame(out)
+
+    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            html = [_inflated(f, k, crc, raw) for f, k, crc, raw in zip(rows["file"], rows["kind"], rows["crc"], rows["raw"], strict=True)]
+            yield pd.DataFrame({"archive": rows["archive"], "file": rows["file"], "html": html})
+
+    found = archives.select("path", "content").mapInPandas(directory, "archive string, file string, kind int, crc long, raw binary")
+    spread = found.repartition(partitions, "archive", "file") if partitions else found.repartition("archive", "file")
+    return spread.mapInPandas(inflate, "archive string, file string, html string")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["archive", "file", "kind", "crc", "raw"])
+
+
+def _raw(content: bytes, m: zipfile.ZipInfo) -> bytes:
+    """A member as it lies in its archive, behind its local header."""
+    names, extra = struct.unpack_from("<HH", content, m.header_offset + 26)
+    at = m.header_offset + 30 + names + extra
+    return content[at : at + m.compress_size]
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, file string, html string")
+def _inflated(file: str, kind: int, crc: int, raw: bytes) -> str:
+    if kind not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"{file}: compressed in an unknown way ({kind})")
+    data = zlib.decompress(raw, -15) if kind == zipfile.ZIP_DEFLATED else raw
+    if zlib.crc32(data) != crc:
+        raise ValueError(f"{file}: wrong checksum")
+    return data.decode("utf-8", "replace")
+
+
+def archive_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(archive, file, html): the files of archives in a folder whose names match."""
+    return members(read_archives(spark, path), pattern)
+
+
+def pack(files: DataFrame) -> DataFrame:
+    """(path, content): archives made of rows (archive, file, html), their members in the order of their names.
+
+    A task builds one archive after another and holds one of them; of equal names the last one read counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, z = None, io.BytesIO(), None
+
+        def done() -> pd.DataFrame:
+            z.close()
+            return pd.DataFrame({"path": [name], "content": [held.getvalue()]})
+
+        for rows in batches:
+            for archive, file, html in zip(rows["archive"], rows["file"], rows["html"], strict=True):
+                if archive != name:
+                    if z is not None:
+                        yield done()
+                    name, held = archive, io.BytesIO()
+                    z = zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
+                info = zipfile.ZipInfo(file, _DAY)
+                info.compress_type = zipfile.ZIP_DEFLATED
+                z.writestr(info, (html or "").encode())
+        if z is not None:
+            yield done()
+
+    return files.select("archive", "file", "html").repartition("archive").sortWithinPartitions("archive", "file").mapInPandas(run, "path string, content binary")
 
 
 def volume(number: Column) -> Column:
@@ -40,6 +126,12 @@ def volume(number: Column) -> Column:
     return F.when(number < 4, F.lit(None)).when(number < 39, 1).when(number < 186, 2).when(number < 246, 3).cast("int")
 
 
+def numbers(file: Column, pattern: str) -> Column:
+    """The numbers in a member's name, by which it is ordered."""
+    groups = re.compile(pattern).groups
+    return F.array(*[F.regexp_extract(file, pattern, k + 1).cast("int") for k in range(groups)])
+
+
 def paragraphs(files: DataFrame, tags: tuple[str, ...] = ("p",)) -> DataFrame:
     """(archive, file, pos, class, text): paragraphs as formatted text, with (file, pos) as their order."""
     accept = [(t, None, None) for t in tags]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def test_types():
 @pytest.mark.parametrize(
     ("kind", "name", "doc", "result"),
     [
-        ("ScriptureVerse", "gen|1|2", ("ScriptureChapter", "gen|1"), "ScriptureVerse"), ("ScriptureSentence", "gen|1|2|1", ("ScriptureChapter", "gen|1"), "ScriptureVerse"), ("ScriptureBook", "gen", ("ScriptureChapter", "gen|1"), "ScriptureBook"),
-        ("ConferenceTalkSentence", "1999|04|t|p1|2", ("ConferenceTalk", "1999|04|t"), "ConferenceTalk"), ("BookParagraph", "atgq|1|2", ("BookChapter", "atgq|1"), "BookATGQ"), ("BookChapter", "jtc|1", ("BookChapter", "jtc|1"), "Unknown"),
-        ("ProclamationParagraph", "fam|2", ("Proclamation", "fam"), "Proclamation"), ("HymnVerse", "song|1", ("Hymn", "song"), "Hymn"), ("Word", "a|en", ("Word", "a|en"), "KeywordPhrase"), ("Year", "1999", ("Year", "1999"), "Unknown"),
+        ("ScriptureVerse", "gen|1|2", ("ScriptureChapter", "gen|1"), "ScriptureVerse"), ("ScriptureSentence", "gen|1|2|1", ("ScriptureChapter", "gen|1"), "Unknown"), ("ScriptureBook", "gen", ("ScriptureChapter", "gen|1"), "ScriptureBook"),
+        ("ConferenceTalkSentence", "1999|04|t|p1|2", ("ConferenceTalk", "1999|04|t"), "Unknown"), ("BibleDictionaryParagraph", "ark|1", ("BibleDictionaryTopic", "ark"), "BibleDictionary"), ("BookParagraph", "atgq|1|2", ("BookChapter", "atgq|1"), "BookATGQ"), ("BookChapter", "jtc|1", ("BookChapter", "jtc|1"), "Unknown"),
+        ("ProclamationParagraph", "fam|2", ("Proclamation", "fam"), "Proclamation"), ("HymnVerse", "song|1", ("Hymn", "song"), "Hymn"), ("Word", "a|en", ("Word", "a|en"), "Unknown"), ("Year", "1999", ("Year", "1999"), "Unknown"),
     ],
 )
 def test_entity_maps(spark, kind, name, doc, result):
@@ -61,7 +63,10 @@ def test_node_codec(spark):
 def test_filters(spark):
     r = results(spark, [("ScriptureVerse", "gen|1|1", 1.0), ("ScriptureVerse", "matt|1|1", 0.9), ("Word", "a|en", 2.0), ("Proclamation", "fam", 0.3), ("ConferenceTalk", "1999|04|x", 0.2), ("ConferenceSpeaker", "y", 5.0)])
     assert names_of(S.visible(r)) == ["y", "gen|1|1", "matt|1|1", "fam", "1999|04|x"]
-    assert names_of(S.in_categories(S.shown(r), ["nt"], ["ot", "nt", "ConferenceTalk"])) == ["matt|1|1", "fam"]
+    assert names_of(S.in_categories(S.shown(r), ["nt"])) == ["matt|1|1", "fam"]
+    books = results(spark, [("BookParagraph", "md|a|1", 1.0), ("BookParagraph", "other|1|1", 0.9), ("HymnVerse", "s|1", 0.8), ("ScriptureVerse", "jst-luke|1|1", 0.7), ("ScriptureChapter", "gen|1", 0.6), ("ScriptureSupplementalPara", "gen|1|intro", 0.5)])
+    assert names_of(S.in_categories(books, ["Book"])) == ["md|a|1", "other|1|1", "gen|1|intro"] and names_of(S.in_categories(books, ["ot", "Hymn"])) == ["s|1", "gen|1", "gen|1|intro"]
+    assert names_of(S.shown(books)) == ["md|a|1", "other|1|1", "s|1", "jst-luke|1|1"]
     assert names_of(S.above_share(S.shown(r), 0.5)) == ["gen|1|1", "matt|1|1"]
     assert names_of(S.top(r, 2, 900.0)) == ["y", "a|en"]
     two = results(spark, [("ScriptureVerse", "gen|1|1", 1.0), ("ScriptureVerse", "gen|1|2", 1.5), ("ScriptureSentence", "gen|1|2|1", 3.0), ("ScriptureVerse", "gen|2|1", 0.5)])
@@ -94,7 +99,7 @@ def test_slow_search(spark, corpus):
     r, words = S.slow_search(q, g)
     assert sorted(n.rsplit("|", 1)[0] for n in names_of(r)) == ["gen|1", "matt|5"]  # one a chapter
     assert ("light|en", 1.0) in {(x.name, x.score) for x in words.collect()}
-    r, _ = S.slow_search(q, g, enabled=["nt"], known=["ot", "nt"])
+    r, _ = S.slow_search(q, g, enabled=["nt"])
     assert names_of(r) == ["matt|5|1"]
     paras = d.select(F.lit(t("ScriptureVerse")).cast("short").alias("type"), F.col("id").alias("name"), "text")
     assert S.hydrate(r, paras).first().text == "salt and light of the world"
@@ -126,7 +131,47 @@ def test_runs_and_headings(spark):
     rows = spark.createDataFrame([(1, k, h) for k, h in enumerate([None, "A", None, "A", None, "B", *[None] * 6, "A"])], "d int, i int, h string")
     filled = [r.topic for r in Q.fill_heading(rows, ["d"], "i", F.col("h")).orderBy("i").collect()]
     assert filled == [None, *"AAAAB", *"BBBBBB", "A"]
-    assert [r.i for r in Q.drop_repeated_headings(rows, ["d"], "i", "h").where("h = 'A'").orderBy("i").collect()] == [1, 12]
+
+
+def test_topic_stream_same_as_plain(spark):
+    g = random.Random(8)
+    stream = [(d, k, g.choice([None, None, x := f"T{g.randrange(14)}", x.lower()]), f" t{g.randrange(14)}  " if g.random() < 0.5 else f"text {k}") for d in range(3) for k in range(120)]
+    want = []
+    for d in range(3):
+        topics, bodies, now = [], {}, None
+        for _, k, name, text in [r for r in stream if r[0] == d]:
+            if name and name.lower() not in bodies:
+                now = name.lower()
+                topics.append(name)
+                bodies[now] = []
+            elif now:
+                bodies[now].append((k, text))
+        for c, topic in enumerate(topics):
+            for a in range(max(0, c - 5), min(len(topics), c + 5)):
+                own = bodies[topics[a].lower()]
+                own[:] = [x for x in own if x[1].strip() != topic.lower()]
+        want += [(d, k, n + 1, topic) for n, topic in enumerate(topics) for k, _ in bodies[topic.lower()]]
+    rows = spark.createDataFrame(stream, "d int, i int, name string, text string").repartition(5)
+    got = Q.topic_stream(rows, ["d"], ["i"], "name").where("text IS NOT NULL").select("d", "i", "number", "topic").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_notes_meet_only_sentences_that_can_hold_them(spark):
+    g = random.Random(9)
+    s, n = [], []
+    for p in range(4):
+        at = 0
+        for k in range(60):
+            at += g.randint(0, 3)
+            end = at + g.randint(0, 9)
+            s.append((p, k, at, end))
+            at = end + 1
+        n += [(p, g.randint(0, at + 12)) for _ in range(150)]
+    want = sorted((p, k, x) for p, k, a, b in s for q, x in n if p == q and a <= x <= b + 5)
+    got = Q.notes_in_sentences(spark.createDataFrame(s, "p int, k int, start int, end int"), spark.createDataFrame(n, "p int, pos int"), ["p"]).select("p", "k", "pos")
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
 
 
 def test_notes_and_ranges(spark):

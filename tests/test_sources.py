@@ -86,17 +86,27 @@ def test_epub(spark, tmp_path):
     files = epub.archive_files(spark, str(tmp_path / "b.epub"), epub.SECTIONS)
     got = [(r.file, r.pos, r["class"], r.text) for r in epub.paragraphs(files).orderBy("file", "pos").collect()]
     assert got == [("OPS/sec_1_1.xml", 0, None, "One <b>bold</b>"), ("OPS/sec_1_1.xml", 1, None, "More"), ("OPS/sec_1_2.xml", 0, "t", "Two")]
+    # the same members from a table of archives, made of rows
+    rows = files.select("archive", "file", "html")
+    again = epub.members(epub.pack(rows), epub.SECTIONS, 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+    broken = epub.pack(rows).select("path", F.expr("overlay(content placing unhex('ff') from 48)").alias("content"))
+    with pytest.raises(Exception, match="checksum|decompressing"):
+        epub.members(broken, epub.SECTIONS).collect()
+    assert epub.members(rows.select(F.col("archive").alias("path"), F.lit(None).cast("binary").alias("content")), epub.SECTIONS).count() == 0
+    assert [list(r.n) for r in files.select(epub.numbers(F.col("file"), epub.SECTIONS).alias("n")).orderBy("file").collect()] == [[1, 1], [1, 2]]
     v = spark.createDataFrame([(3,), (4,), (39,), (200,), (300,)], "n int").select(epub.volume(F.col("n")).alias("v")).collect()
     assert [r.v for r in v] == [None, 1, 2, 3, None]
 
 
 def test_encyclopedia(spark):
-    lines = ["front matter", "AARON", "Brother of Moses and the first high priest of Israel.", "AARON", "More of him that goes on for a while.", "ABEL", "See Cain.", "ABBA", "short"]
+    lines = ["front matter", "( AARON )", "Brother of Moses and the first high priest of Israel.", "Aaron", "( Aaron )", "More of him that  goes on for a while.", "(ABEL )", "See Cain, Moses.", "SETH, ENOS", "1 2", "(ABBA )", "short"]
     rows = spark.createDataFrame([("b", "f", k, x) for k, x in enumerate(lines)], "archive string, file string, pos int, text string")
     got = {r.topic: r for r in E.segment_encyclopedia(rows).collect()}
-    assert set(got) == {"AARON", "ABEL"} and got["AARON"].text.count("\n") == 1 and got["ABEL"].see == ["Cain"]
+    assert set(got) == {"AARON", "ABEL"} and got["AARON"].text == "Brother of Moses and the first high priest of Israel.\n( Aaron )\nMore of him that goes on for a while."
+    assert (got["ABEL"].see, got["ABEL"].text, got["ABEL"].length) == (["Cain", "Moses", "SETH", "ENOS"], "", 0)
     f = E.see_also(E.segment_encyclopedia(rows)).collect()
-    assert [(r.a_name, r.b_name) for r in f] == [("md|abel", "md|cain")]
+    assert [(r.a_name, r.b_name) for r in f] == [("md|abel", f"md|{x}") for x in ("cain", "moses", "seth", "enos")]
 
 
 def test_dates(spark):
@@ -156,6 +166,12 @@ def test_talk_page(spark):
     n = E.search_names(p, E.SOURCES["conference_talk"]).first()
     assert (n.plain_name, n.disambig_name) == ("On Hope", "On Hope (John Q. Doe, 2021)")
     assert E.search_features(p, E.SOURCES["conference_talk"]).where(F.col("b_type") == t("CharNGram")).count() > 3
+    for title, author, want in [
+        ("Audit Report", "A", 0), ("Finance", "A", 1), ("Auditing", "A", 1), ("The Finance Report", "A", 0), ("A Statistic", "A", 0), ("Sustaining", "A", 1), ("Sustaining of Officers", "A", 0), ("Solemn Assembly", "A", 1),
+        ("WELFARE services Session", "A", 0), ("Welfare Session", "A", 1), ("On", " \t", 0), ("On", None, 0), ("On", "Presented by A", 0), ("On", "a" * 71, 0), ("On", "a" * 70, 1), (None, "A", 1),
+    ]:
+        row = spark.createDataFrame([(title, author)], "t string, a string").select(E.is_valid_talk(F.col("t"), F.col("a")).alias("ok")).first()
+        assert row.ok == bool(want), (title, author)
     ok = p.withColumn("ok", E.is_valid_talk(F.col("title"), F.col("author"))).first().ok
     bad = p.withColumn("ok", E.is_valid_talk(F.lit("Church Auditing Report"), F.col("author"))).first().ok
     assert ok and not bad
@@ -178,7 +194,7 @@ def test_other_pages(spark):
     cases = {
         "hymn": (f"{SITE}/media/music/songs/song-x?lang=eng", f'<script id="__NEXT_DATA__">{song}</script>', ("Hymn", "song-x"), "HymnVerse"),
         "bible_dictionary": (f"{SITE}/study/scriptures/bd/ark?lang=eng", "<h1>Ark</h1><p>A box.</p><p>More, Ex. 25:10.</p>", ("BibleDictionaryTopic", "ark"), "BibleDictionaryParagraph"),
-        "speech": ("https://s.test/talks/ann-lee/on-work/", '<h1>On Work</h1><h2 class="single-speech__speaker">Ann Lee</h2><p>Work.</p><p>Gen. 1:1</p><p>End</p>', ("ByuSpeech", "ann-lee|on-work"), "ByuSpeechParagraph"),
+        "speech": ("https://s.test/talks/ann-lee/on-work/", '<h1>On Work</h1><a class="x single-speech__type">Devotional</a><h2 class="single-speech__speaker">Ann Lee</h2><p>Work.</p><p>Gen. 1:1</p><p>End</p>', ("ByuSpeech", "ann-lee|on-work"), "ByuSpeechParagraph"),
         "proclamation": (f"{SITE}/study/scriptures/the-family-a-proclamation?lang=eng", "<h1>The Family</h1><p>We.</p><p>All.</p>", ("Proclamation", "fam"), "ProclamationParagraph"),
         "book_chapter": (f"{SITE}/study/manual/jesus-the-christ/chapter-3?lang=eng", "<h1>C</h1><p>A.</p><p>B.</p>", ("BookChapter", "jtc|3"), "BookParagraph"),
     }
@@ -189,6 +205,7 @@ def test_other_pages(spark):
         assert E.documents(p, E.SOURCES[kind]).count() == 1
         assert G.edges(E.features(p, E.SOURCES[kind])).count() > 0
     speech = parsed(spark, "speech", [cases["speech"][:2]])
+    assert E.is_devotional(speech.withColumn("forum", F.lit(None).cast("string"))).count() == 0 and E.is_devotional(speech.withColumn("forum", F.lit("A Devotional"))).count() == 0
     assert E.is_devotional(speech).count() == 1 and E.is_devotional(speech, least_paragraphs=4).count() == 0
     files = spark.createDataFrame([(7, "<h1>C</h1><p>A.</p>")], "n int, html string")
     assert E.parse_pages(E.book_pages(files, "atgq", F.col("n")), E.SOURCES["book_chapter"]).first().name == "atgq|7"
