@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,17 +95,26 @@ def _element(tag: str, attrs: str) -> tuple[str, int]:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "says", "children")
+    """An open element: the hash of its path, what the markup says of it, what the inline elements up to it say at least, and its block."""
 
-    def __init__(self, tag: str, path: str, says: int):
+    __slots__ = ("tag", "path", "says", "children", "inline", "block")
+
+    def __init__(self, tag: str, path: int, says: int, up: _Open | None):
         self.tag, self.path, self.says, self.children = tag, path, says, []
+        own = tag in _INLINE and up is not None
+        self.inline = min(up.inline, says) if own else up.inline if up else 0
+        self.block: _Open = up.block if own else self
+
 
+def parse(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]]]:
+    """Blocks of a page, each (hash of its path, what the markup says, text), and its elements, each (hash of its path, children).
 
-def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
-    """Blocks of a page, each (path, what the markup says, text), and its elements, each (path, children)."""
-    stack = [_Open("", "", 0)]
-    blocks: list[tuple[str, int, str]] = []
-    styles: list[tuple[str, str]] = []
+    Time and memory grow with the page, however deep its elements are and however many of them are never closed."""
+    stack = [_Open("", 0, 0, None)]
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()  # raw elements of which no end follows
+    blocks: list[tuple[int, int, str]] = []
+    styles: list[tuple[int, str]] = []
     text: list[str] = []
     owner = stack[0]
     at, n = 0, len(page)
@@ -119,20 +129,17 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
     def close(depth: int) -> None:
         while len(stack) > depth:
             e = stack.pop()
+            opened[e.tag] -= 1
             if e.tag not in _INLINE:
                 flush()
                 styles.append((e.path, ",".join(dict.fromkeys(e.children))))
 
-    def container() -> _Open:
-        return next(e for e in reversed(stack) if e.tag not in _INLINE)
-
     while at < n:
         m = _TAG.search(page, at)
         if (end := m.start() if m else n) > at:
-            said = min((e.says for e in stack if e.tag in _INLINE), default=0)
-            if said >= 0:  # an inline element can only be out as a whole
+            if stack[-1].inline >= 0:  # an inline element can only be out as a whole
                 if not text:
-                    owner = container()
+                    owner = stack[-1].block
                 text.append(page[at:end])
         if not m:
             break
@@ -141,9 +148,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
         if not tag:
             continue
         if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                close(k)
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "br":
             text.append(" ")
@@ -151,7 +157,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
         if tag not in _INLINE:
             flush()
         closes = _CLOSES.get(tag) or (_CLOSES["p"] if tag in _NO_P else None)
-        if closes:
+        if closes and any(opened[c] for c in closes):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
                     close(k)
@@ -163,11 +169,13 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
             continue
         attrs = m[3] or m[6] or ""
         if tag in _RAW:
-            end = None if attrs.rstrip().endswith("/") else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = None if attrs.rstrip().endswith("/") or tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if end is None and not attrs.rstrip().endswith("/"):
+                unclosed.add(tag)
             if end:
                 at = end.end()
             elif tag in _CODE and not attrs.rstrip().endswith("/"):
-                around = "|".join({re.escape(e.tag) for e in stack[1:]})
+                around = "|".join(sorted(re.escape(t) for t, n in opened.items() if n))
                 end = re.compile(rf"</(?:{around})\b", re.I).search(page, at) if around else None
                 at = end.start() if end else n
             continue
@@ -179,7 +187,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]
             says = min(up.says, says) if -1 in (up.says, says) else max(up.says, says)
         if attrs.endswith("/") and tag in ("path", "use", "circle"):
             continue
-        stack.append(_Open(tag, f"{up.path}/{name}" if tag not in _INLINE else up.path, says))
+        stack.append(_Open(tag, _h(f"{up.path}/{name}") if tag not in _INLINE else up.path, says, up))
+        opened[tag] += 1
     flush()
     close(1)
     return blocks, styles
@@ -210,11 +219,11 @@ def _counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                     blocks, styles = parse(page)
                     blocks = [b for b in blocks if b[1] > -2]
                     own = _h("\n".join(t for _, _, t in blocks))
-                    out |= {(site, _h(p), 3, own, own) for p, says, _ in blocks if says < 0}
-                    out |= {(site, _h(p), 0, _h(t), own) for p, _, t in blocks}
-                    out |= {(site, _h(p), 2, own, own) for p, _, _ in blocks}
+                    out |= {(site, p, 3, own, own) for p, says, _ in blocks if says < 0}
+                    out |= {(site, p, 0, _h(t), own) for p, _, t in blocks}
+                    out |= {(site, p, 2, own, own) for p, _, _ in blocks}
                     seen = {p for p, _, _ in blocks}
-                    out |= {(site, _h(p), 1, _h(c), own) for p, c in styles if p in seen}
+                    out |= {(site, p, 1, _h(c), own) for p, c in styles if p in seen}
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield arrow_batch(dict(zip(("host", "path", "kind", "feature", "page"), zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True), strict=True)))
 
@@ -248,10 +257,9 @@ def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return low.union(shared.select("host", F.concat_ws(" ", "path", "feature").alias("what")))
 
 
-def _entries(path: str, says: int, text: str) -> tuple[str, ...]:
+def _entries(path: int, says: int, text: str) -> tuple[str, ...]:
     """What may be said in the table of a block: that it goes by its node, or by itself; of a doubtful one, that it stays."""
-    h = _h(path)
-    return (f"in{h}" if says > 0 else str(h), f"{h} {_h(text)}", *([f"+{h}"] if says < 0 else []))
+    return (f"in{path}" if says > 0 else str(path), f"{path} {_h(text)}", *([f"+{path}"] if says < 0 else []))
 
 
 def main_text(page: str | None, said: frozenset[str] | set[str]) -> str:
@@ -260,7 +268,7 @@ def main_text(page: str | None, said: frozenset[str] | set[str]) -> str:
     blocks = [b for b in every if b[1] >= 0]
     if said:
 
-        def stays(path: str, says: int, text: str) -> bool:
+        def stays(path: int, says: int, text: str) -> bool:
             node, own, *kept = _entries(path, says, text)
             return node not in said and own not in said and all(k in said for k in kept)
 
