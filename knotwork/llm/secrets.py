@@ -53,17 +53,21 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Runs of key characters with a letter that are not wholly within the spans taken."""
-    out = []
+    out, first = [], 0
     for m in _RUN.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in ".=-":  # the end of a sentence
             end -= 1
         if end - start < LEAST or not any(c.isalpha() for c in text[start:end]):
             continue
+        while first < len(taken) and taken[first][2] <= start:  # runs and spans go on together
+            first += 1
         at = start
-        for _, s, e in taken:  # by start
-            if s <= at < e:
-                at = e
+        for k in range(first, len(taken)):  # by start
+            _, s, e = taken[k]
+            if s > at:
+                break
+            at = max(at, e)
         if at < end:
             out.append((start, end))
     return out
