@@ -9,7 +9,8 @@ CRC-16 of each frame; a wrong sum raises an error.
 
 Defined results: a null text is an empty one; every payload is padded with spaces to a positive multiple
 of 192 bytes, so an empty text gives one constant frame; equal texts give equal streams; texts of any
-length are stored whole; other columns are left out.
+length are stored whole, and frames are coded in groups of bounded size, so that a task holds a few copies of a text's
+bytes and nothing that is many times as large; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import arrow_batch, rows_by_bytes, sha256
 FRAME, SEEK_FRAMES, RATE = 192, 8, 8000
 #: Bits of a linear predictor's coefficient, and its shift.
 PRECISION, SHIFT = 10, 8
+#: Frames that are coded at once, so that memory does not grow with the length of a text.
+GROUP = 1 << 14
 _FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]], dtype=np.int64)
 
 
@@ -116,12 +119,8 @@ def _frame_numbers(n: int) -> list[bytes]:
     return _NUMBERS
 
 
-def write_streams(payloads: list[bytes]) -> list[bytes]:
-    """FLAC streams of payloads, whose lengths are positive multiples of 192."""
-    if not payloads:
-        return []
-    counts = np.array([len(p) // FRAME for p in payloads])
-    raw = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME)
+def _frames(raw: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames (a row of samples each) of given numbers in their streams, and the bytes of each."""
     x = raw.astype(np.int32) - 128
     frames = len(x)
     res, kind, coef = _predictions(x)
@@ -140,9 +139,10 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
     plain = ~constant & (size >= 8 + 8 * FRAME)
     rice = ~constant & ~plain
     size = np.where(constant, 16, np.where(plain, 8 + 8 * FRAME, size))
-    number = np.arange(frames) - np.repeat(np.cumsum(counts) - counts, counts)
-    names = _frame_numbers(int(counts.max()))
-    n_name = np.array([len(names[i]) for i in range(int(counts.max()))])[number]
+    different, number = np.unique(number, return_inverse=True)
+    names = _frame_numbers(int(different[-1]) + 1)
+    names = [names[i] for i in different.tolist()]
+    n_name = np.array([len(n) for n in names])[number]
     body = 5 + n_name
     whole = body + (size + 7 >> 3) + 2
     at = np.cumsum(whole) - whole
@@ -150,7 +150,7 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
     for j, b in enumerate((0xFF, 0xF8, 0x10, 0x02)):
         out[at + j] = b
     widest = int(n_name.max())
-    codes = np.frombuffer(b"".join(n.ljust(widest, b"\0") for n in names[: int(counts.max())]), dtype=np.uint8).reshape(-1, widest)
+    codes = np.frombuffer(b"".join(n.ljust(widest, b"\0") for n in names), dtype=np.uint8).reshape(-1, widest)
     for j in range(widest):
         m = n_name > j
         out[at[m] + 4 + j] = codes[number[m], j]
@@ -183,11 +183,36 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
         _put(out, begin[real], value[real], np.broadcast_to(kk + 1, real.shape)[real])
     crc = _crc(out, at, whole - 2, _CRC16, 16)
     out[at + whole - 2], out[at + whole - 1] = crc >> 8, crc & 255
-    streams, data, f = [], out.tobytes(), 0
+    return out[: int(whole.sum())].tobytes(), whole
+
+
+def _md5(raw: np.ndarray, turned: bool = True) -> bytes:
+    """MD5 of signed samples, of unsigned ones if turned."""
+    h = hashlib.md5()
+    flat = raw.reshape(-1)
+    for a in range(0, len(flat), GROUP * FRAME):
+        part = flat[a : a + GROUP * FRAME]
+        h.update((part ^ 0x80 if turned else part).tobytes())
+    return h.digest()
+
+
+def write_streams(payloads: list[bytes]) -> list[bytes]:
+    """FLAC streams of payloads, whose lengths are positive multiples of 192."""
+    if not payloads:
+        return []
+    counts = np.array([len(p) // FRAME for p in payloads])
+    raw = np.frombuffer(payloads[0] if len(payloads) == 1 else b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME)
+    number = np.arange(len(raw)) - np.repeat(np.cumsum(counts) - counts, counts)
+    parts = [_frames(raw[a : a + GROUP], number[a : a + GROUP]) for a in range(0, len(raw), GROUP)]
+    whole = np.concatenate([w for _, w in parts])
+    at = np.cumsum(whole) - whole
+    data = b"".join([d for d, _ in parts])
+    parts.clear()
+    streams, f = [], 0
     for p, c in zip(payloads, counts.tolist(), strict=True):
         sizes, offsets = whole[f : f + c], at[f : f + c] - at[f]
         info = pack(">HH", FRAME, FRAME) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((raw[f : f + c] ^ 0x80).tobytes()).digest()
+        info += (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + _md5(raw[f : f + c])
         points = b"".join(pack(">QQH", FRAME * j, int(offsets[j]), FRAME) for j in range(0, c, SEEK_FRAMES))
         blocks = b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points
         streams.append(b"fLaC" + blocks + data[at[f] : at[f] + int(sizes.sum())])
@@ -235,8 +260,7 @@ def read_streams(streams: list[bytes]) -> list[bytes]:
         return []
     metas = [_metadata(s) for s in streams]
     base = np.cumsum([0, *map(len, streams)])
-    data = np.frombuffer(b"".join(streams) + bytes(64), dtype=np.uint8)
-    bits = _Bits(data)
+    data = np.frombuffer(b"".join([*streams, bytes(64)]), dtype=np.uint8)
     begin, todo, into = [], [], []
     size = 0
     for (total, _, points, first), b in zip(metas, base[:-1].tolist(), strict=True):
@@ -245,9 +269,34 @@ def read_streams(streams: list[bytes]) -> list[bytes]:
             todo.append(((points[j + 1][0] if j + 1 < len(points) else total) - sample) // FRAME)
             into.append(size + sample)
         size += total
-    out = np.zeros(size, dtype=np.int16)
-    pos, todo, into = 8 * np.array(begin), np.array(todo), np.array(into)
+    begin, todo, into = np.array(begin), np.array(todo), np.array(into)
     number = (into - np.repeat(np.cumsum([0] + [m[0] for m in metas[:-1]]), [len(m[2]) for m in metas])) // FRAME
+    # segments in groups of so many frames; a group's samples and bytes lie together
+    done = np.cumsum(todo)
+    cuts = [0, *(np.flatnonzero(np.diff((done - 1) // GROUP)) + 1).tolist(), len(todo)]
+    pcm = np.empty(size, dtype=np.uint8)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = int(begin[a]), int(begin[b]) if b < len(begin) else len(data) - 64
+        first, last = int(into[a]), int(into[b - 1]) + int(todo[b - 1]) * FRAME
+        pcm[first:last] = _segments(data[lo : hi + 64], begin[a:b] - lo, todo[a:b], into[a:b] - first, number[a:b])
+    at, payloads = 0, []
+    for total, digest, _, _ in metas:
+        if _md5(pcm[at : at + total], False) != digest:
+            raise FlacError("the MD5 of the samples is wrong")
+        at += total
+    pcm ^= 0x80
+    at = 0
+    for total, *_ in metas:
+        payloads.append(pcm[at : at + total].tobytes())
+        at += total
+    return payloads
+
+
+def _segments(data: np.ndarray, begin: np.ndarray, todo: np.ndarray, into: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Signed samples (as bytes) of segments: frames `todo` from byte `begin` on, the first of number `number`, for place `into`."""
+    bits = _Bits(data)
+    out = np.zeros(int(into[-1]) + int(todo[-1]) * FRAME, dtype=np.int16)
+    pos = 8 * begin
     spans = []
     for j in range(int(todo.max())):
         lane = np.flatnonzero(todo > j)
@@ -284,14 +333,7 @@ def read_streams(streams: list[bytes]) -> list[bytes]:
     start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
     if (_crc(data, start, stop - start, _CRC16, 16) != (data[stop].astype(np.uint16) << 8 | data[stop + 1])).any():
         raise FlacError("a frame's checksum is wrong")
-    pcm, at, payloads = out.astype(np.int8).view(np.uint8), 0, []
-    for total, digest, _, _ in metas:
-        part = pcm[at : at + total]
-        if hashlib.md5(part.tobytes()).digest() != digest:
-            raise FlacError("the MD5 of the samples is wrong")
-        payloads.append((part ^ 0x80).tobytes())
-        at += total
-    return payloads
+    return out.astype(np.int8).view(np.uint8)
 
 
 def _rice_frames(bits: _Bits, sub: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,9 +401,14 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 def feature(samples: bytes) -> str:
     """Level, zero crossings and peak of the samples."""
-    x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"rms={np.sqrt(int((x * x).sum()) / len(x)):.4f};zcr={crossings / len(x):.4f};peak={int(np.abs(x).max())}"
+    squares = crossings = peak = 0
+    for a in range(0, len(samples), GROUP * FRAME):  # one sample more than a part, to see the step to the next
+        x = np.frombuffer(samples, dtype=np.uint8, offset=a, count=min(GROUP * FRAME + 1, len(samples) - a)).astype(np.int64) - 128
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        own = x[: GROUP * FRAME]
+        squares, peak = squares + int((own * own).sum()), max(peak, int(np.abs(own).max()))
+    n = len(samples)
+    return f"rms={np.sqrt(squares / n):.4f};zcr={crossings / n:.4f};peak={peak}"
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
