@@ -4,6 +4,9 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +15,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from knotwork.llm import bpe, decontam, flac, langid, lm, pipeline, queries, secrets, simhash, toxicity
 from knotwork.llm.common import fold
 from tests.llm.conftest import ODD
@@ -317,10 +319,73 @@ def test_toxicity_decoding_is_the_best_of_all_paths():
     for token in ("1d10t", "stuupid", "sstupid", "m0r0n", "a s t u p", "i h a t e", "l0$er", "c0ffee", "i d ! o t", "goood", "4ll", "!", "x"):
         assert abs(toxicity.best_path(m, token)[0] - every(token)) < 1e-9, token
     r = toxicity.Restorer(m)
-    for token, want in (("stuupid", "stupid"), ("sstupid", "stupid"), ("letter", "letter"), ("coffee", "coffee"), ("1d10t", "idiot"), ("a person", "a person"), ("you are a s t u p i d person", "you are a stupid person"), ("i h a t e this", "i hate this"), ("an i d ! o t", "an idiot"), ("m\to\nr o n", "moron"), ("y o u a r e a n i d i o t", "you are an idiot"), ("1 2 3", "1 2 3"), ("x" * 5000, "x" * 5000)):
+    for token, want in (("stuupid", "stupid"), ("sstupid", "stupid"), ("letter", "letter"), ("coffee", "coffee"), ("1d10t", "idiot"), ("a person", "a person"), ("you are a s t u p i d person", "you are a stupid person"), ("i h a t e this", "i hate this"), ("an i d ! o t", "an idiot"), ("m\to\nr o n", "moron"), ("y o u a r e a n i d i o t", "you are an idiot"), ("1 2 3", "1 2 3")):
         assert r.text(token) == want or token == "y o u a r e a n i d i o t" and "idiot" in r.text(token), (token, r.text(token))
 
 
+def test_toxicity_decodes_tokens_of_any_length(monkeypatch):
+    m = toxicity.CharModel(toxicity.trigrams("you are a stupid person and i hate this idiot letter of the loser"))
+    g = np.random.default_rng(8)
+    for n in (255, 256, 257, 1500):
+        token = "".join(g.choice(list("st1d0i@lleerr!aa3 "), n)).strip()
+        monkeypatch.setattr(toxicity, "SETTLE", 1 << 30)
+        want = toxicity.best_path(m, token)
+        monkeypatch.setattr(toxicity, "SETTLE", 256)
+        assert toxicity.best_path(m, token) == want
+    began = time.perf_counter()
+    assert "stupid" in toxicity.Restorer(m).text("x" * 3000 + "5tup1d" * 3000) and time.perf_counter() - began < 20
+
+
+def test_flac_groups_of_frames_give_the_same_streams(monkeypatch):
+    some = [flac.payload(t)[0] for t in ("", "ab" * 900, "é" * 5000, "x" * 4000, "q" * 10)] + [os.urandom(192 * 70)]
+    want, marks = flac.write_streams(some), [flac.feature(p) for p in some]
+    for size in (1, 7, 16):
+        monkeypatch.setattr(flac, "GROUP", size)
+        assert flac.write_streams(some) == want and flac.read_streams(want) == some and [flac.feature(p) for p in some] == marks
+
+
+def test_flac_memory_of_a_long_text():
+    """A process of its own that stores and reads 24 MB, and tells the most memory it had beyond its start."""
+    code = (
+        "import resource, sys; from knotwork.llm import flac; rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; before = rss();"
+        "p, _ = flac.payload('some words of a long text ' * (24 << 20 >> 5) * 2); m = flac.write_streams([p]); assert flac.read_streams(m) == [p]; print(rss() - before)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout) < 700_000
+
+
+def test_many_findings_and_runs_go_on_together():
+    text = " ".join(f"{k * 7919 * 65537:032x}" for k in range(100_000)) + " key/" + "aB3" * 9
+    began = time.perf_counter()
+    spans = secrets.base_spans(text)
+    found = secrets.candidates(text, spans)
+    assert len(spans) == 100_000 and [text[a:b] for a, b in found] == ["key/" + "aB3" * 9] and time.perf_counter() - began < 15
+    g = np.random.default_rng(2)
+    for _ in range(300):  # as testing each run against each span
+        t = "".join(g.choice(list("abAB01/=. "), 200))
+        taken = sorted(("x", int(a), int(a + n)) for a, n in zip(g.integers(0, 200, 9), g.integers(1, 40, 9), strict=True))
+        taken.sort(key=lambda s: s[1])
+        assert secrets.candidates(t, taken) == [r for r in secrets.candidates(t, []) if not covered(r, taken)]
+
+
+def covered(run, taken):
+    at = run[0]
+    for _, s, e in taken:
+        if s <= at < e:
+            at = e
+    return at >= run[1]
+
+
+def test_decontamination_goes_by_rows(spark, sf_dir):
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r.text or "").split()) > 8)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, item, "en", "s", 1), (None, "a clean text of no item", "en", "s", 1), (7, f"so {item} it is", "en", "s", 2), (7, "another clean text of that number", "en", "s", 2), (8, "clean", None, "s", 3), (8, "clean", "s", None, 3)]
+    left = pipeline.decontaminate(spark, spark.createDataFrame(rows, kind), sf_dir).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows[4:], kind), sf_dir).collect()
+    assert len(kept) == 1  # one text, and two rows that differ in which column is null
+    assert pipeline.keyed(spark.createDataFrame(rows[4:], kind)).select("_key", "_more").distinct().count() == 2
+
+
 def test_toxicity_drops_copies_only(spark):
     g = np.random.default_rng(5)
     common = [f"common{k}" for k in range(30)]  # frequent words, which most texts share

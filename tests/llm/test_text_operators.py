@@ -384,6 +384,16 @@ def test_main_text(page, want):
     assert html_text.main_text(page, ()) == want
 
 
+def test_odd_pages_take_time_and_memory_in_proportion():
+    n = 1 << 19
+    for page in ("<div>x" * (n // 6), "<b>word " * (n // 8), "<p>a<svg>" * (n // 9), "<div>" * (n // 10) + "</p>" * (n // 10), "<b><p>x" * (n // 7), "<svg>" * (n // 5), "<ul><li>" * (n // 8), "<script>" * (n // 8)):
+        began = time.perf_counter()
+        html_text.parse(page)
+        assert time.perf_counter() - began < 15, page[:20]
+    deep = "<article>" + "<div>" * 20_000 + "inside" + "</div>" * 20_000 + "<p>after</p></article>"
+    assert html_text.main_text(deep, set()) == "inside\nafter"
+
+
 def test_style_tree_removes_what_all_pages_share(spark, monkeypatch):
     """No markup says what is what: only the tree can tell the article from its surroundings."""
     page = lambda k: f'<div class="top"><p>Our site</p></div><div class="text"><p>Story number {k} of its own</p><p>All rights reserved</p></div><div class="end"><p>Read more</p></div>'
