@@ -50,6 +50,12 @@ class Reference:
             return TYPE["ScriptureSupplementalPara"], f"{self.book}|{self.chapter}|{self.paragraph}"
         return TYPE["ScriptureChapter"], f"{self.book}|{self.chapter}"
 
+    def words(self) -> str:
+        """The reference as it is written: a book, with its chapter and verse."""
+        book = next((n for b, _, n, _ in BOOKS if b == self.book), self.book)
+        place = "" if self.chapter is None else f" {self.chapter}" if self.verse is None else f" {self.chapter}:{self.verse}"
+        return book + place
+
     def same_as(self) -> tuple:
         """What equality goes by: neither canon nor emphasis."""
         return self.book, self.chapter, self.verse, self.paragraph

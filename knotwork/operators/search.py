@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..dims import TYPE
 from ..functions import nodes as N
+from ..functions.references import Parser
 from ..sources.edges import EdgeStore
+from . import segments as Q
 from .spread import NODE, Query, run
 
 # Node types that a search may show, and such as only carry activation.
@@ -131,14 +133,22 @@ def upsert_names(names: DataFrame, seq: str = "seq") -> DataFrame:
     return names.groupBy(*NODE).agg(last("plain_name"), last("disambig_name"))
 
 
-def fast_search(phrase: str, index: EdgeStore, names: DataFrame, limit: int = 10) -> DataFrame:
-    """Type-ahead: character-level roots, a quarter of the best score as cut-off, names, one row a name."""
+#: Score of what a phrase says itself: its words, and the reference that it may be.
+SAID = 1000.0
+
+
+def fast_search(phrase: str, index: EdgeStore, names: DataFrame, limit: int = 10, parser: Parser | None = None) -> DataFrame:
+    """Type-ahead: the phrase's words and the reference that it may be; then character-level roots, a quarter of the best score as cut-off, names, one row a name."""
     q = Query()
     for kind, name in char_nodes(phrase):
         q.add_root(kind, name)
     found = named(above_share(visible(run(q, index)), 0.25), names)
     spark = index.edges.sparkSession
-    literal = spark.createDataFrame([(TYPE["Word"], phrase, 1000.0, phrase, phrase)], "type short, name string, score double, plain_name string, display_name string")
+    said = [(TYPE["Word"], phrase, SAID, phrase, phrase)]
+    if reference := (parser or Parser()).one(phrase):
+        kind, name = reference.node()
+        said.append((kind, name, SAID, reference.words(), reference.words()))
+    literal = spark.createDataFrame(said, "type short, name string, score double, plain_name string, display_name string")
     return literal.unionByName(one_per_name(found, "plain_name", limit)).orderBy(F.desc("score"), *NODE)
 
 
@@ -165,6 +175,35 @@ def hydrate(results: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return results.join(paragraphs.select(*NODE, "text"), NODE, "left")
 
 
+def labels(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """Results with `label`: the header under which a result is shown, from its document's (type, name, title, speaker, year, phase)."""
+    kind, name = F.col("type"), F.col("name")
+    d = documents.select(F.struct(*NODE).alias("_doc"), "title", "speaker", "year", "phase")
+    found = results.withColumn("_doc", N.to_document(kind, name)).join(d, "_doc", "left")
+    month = F.when(F.col("phase") == "04", "April").otherwise("October")
+    talk = F.concat_ws(" - ", F.concat(month, F.lit(" "), F.col("year").cast("string"), F.lit(" General Conference")), "title", "speaker")
+    talks = kind.isin([TYPE[t] for t in ("ConferenceTalk", "ConferenceTalkParagraph")])
+    label = F.when(talks & F.col("title").isNotNull(), talk).otherwise(F.coalesce(N.pretty(kind, name), "title", F.lit(UNKNOWN_NAME)))
+    return found.withColumn("label", label).drop("_doc", "title", "speaker", "year", "phase")
+
+
+def cards(results: DataFrame, documents: DataFrame, paragraphs: DataFrame, activated: DataFrame, most: int = 150) -> DataFrame:
+    """(type, name, score, label, summary): results as they are shown, with the run of sentences that the activated words (name, weight) match best.
+
+    A paragraph is summed up from its own text; a document from its kicker, if it has one, or else from its best paragraph.  documents:
+    (type, name, title, speaker, year, phase, kicker), paragraphs: (type, name, pos, text).  A result without text has no summary."""
+    kind, name = F.col("type"), F.col("name")
+    heads = documents.select(*NODE, "kicker").where(F.trim(F.coalesce("kicker", F.lit(""))) != "")
+    own = results.select(*NODE).join(paragraphs.select(*NODE, F.lit(0).alias("pos"), "text"), NODE)
+    kickers = results.select(*NODE).join(heads.select(*NODE, F.lit(0).alias("pos"), F.col("kicker").alias("text")), NODE)
+    p = paragraphs.select("pos", "text", N.to_document(kind, name).alias("_d")).select("pos", "text", F.col("_d.type").alias("type"), F.col("_d.name").alias("name"))
+    whole = results.select(*NODE).join(paragraphs.select(*NODE), NODE, "left_anti").join(heads, NODE, "left_anti").join(p, NODE).select(*NODE, "pos", "text")
+    texts = own.unionByName(kickers).unionByName(whole).where("text IS NOT NULL").withColumn("_id", F.struct(*NODE, "pos"))
+    best = Q.best_window(Q.sentence_scores(texts.select("_id", "text"), activated, "_id", "text"), "_id", most)
+    first = Q.best_paragraph(best.select("_id.*", "score", "summary"), NODE, "pos").select(*NODE, "summary")
+    return labels(results, documents).join(first, NODE, "left").select(*NODE, "score", "label", "summary")
+
+
 def first_with_document(candidates: DataFrame, documents: DataFrame, order_col: str = "pos") -> DataFrame:
     """The first candidate whose document is in the catalogue (type, name)."""
     d = candidates.withColumn("_doc", N.to_document(F.col("type"), F.col("name")))

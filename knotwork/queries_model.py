@@ -276,11 +276,13 @@ def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)"
 
 
-@query(f"WITH {LINES} SELECT '{_type('BookChapter')} b|' || doc_id AS doc_eid, (i - 1)::INT AS pos, {_type('BookParagraph')}::INT AS type, 'b|' || doc_id || '|' || i AS name, md5(line) AS text_md5 FROM l WHERE doc_id % 2 = 0")
+@query(f"WITH {LINES} SELECT '{_type('BookChapter')} b|' || doc_id AS doc_eid, (i - 1)::INT AS pos, {_type('BookParagraph')}::INT AS type, 'b|' || doc_id || '|' || i AS name, md5(line) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN 'book_chapter' ELSE 'other' END AS kind FROM l")
 def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON, read back by kind, with their paragraphs."""
-    p = store.paragraphs(store.load_documents(spark, _stored_documents(spark, sf_dir), "book_chapter"))
-    return p.select("doc_eid", "pos", F.col("type").cast("int").alias("type"), "name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    folder = _stored_documents(spark, sf_dir)
+    of = lambda kind: store.paragraphs(store.load_documents(spark, folder, kind)).withColumn("kind", F.lit(kind))
+    p = of("book_chapter").unionByName(of("other"))
+    return p.select("kind", "doc_eid", "pos", F.col("type").cast("int").alias("type"), "name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(f"SELECT '{_type('BookChapter')} b|' || doc_id AS eid, CASE WHEN doc_id % 2 = 0 THEN 'book_chapter' ELSE 'other' END AS type, coalesce(lang, 'xx') AS lang, true AS placed FROM documents")

@@ -10,11 +10,14 @@ from .functions import automaton as Au
 from .functions import selectors as Sel
 from .functions import spans as Sp
 from .operators import extractors as E
+from .operators import features as X
+from .operators import graph as G
 from .operators import index as I
+from .operators import search as S
 from .operators import segments as Q
 from .operators import spread as A
 from .plans.session import new_folder
-from .queries import DOC_WORDS, EDGES, HOPS, LEAST, NODES, ROOTS, W, _hops, _lit, _root, doc_words, documents, query, table
+from .queries import ACTIVE_ROWS, DOC_WORDS, EDGES, FEATURES, HOPS, LEAST, NODES, ROOTS, W, _hops, _lit, _root, _rows, _sql, doc_words, documents, query, table
 from .sources import epub
 
 # ---- archives
@@ -216,3 +219,40 @@ def budgeted_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([(W, r, 1.0) for r in ROOTS[:2]], "type short, name string, v double")
     found = A.best_first(start, store, HOPS * store.edges.count(), LEAST, HOPS).found
     return found.select(F.col("type").cast("int").alias("type"), "name", F.round("v", 6).alias("v"))
+
+
+# ---- all features of texts
+
+@query(f"""{FEATURES}, {EDGES}, {NODES}, r AS ({_root(0)} UNION ALL {_root(1)}), {_hops('r', 'h', 2)} SELECT type::INT AS type, name, round(v, 6) AS score FROM h_all WHERE name NOT IN {ROOTS[:2]}""")
+def spread_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops over the graph of all text features: words, near words, bigrams and trigrams."""
+    q = A.Query(min_activation=LEAST, max_hops=2)
+    for r in ROOTS[:2]:
+        q.add_root(W, r)
+    return _rows(A.run(q, A.prepare(G.edges(X.text_features(documents(spark, sf_dir))))))
+
+
+# ---- results as they are shown
+
+CARD_KIND = f"CASE doc_id % 3 WHEN 0 THEN {TYPE['ConferenceTalkParagraph']} WHEN 1 THEN {TYPE['ScriptureVerse']} ELSE {TYPE['BookChapter']} END"
+CARD_NAME = "CASE doc_id % 3 WHEN 0 THEN '2001|04|talk' || doc_id || '|1' WHEN 1 THEN 'gen|' || doc_id || '|1' ELSE 'md|' || doc_id END"
+BEST = _sql["best_window"]
+
+
+@query(BEST[: BEST.rindex("SELECT doc_id")] + f""", t AS (SELECT s.doc_id, trim(string_agg(sentence, '' ORDER BY s.sent)) AS summary FROM s JOIN r ON r.doc_id = s.doc_id AND r.r = 1 AND s.sent BETWEEN r.start AND r.start + r.k - 1 GROUP BY s.doc_id)
+SELECT ({CARD_KIND})::INT AS type, {CARD_NAME} AS name, CASE doc_id % 3 WHEN 0 THEN 'April 2001 General Conference - Lamp ' || doc_id || ' - Ann Lee' WHEN 1 THEN 'Genesis ' || doc_id || ':1' ELSE 'Lamp ' || doc_id END AS label, md5(summary) AS summary_md5
+FROM documents LEFT JOIN t USING (doc_id)""")
+def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as results of three kinds, with their labels and the sentences that match best."""
+    d = documents(spark, sf_dir).select(F.expr(CARD_KIND).cast("short").alias("type"), F.expr(CARD_NAME).alias("name"), "doc_id", "text")
+    results = d.select("type", "name", F.lit(1.0).alias("score"))
+    talk, chapter = F.lit(TYPE["ConferenceTalk"]).cast("short"), F.lit(TYPE["BookChapter"]).cast("short")
+    title = F.concat(F.lit("Lamp "), F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("string")
+    talks = d.where("doc_id % 3 = 0").select(talk.alias("type"), F.expr("'2001|04|talk' || doc_id").alias("name"), title.alias("title"), F.lit("Ann Lee").alias("speaker"), F.lit(2001).alias("year"), F.lit("04").alias("phase"), none.alias("kicker"))
+    books = d.where("doc_id % 3 = 2").select("type", "name", title.alias("title"), none.alias("speaker"), F.lit(None).cast("int").alias("year"), none.alias("phase"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("kicker"))
+    own = d.where("doc_id % 3 < 2").select("type", "name", F.lit(1).alias("pos"), "text")
+    parts = d.where("doc_id % 3 = 2").select(F.lit(TYPE["BookParagraph"]).cast("short").alias("type"), F.concat("name", F.lit("|1")).alias("name"), F.lit(1).alias("pos"), "text")
+    active = spark.createDataFrame(ACTIVE_ROWS, "name string, weight double")
+    found = S.cards(results, talks.unionByName(books), own.unionByName(parts), active)
+    return found.select(F.col("type").cast("int").alias("type"), "name", "label", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))

@@ -176,9 +176,8 @@ def site_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_pages(spark, sf_dir).select("page_id", C.page_type(F.col("url")).alias("page_type"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT DISTINCT 'https://site.test/study/scriptures/bofm/alma/' || (1 + k % 60) || '?lang=eng&id=p' || j AS target
-FROM (SELECT k, unnest(range(1, 2 + k % 3)) AS j FROM p WHERE k % 10 = 0)""")
+@query("WITH p AS (SELECT p_partkey AS k FROM part), t AS (" + " UNION ALL ".join(f"SELECT k FROM p WHERE {_mine(kind)}" for kind in KINDS if kind not in ("hymn", "book_chapter")) + """) SELECT DISTINCT 'https://site.test/study/scriptures/bofm/alma/' || (1 + k % 60) || '?lang=eng&id=p' || j AS target
+FROM (SELECT k, unnest(range(1, 2 + k % 3)) AS j FROM t)""")
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the chapters' pages to chapters of one book, which is all that is allowed."""
-    pages = site_pages(spark, sf_dir).where("page_id % 10 = 0")
-    return C.links(pages, (rf"^{SITE}/study/scriptures/bofm/alma/\d+\?",)).select("target").distinct()
+    """Links of all pages to chapters of one book, which is all that is allowed."""
+    return C.links(site_pages(spark, sf_dir), (rf"^{SITE}/study/scriptures/bofm/alma/\d+\?",)).select("target").distinct()

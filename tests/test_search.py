@@ -113,6 +113,21 @@ def test_fast_search(spark):
     index = A.prepare(G.edges(X.char_features(names, text_col="plain_name")))
     found = S.fast_search("amazin grace", index, names).collect()
     assert found[0].score == 1000.0 and found[1].name == "h1"
+    for phrase, kind, name, shown in (("Gen. 3:4", "ScriptureVerse", "gen|3|4", "Genesis 3:4"), ("gen 3", "ScriptureChapter", "gen|3", "Genesis 3"), ("Genesis", "ScriptureBook", "gen", "Genesis")):
+        said = {(r.type, r.name, r.display_name) for r in S.fast_search(phrase, index, names).collect() if r.score == S.SAID}
+        assert said == {(t("Word"), phrase, phrase), (t(kind), name, shown)}
+
+
+def test_cards_sum_up_kickers_and_best_paragraphs(spark):
+    talk, para = t("ConferenceTalk"), t("ConferenceTalkParagraph")
+    rs = results(spark, [("ConferenceTalk", "2001|10|a", 1.0), ("ConferenceTalk", "2001|10|b", 0.9), ("ConferenceTalkParagraph", "2001|10|a|2", 0.8), ("ScriptureVerse", "gen|1|2", 0.7), ("Hymn", "x", 0.6)])
+    docs = spark.createDataFrame([(talk, "2001|10|a", "A", "Ann", 2001, "10", " Kick of light. "), (talk, "2001|10|b", "B", "Bob", 2001, "10", None)], "type short, name string, title string, speaker string, year int, phase string, kicker string")
+    rows = [(para, f"2001|10|{d}|{k}", k, x) for d in "ab" for k, x in ((1, "Nothing much is said in here."), (2, "The light is on the hill and shines."), (3, "More light and light than that."))]
+    paras = spark.createDataFrame(rows + [(t("ScriptureVerse"), "gen|1|2", 1, "Let there be light.")], "type short, name string, pos int, text string")
+    active = spark.createDataFrame([("light|en", 1.0)], "name string, weight double")
+    got = {r.name: (r.label, r.summary) for r in S.cards(rs, docs, paras, active).collect()}
+    assert got["2001|10|a"] == ("October 2001 General Conference - A - Ann", "Kick of light.") and got["2001|10|b"] == ("October 2001 General Conference - B - Bob", "More light and light than that.")
+    assert got["2001|10|a|2"] == ("October 2001 General Conference - A - Ann", "The light is on the hill and shines.") and got["gen|1|2"] == ("Genesis 1:2", "Let there be light.") and got["x"] == (S.UNKNOWN_NAME, None)
 
 
 def test_first_with_document(spark):
