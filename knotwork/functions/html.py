@@ -239,23 +239,3 @@ def plain_anchors(html: Column | str) -> Column:
             yield s.map(lambda x: re.sub(r'(?s)(<a class="scripture-ref"[^>]*>)(.+?)</a>', _plain_anchor, x), na_action="ignore")
 
     return run(html)
-
-
-def drop_parts(text: str, spans: list[tuple[int, int]], notes: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """Text without some spans, and where notes over it then lie; a note inside a span becomes empty."""
-    out, at, kept = [], 0, list(notes)
-    merged: list[list[int]] = []
-    for s, e in sorted(spans):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(e, merged[-1][1])
-        else:
-            merged.append([s, e])
-    for s, e in merged:
-        out.append(text[at:s])
-        at = e
-    out.append(text[at:])
-
-    def moved(x: int) -> int:
-        return x - sum(min(x, e) - s for s, e in merged if s < x)
-
-    return "".join(out), [(moved(a), moved(b)) for a, b in kept]

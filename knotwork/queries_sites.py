@@ -48,16 +48,18 @@ def _html(kind: str) -> str:
     head = f"'<html><body><h1>' || {SITES[kind][2]} || '</h1>' || "
     by = {"conference_talk": f"'<p class=\"author-name\">By Elder ' || {AUTHOR} || ' (of the council)</p>' || ", "speech": f"'<h2 class=\"single-speech__speaker\">' || {AUTHOR} || '</h2>' || "}.get(kind, "")
     para = f"'<p id=\"p' || j || '\">' || {BODY} || {LINK} || '</p>'"
-    if kind == "scripture_chapter":
-        para = f"'<p class=\"verse\" id=\"x' || j || '\"><span class=\"verse-number\">' || j || ' </span>' || {BODY} || {LINK} || '</p>'"
+    note = "'<li id=\"n' || j || '\"><a href=\"/study/scriptures/ot/josh/' || (1 + k % 20) || '?lang=eng&amp;id=p' || j || '\">x</a></li>'"
+    notes = " || '<ul>' || " + each(note) + " || '</ul></body></html>'"
+    if kind == "scripture_chapter":  # verses have links of their own, and words that lead to notes
+        para = f"'<p class=\"verse\" id=\"x' || j || '\"><span class=\"verse-number\">' || j || ' </span>' || {BODY} || {LINK} || ' <a href=\"#n' || j || '\">bright lamp</a></p>'"
+        return head + each(para) + notes
     elif kind in TOPICS:
         para = f"'<p class=\"entry\" id=\"e' || j || '\">' || {BODY} || {LINK} || '</p>'"
     elif kind == "speech":  # every other speech is a poem
         para = f"'<p class=\"' || CASE WHEN k % 20 < 10 THEN 'line' ELSE 'plain' END || '\" id=\"p' || j || '\">' || {BODY} || {LINK} || '</p>'"
     elif kind == "book_chapter":  # references stand in notes
         para = f"'<p id=\"p' || j || '\">' || {BODY} || '<a href=\"#n' || j || '\">bright lamp</a></p>'"
-        note = "'<li id=\"n' || j || '\"><a href=\"/study/scriptures/ot/josh/' || (1 + k % 20) || '?lang=eng&amp;id=p' || j || '\">x</a></li>'"
-        return head + each(para) + " || '<ul>' || " + each(note) + " || '</ul></body></html>'"
+        return head + each(para) + notes
     elif kind == "hymn":
         verses = f"concat_ws(',', transform(sequence(1, {COUNT}), j -> '\"' || trim({BODY}) || '\"'))"
         return head + f"""'<script id="__NEXT_DATA__" type="application/json">{{"page": {{"title": "' || {TITLE} || '", "verses": [' || {verses} || '], "scriptures": ["Alma ' || (1 + k % 60) || ':1"]}}}}</script></body></html>'"""
@@ -86,9 +88,10 @@ def _each(spark: SparkSession, sf_dir: str, f) -> DataFrame:
 def _tables(kind: str) -> str:
     """SQL: d(k, type, name, title), a paragraph per j: p(k, j, pos, type, name, text), r(k, type, name, ref_type, ref_name): references of paragraphs."""
     s, verse = E.SOURCES[kind], TYPE["ScriptureVerse"]
-    text = f"trim({BODY})" if kind == "hymn" else f"{BODY} || 'bright lamp'" if kind == "book_chapter" else f"j || ' ' || {BODY} || 'see it'" if kind == "scripture_chapter" else f"{BODY} || 'see it'"
+    text = f"trim({BODY})" if kind == "hymn" else f"{BODY} || 'bright lamp'" if kind == "book_chapter" else f"j || ' ' || {BODY} || 'see it bright lamp'" if kind == "scripture_chapter" else f"{BODY} || 'see it'"
     name = "name" if kind in TOPICS else "name || '|' || j"
-    ref = f"'josh|' || (1 + k % 20) || '|' || j" if kind == "book_chapter" else f"'alma|' || (1 + k % 60) || '|' || j"
+    josh, alma = "'josh|' || (1 + k % 20) || '|' || j", "'alma|' || (1 + k % 60) || '|' || j"
+    ref = {"book_chapter": josh, "scripture_chapter": f"unnest([{alma}, {josh}])"}.get(kind, alma)
     poem = "k % 20 < 10" if kind == "speech" else "false"
     first = "name || '|1'"
     return f"""{kind}_d AS (SELECT k, {TYPE[s.node]} AS type, {SITES[kind][1]} AS name, {SITES[kind][2]} AS title FROM (SELECT p_partkey AS k FROM part) WHERE {_mine(kind)}),
@@ -115,8 +118,8 @@ def _features_sql(kind: str) -> str:
         out.append(pair("type", "name", E.SOURCES[kind].node and TYPE[E.SOURCES[kind].node], "doc", 10, p))
         out.append(f"SELECT type, name, before_type, before_name, 10 FROM (SELECT type, name, lag(type) OVER w AS before_type, lag(name) OVER w AS before_name FROM {p} WINDOW w AS (PARTITION BY k ORDER BY j)) WHERE before_name IS NOT NULL")
     out.append(pair("type", "name", "ref_type", "ref_name", 10, r))
-    if kind == "book_chapter":
-        out += _words("ref_type", "ref_name", "['bright', 'lamp']", 30, r)
+    if kind in ("book_chapter", "scripture_chapter"):
+        out += _words("ref_type", "ref_name", "['bright', 'lamp']", 30, f"(SELECT * FROM {r} WHERE ref_name LIKE 'josh|%')")
     if kind in TOPICS:
         out += _words("ref_type", "ref_name", title, 30, r)
     if kind in AUTHORS:
@@ -138,7 +141,7 @@ ALL = "WITH " + ",\n".join(map(_tables, KINDS))
 
 @query(ALL + " SELECT kind, a_type, a_name, b_type, b_name, weight10, count(*)::BIGINT AS n FROM (" + "\nUNION ALL ".join(map(_features_sql, KINDS)) + ") GROUP BY ALL")
 def site_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the pages of each source teach."""
+    """What the pages of each source teach."""
     f = _each(spark, sf_dir, lambda parsed, s: E.features(parsed, s, text_features=False))
     f = f.select("kind", F.col("a_type").cast("int").alias("a_type"), "a_name", F.col("b_type").cast("int").alias("b_type"), "b_name", "weight10")
     return f.groupBy(*f.columns).agg(F.count("*").alias("n"))
@@ -165,7 +168,7 @@ FROM {kind}_d d JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j) -
 
 @query(ALL + " " + " UNION ALL ".join(map(_documents_sql, KINDS)))
 def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their paragraphs in order."""
+    """Documents with their paragraphs in order."""
     d = _each(spark, sf_dir, E.documents).select("kind", "eid", "title", "speaker", F.posexplode("paragraphs").alias("pos", "p"))
     return d.select("kind", "eid", "title", "speaker", "pos", F.col("p.eid").alias("paragraph"), F.col("p.t").alias("text"), F.col("p.c").alias("class"))
 

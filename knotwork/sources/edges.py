@@ -14,24 +14,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SRC = ["src_type", "src_name"]
-#: Edges of one node in one file.
+#: Edges of a node that one task orders and one file holds; nodes with more are dealt by their neighbours.
 NODE_EDGES = 1 << 20
-SCHEMA = "src_type short, src_name string, dst_type short, dst_name string, mass10 long, num_edges long, total10 long, before10 long, of int, bucket int"
+SCHEMA = "src_type short, src_name string, dst_type short, dst_name string, mass10 long, num_edges long, total10 long, before10 long, hub boolean, of int, bucket int"
 COLUMNS = [*SRC, "dst_type", "dst_name", "mass10", "num_edges", "total10", "before10"]
 
 
-def described(graph: DataFrame) -> DataFrame:
-    """Edges with their source's num_edges and total10, and before10, the mass of the next heavier edge (null for the first).
+def totalled(graph: DataFrame) -> DataFrame:
+    """Edges with their source's num_edges and total10."""
+    return graph.join(graph.groupBy(*SRC).agg(F.count("*").alias("num_edges"), F.sum("mass10").alias("total10")), SRC)
+
+
+def ordered_masses(hubs: DataFrame) -> DataFrame:
+    """Edges of nodes with very many, with before10, without ordering a node's edges.
 
     Ties go to the smaller neighbour, so an edge's predecessor has its own mass but for the first edge of each mass.  Only the
-    different masses of a node are ordered (their number grows with the root of its total), never its edges."""
-    node = Window.partitionBy(*SRC)
-    masses = graph.groupBy(*SRC, "mass10").agg(F.count("*").alias("_n"), F.min(F.struct("dst_type", "dst_name")).alias("_first"))
-    masses = masses.select(
-        *SRC, "mass10", "_first", F.sum("_n").over(node).alias("num_edges"), F.sum(F.col("_n") * F.col("mass10")).over(node).alias("total10"), F.lead("mass10").over(node.orderBy("mass10")).alias("_heavier")
-    )
+    different masses of a node are ordered, whose number grows with the root of its total."""
+    masses = hubs.groupBy(*SRC, "mass10").agg(F.min(F.struct("dst_type", "dst_name")).alias("_first"))
+    masses = masses.withColumn("_heavier", F.lead("mass10").over(Window.partitionBy(*SRC).orderBy("mass10")))
     first = F.struct("dst_type", "dst_name") == F.col("_first")
-    return graph.join(masses, [*SRC, "mass10"]).withColumn("before10", F.when(first, F.col("_heavier")).otherwise(F.col("mass10"))).select(COLUMNS)
+    found = hubs.join(masses, [*SRC, "mass10"]).withColumn("before10", F.when(first, F.col("_heavier")).otherwise(F.col("mass10")))
+    return found.drop("_first", "_heavier")
 
 
 @dataclass(frozen=True)
@@ -46,16 +49,27 @@ class EdgeStore:
         """Store a graph; by default with as many buckets as shuffle partitions, and 64 at least."""
         spark = graph.sparkSession
         n = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = described(graph).withColumn("of", F.lit(n)).withColumn("bucket", _bucket(F.col("src_type"), F.col("src_name"), n))
-        part = F.pmod(F.xxhash64("dst_type", "dst_name"), F.floor(F.col("num_edges") / F.lit(NODE_EDGES)) + 1)
-        rows.repartition("bucket", part).sortWithinPartitions("bucket", *SRC).write.partitionBy("of", "bucket").parquet(path)
-        return EdgeStore(spark.read.schema(SCHEMA).parquet(path).drop("of"), n)
+        hub = F.col("num_edges") > NODE_EDGES
+        rows = totalled(graph).withColumn("of", F.lit(n)).withColumn("bucket", _bucket(F.col("src_type"), F.col("src_name"), n))
+        rows = rows.withColumn("part", F.when(hub, F.pmod(F.xxhash64("dst_type", "dst_name"), F.floor(F.col("num_edges") / F.lit(NODE_EDGES)) + 1)).otherwise(0).cast("int"))
+        # one shuffle for the order and for the files: a node's edges of a part are together, as its bucket is
+        order = Window.partitionBy("bucket", "part", *SRC).orderBy(F.desc("mass10"), "dst_type", "dst_name")
+        rows = rows.repartition("bucket", "part").withColumn("before10", F.when(~hub, F.lag("mass10").over(order)))
+        write = lambda d, name: d.select(*COLUMNS, hub.alias("hub"), "of", "bucket").write.partitionBy("of", "bucket").parquet(f"{path}/{name}")
+        write(rows, "all")
+        large = spark.read.schema(SCHEMA).parquet(f"{path}/all").where("hub")
+        if not large.isEmpty():
+            write(ordered_masses(large).repartition("bucket", F.pmod(F.xxhash64("dst_name"), F.lit(16))).sortWithinPartitions("bucket", *SRC), "hubs")
+        return EdgeStore.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> EdgeStore:
-        table = spark.read.schema(SCHEMA).parquet(path)
+        table = spark.read.schema(SCHEMA).parquet(f"{path}/all")
         found = table.select("of").first()
-        return EdgeStore(table.drop("of"), found["of"] if found else 1)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/hubs")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            table = table.where("NOT hub").unionByName(spark.read.schema(SCHEMA).parquet(f"{path}/hubs"))
+        return EdgeStore(table.drop("of", "hub"), found["of"] if found else 1)
 
     def bucket(self, kind: Column, name: Column) -> Column:
         return _bucket(kind, name, self.buckets)

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import html as H
+from knotwork.functions import spans as Sp
 from knotwork.functions import text as T
 
 
@@ -81,6 +83,8 @@ def test_select_and_spans(spark):
     h = '<p class="a b">one <b>x</b><p>two</p><div id="n"><div>in</div></div>'
     assert [(t, i) for t, _, i in H.select(h, [("p", None, None), ("div", "id", None)])] == [("p", "one <b>x</b>"), ("p", "two"), ("div", "<div>in</div>")]
     assert H.select(h, [("p", "class", "b")])[0][2] == "one <b>x</b>"
-    assert H.drop_parts("abcdefgh", [(2, 4)], [(0, 2), (1, 3), (2, 4), (3, 6), (6, 8)]) == ("abefgh", [(0, 2), (1, 2), (2, 2), (2, 4), (4, 6)])
+    gap = [np.array([x]) for x in (2, 4)]
+    assert Sp.drop("abcdefgh", *gap) == "abefgh"
+    assert Sp.moved(np.array([0, 1, 2, 3, 6]), *gap).tolist() == [0, 1, 2, 2, 4] and Sp.moved(np.array([2, 3, 4, 6, 8]), *gap).tolist() == [2, 2, 2, 4, 6]
     assert one(spark, "a &amp; b &eacute;", H.unescape) == "a & b é"
     assert one(spark, '<a class="scripture-ref" href="x">Gen. 1:<b>2.</b></a>.', H.plain_anchors) == '<a class="scripture-ref" href="x">Gen 1<b>2</b></a>.'
