@@ -19,6 +19,7 @@ from .operators import graph as G
 from .operators import search as S
 from .operators import segments as Q
 from .operators import spread as A
+from .operators import textgraph as TG
 from .plans.session import balanced
 from .sources import crawl as C
 
@@ -211,7 +212,7 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{FEATURES}, {EDGES}, {NODES} SELECT {AS_NODES} FROM n")
 def edge_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph of all documents, told by its nodes."""
-    return _node_rows(G.nodes(G.edges(X.text_features(documents(spark, sf_dir)))))
+    return _node_rows(TG.text_graph(documents(spark, sf_dir)).nodes())
 
 
 DOC_WORDS = f"""{WITH_WORDS}, f AS (SELECT {ENTITY} AS a_type, doc_id::VARCHAR AS a_name, {W} AS b_type, w || '|en' AS b_name, 1 AS weight10 FROM w), {EDGES}, {NODES}"""

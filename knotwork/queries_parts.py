@@ -10,12 +10,11 @@ from .functions import automaton as Au
 from .functions import selectors as Sel
 from .functions import spans as Sp
 from .operators import extractors as E
-from .operators import features as X
-from .operators import graph as G
 from .operators import index as I
 from .operators import search as S
 from .operators import segments as Q
 from .operators import spread as A
+from .operators import textgraph as TG
 from .plans.session import new_folder
 from .queries import ACTIVE_ROWS, DOC_WORDS, EDGES, FEATURES, HOPS, LEAST, NODES, ROOTS, W, _hops, _lit, _root, _rows, _sql, doc_words, documents, query, table
 from .sources import epub
@@ -229,7 +228,7 @@ def spread_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = A.Query(min_activation=LEAST, max_hops=2)
     for r in ROOTS[:2]:
         q.add_root(W, r)
-    return _rows(A.run(q, A.prepare(G.edges(X.text_features(documents(spark, sf_dir))))))
+    return _rows(A.run(q, A.prepare(TG.text_graph(documents(spark, sf_dir)).edges())))
 
 
 # ---- results as they are shown
