@@ -495,6 +495,9 @@ def test_lm_goes_on_over_all_training_texts(spark):
     assert lm.score_ids(far, ids, first).mean() > lm.score_ids(short, ids, first).mean()
     same = lm.fit(docs, sample=6_000, every=2)
     assert all(np.allclose(far.w[k], same.w[k], atol=1e-4) for k in far.w)
+    # a corpus that the first round reads whole goes on too: the method is one for every size
+    first_round, whole = lm.fit(docs, sample=10**6, every=10**9), lm.fit(docs, sample=10**6, every=2)
+    assert any(not np.allclose(whole.w[k], first_round.w[k], atol=1e-4) for k in whole.w)
 
 
 def test_lm_same_base_as_plain(spark, sf_dir, odd, none):
