@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import BOOKS, CANONS
+from .ordered import places
 
 #: Most children of one parent, which must fit into a row.
 MOST_CHILDREN = 100_000
+#: Talks of a conference in one row.
+BLOCK = 10_000
 
 
 def nest(rows: DataFrame, keys: list[str], order: list[str], into: str, most: int = MOST_CHILDREN) -> DataFrame:
@@ -52,8 +55,13 @@ def flat(index: DataFrame) -> DataFrame:
 
 
 def talk_index(talks: DataFrame) -> DataFrame:
-    """(year, phase, talks: [(talk, entity, seq)]) from (year, phase, talk, entity, seq); every talk that was indexed."""
-    return nest(talks.select("year", "phase", "talk", "entity", "seq"), ["year", "phase"], ["seq", "talk"], "talks")
+    """(year, phase, first, talks: [(talk, entity, seq)]) from (year, phase, talk, entity, seq); every talk that was indexed.
+
+    A conference is a row for each BLOCK of its talks, `first` being the number of the block's first talk, so that no conference has to fit into a row."""
+    placed = places(talks.select("year", "phase", "talk", "entity", "seq"), ["year", "phase"], ["seq", "talk"])
+    blocks = placed.withColumn("first", F.col("place") - F.col("place") % BLOCK)
+    found = nest(blocks, ["year", "phase", "first"], ["place"], "talks")
+    return found.withColumn("talks", F.transform("talks", lambda x: F.struct(x["talk"].alias("talk"), x["entity"].alias("entity"), x["seq"].alias("seq"))))
 
 
 def book_index(chapters: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def dealt(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.sparkSession.read.parquet(folder)
 
 
+def places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows with `place`, their number in their group by this order, from 0 on; groups and orders may be null, and ties are in any order."""
+    named = rows.withColumn("_g", F.to_json(F.struct(*group)))  # never null; a null column is left out of it
+    found = running(dealt(named, ["_g"], order), ["_g"], order, count={"place": F.lit(True)})
+    return found.withColumn("place", F.col("place") - 1).drop("_g", "_part")
+
+
 def running(rows: DataFrame, group: list[str], order: list[str], last: dict[str, Column] | None = None, count: dict[str, Column] | None = None) -> DataFrame:
     """Dealt rows with, up to and including each row, the last value of some columns that is not null, and how often some conditions held."""
     last, count = last or {}, count or {}

@@ -7,6 +7,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork import queries as core
 from knotwork.dims import TYPE
 from knotwork.functions import selectors as Sel
 from knotwork.functions import spans as Sp
@@ -186,3 +187,13 @@ def test_best_first_keeps_its_bound(spark):
         if b.bound == 0:
             assert got.keys() == whole.keys() and abs(missing) < 1e-9
     assert b.bound == 0
+
+
+def test_a_conference_of_many_talks(spark, tmp_path):
+    """A conference of more talks than a row may hold is dealt in blocks; rows without a date are a conference too."""
+    n = I.MOST_CHILDREN + 10_000
+    key = lambda k: k * 7919 % 1_000_003
+    spark.range(n + 3).selectExpr("id * 7919 % 1000003 AS o_orderkey", "id % 50 AS o_custkey", f"CASE WHEN id < {n} THEN DATE '1999-04-02' END AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {(1999, "04", i, str(k % 50)) for i, k in enumerate(sorted(range(n), key=key))} | {(None, "10", i, str(k % 50)) for i, k in enumerate(sorted(range(n, n + 3), key=key))}
+    got = [tuple(r) for r in core.queries()["conference_index"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
