@@ -355,3 +355,18 @@ def test_stream_compacts(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     train.train_stream(stream, str(tmp_path / "graph"), str(tmp_path / "state"), compact_every=2).awaitTermination(120)
     assert as_dict(train.current(spark, str(tmp_path / "graph"))) == as_dict(G.edges(X.text_features(docs)))
+
+
+def test_spreading_over_features_sums_only_what_is_active(spark, world):
+    """The same as over the stored graph, whatever the threshold; ties and a hub go by the order of edges, as there."""
+    W_ = TYPE["Word"]
+    rows = [(W_, "hub", W_, f"n{k:03d}", 10 + k % 3) for k in range(90)] + [(W_, "hub", W_, "hub", 10), (W_, f"n{5:03d}", W_, "far", 10), (W_, "n005", W_, "hub", 40)]
+    f = spark.createDataFrame(rows, "a_type short, a_name string, b_type short, b_name string, weight10 long")
+    store = A.prepare(G.edges(f))
+    rounded = lambda d: sorted((r.type, r.name, round(r.score, 9)) for r in d.collect())
+    for least in (1e-4, 6e-3, 0.5):
+        q = A.Query(min_activation=least, max_hops=3).add_root(W_, "hub", 0).add_root(W_, "far", 1)
+        assert rounded(A.run(q, A.Unsummed(f))) == rounded(A.run(q, store)) != []
+    active = spark.createDataFrame([(1, W_, "far", 1.0)], "mask long, type short, name string, v double")
+    for small in (True, False):
+        assert {(r.name, round(r.v, 9)) for r in A.Unsummed(f).hop(active, 1e-4, small).collect()} == {(r.name, round(r.v, 9)) for r in A.hop(active, store, 1e-4).collect()}
