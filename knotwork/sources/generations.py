@@ -69,7 +69,8 @@ class GraphLog:
             parts.append(f"{self.path}/generations/{manifest.generation}")
         if not parts:
             return self.spark.createDataFrame([], EDGE_SCHEMA)
-        return self.spark.read.schema(EDGE_SCHEMA).parquet(*parts).groupBy(*G.EDGE).agg(F.sum("mass10").alias("mass10"))
+        found = self.spark.read.schema(EDGE_SCHEMA).parquet(*parts)
+        return found if len(parts) == 1 else found.groupBy(*G.EDGE).agg(F.sum("mass10").alias("mass10"))  # each part is summed already
 
     def current(self) -> DataFrame:
         """The graph as of now: the newest generation and the deltas that are not in it."""

@@ -370,3 +370,17 @@ def test_spreading_over_features_sums_only_what_is_active(spark, world):
     active = spark.createDataFrame([(1, W_, "far", 1.0)], "mask long, type short, name string, v double")
     for small in (True, False):
         assert {(r.name, round(r.v, 9)) for r in A.Unsummed(f).hop(active, 1e-4, small).collect()} == {(r.name, round(r.v, 9)) for r in A.hop(active, store, 1e-4).collect()}
+
+
+def test_one_generation_is_not_summed_again(spark, tmp_path):
+    from knotwork.sources.generations import GraphLog
+
+    log = GraphLog(spark, str(tmp_path))
+    rows = [(W, "a", W, "b", 10), (W, "b", W, "a", 5), (W, "a", W, "a", 1)]
+    f = spark.createDataFrame(rows, "a_type short, a_name string, b_type short, b_name string, weight10 long")
+    log.add(f, 0)
+    log.add(f, 1)
+    assert "Aggregate" in log.current()._jdf.queryExecution().optimizedPlan().toString()
+    log.compact()
+    assert "Aggregate" not in log.current()._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.src_name, r.dst_name, r.mass10) for r in log.current().collect()} == {("a", "b", 30), ("b", "a", 30), ("a", "a", 4)}
