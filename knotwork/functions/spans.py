@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +48,28 @@ def drop(text: str, starts: np.ndarray, ends: np.ndarray) -> str:
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _arrays(spans: list | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(s["start"], s["end"]) for s in spans] if spans is not None else []
-    both = np.clip(np.array(pairs, dtype=np.int64).reshape(-1, 2), 0, most)
-    return both[:, 0], both[:, 1]
+def _pairs(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all spans of a column, and where each row's begin; null lists have none."""
+    if spans.null_count:
+        spans = pc.coalesce(spans, pa.scalar([], spans.type))
+    starts, ends = (np.asarray(spans.values.field(k).fill_null(0), dtype=np.int64) for k in ("start", "end"))
+    return starts, ends, np.asarray(spans.offsets)
+
+
+def deleted(texts: pa.StringArray, cut: pa.ListArray, over: pa.ListArray) -> pa.StructArray:
+    """What delete() tells of a batch; spans and notes stay arrays of numbers, a row's at a time is looked at."""
+    out, moved_to = [], []
+    (a, b, of), (x, y, note) = _pairs(cut), _pairs(over)
+    for i, t in enumerate(texts):
+        t = t.as_py()
+        size = len(t or "")
+        within = lambda places, at: np.clip(places[at[i] : at[i + 1]], 0, size)  # noqa: B023, E731
+        starts, ends = union(within(a, of), within(b, of))
+        out.append(None if t is None else drop(t, starts, ends))
+        moved_to.append((moved(within(x, note), starts, ends), moved(within(y, note), starts, ends)))
+    flat = [pa.array(np.concatenate([m[k] for m in moved_to]) if moved_to else [], pa.int32()) for k in (0, 1)]
+    notes = pa.ListArray.from_arrays(pa.array(note - note[0], pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"]))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), notes], ["text", "notes"])
 
 
 def delete(text: Column | str, spans: Column | str, notes: Column | str) -> Column:
@@ -57,17 +77,10 @@ def delete(text: Column | str, spans: Column | str, notes: Column | str) -> Colu
 
     Spans may overlap, and reach beyond the text.  A note within what is deleted becomes empty.  Null texts stay null."""
 
-    @F.pandas_udf(f"text string, notes {SPANS}")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"text string, notes {SPANS}")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, cut, over in batches:
-            out: dict[str, list] = {"text": [], "notes": []}
-            for t, c, n in zip(texts, cut, over, strict=True):
-                size = len(t or "")
-                starts, ends = union(*_arrays(c, size))
-                a, b = (moved(x, starts, ends).tolist() for x in _arrays(n, size))
-                out["text"].append(None if t is None else drop(t, starts, ends))
-                out["notes"].append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
-            yield pd.DataFrame(out)
+            yield deleted(texts, cut, over)
 
     return run(text, spans, notes)
 

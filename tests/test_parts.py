@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 from itertools import accumulate
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,19 @@ def test_a_conference_of_many_talks(spark, tmp_path):
     want = {(1999, "04", i, str(k % 50)) for i, k in enumerate(sorted(range(n), key=key))} | {(None, "10", i, str(k % 50)) for i, k in enumerate(sorted(range(n, n + 3), key=key))}
     got = [tuple(r) for r in core.queries()["conference_index"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_span_deletion_holds_few_objects():
+    """A batch's spans and notes stay arrays; null lists have none, whatever lies under them, and so do slices."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    texts = pa.array(["abcdefgh" * 1250] * 40)
+    cut = pa.array([[{"start": k, "end": k + 3} for k in range(0, 10_000, 10)]] * 40, kind)
+    over = pa.array([[{"start": k, "end": k + 7} for k in range(0, 10_000, 5)]] * 40, kind)
+    tracemalloc.start()
+    got = Sp.deleted(texts, cut, over)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # 120,000 structs as Python objects take over 30 MB
+    assert len(got[0]["text"].as_py()) == 7000 and got[39]["notes"].as_py()[:3] == [{"start": 0, "end": 4}, {"start": 2, "end": 7}, {"start": 7, "end": 11}]
+    odd = Sp.deleted(pa.array(["skip", "abcdef", None, ""])[1:], pa.array([[], [{"start": 1, "end": 3}], None, None], kind)[1:], pa.array([[{"start": 0, "end": 1}], [{"start": 0, "end": 9}], [{"start": 0, "end": 2}], None], kind)[1:])
+    assert odd.to_pylist() == [{"text": "adef", "notes": [{"start": 0, "end": 4}]}, {"text": None, "notes": [{"start": 0, "end": 0}]}, {"text": "", "notes": []}]
