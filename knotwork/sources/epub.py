@@ -14,7 +14,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +24,12 @@ from ..functions.html import format_fragment, select
 SECTIONS = r"^OPS/sec_(\d+)_(\d+)\.xml$"
 PARTS = r"^OEBPS/part(\d+)\.xhtml$"
 ANY_TEXT = r"^.*\.x?html?$"
-#: Bytes of compressed members that are handed on at once.
+#: Bytes of members that are handed on at once.
 BATCH = 8 << 20
+#: Pages whose paragraphs are Python objects at once.
+PAGES = 64
+RAW = pa.schema([("archive", pa.string()), ("file", pa.string()), ("kind", pa.int32()), ("crc", pa.int64()), ("raw", pa.binary())])
+HTML = pa.schema([("archive", pa.string()), ("file", pa.string()), ("html", pa.string())])
 _DAY = (1980, 1, 1, 0, 0, 0)
 
 
@@ -40,42 +44,52 @@ def members(archives: DataFrame, pattern: str, partitions: int | None = None) ->
     Null contents have none; an archive that can't be read fails, and so does a member whose checksum is wrong."""
     wanted = re.compile(pattern)
 
-    def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for name, content in zip(rows["path"], rows["content"], strict=True):
-                if content is None:
+                if not content.is_valid:
                     continue
-                out, held = [], 0
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                out, held, content = [], 0, content.as_buffer()
+                with zipfile.ZipFile(pa.BufferReader(content)) as z:
                     for m in z.infolist():
                         if wanted.match(m.filename):
                             raw = _raw(content, m)
-                            out.append((name, m.filename, m.compress_type, m.CRC, raw))
+                            out.append((name.as_py(), m.filename, m.compress_type, m.CRC, raw))
                             held += len(raw)
                             if held > BATCH:
-                                yield _frame(out)
+                                yield _batch(out, RAW)
                                 out, held = [], 0
-                yield _frame(out)
+                if out:
+                    yield _batch(out, RAW)
 
-    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            html = [_inflated(f, k, crc, raw) for f, k, crc, raw in zip(rows["file"], rows["kind"], rows["crc"], rows["raw"], strict=True)]
-            yield pd.DataFrame({"archive": rows["archive"], "file": rows["file"], "html": html})
-
-    found = archives.select("path", "content").mapInPandas(directory, "archive string, file string, kind int, crc long, raw binary")
+            out, held = [], 0
+            for archive, *member in zip(*[rows[c] for c in RAW.names], strict=True):
+                file, kind, crc, raw = (x.as_py() for x in member)
+                html = _inflated(file, kind, crc, raw)
+                out.append((archive.as_py(), file, html))
+                held += len(html)
+                if held > BATCH:
+                    yield _batch(out, HTML)
+                    out, held = [], 0
+            if out:
+                yield _batch(out, HTML)
+
+    found = archives.select("path", "content").mapInArrow(directory, "archive string, file string, kind int, crc long, raw binary")
     spread = found.repartition(partitions, "archive", "file") if partitions else found.repartition("archive", "file")
-    return spread.mapInPandas(inflate, "archive string, file string, html string")
+    return spread.mapInArrow(inflate, "archive string, file string, html string")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["archive", "file", "kind", "crc", "raw"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _raw(content: bytes, m: zipfile.ZipInfo) -> bytes:
+def _raw(content: pa.Buffer, m: zipfile.ZipInfo) -> bytes:
     """A member as it lies in its archive, behind its local header."""
     names, extra = struct.unpack_from("<HH", content, m.header_offset + 26)
     at = m.header_offset + 30 + names + extra
-    return content[at : at + m.compress_size]
+    return content[at : at + m.compress_size].to_pybytes()
 
 
 def _inflated(file: str, kind: int, crc: int, raw: bytes) -> str:
@@ -97,15 +111,16 @@ def pack(files: DataFrame) -> DataFrame:
 
     A task builds one archive after another and holds one of them; of equal names the last one read counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, z = None, io.BytesIO(), None
 
-        def done() -> pd.DataFrame:
+        def done() -> pa.RecordBatch:
             z.close()
-            return pd.DataFrame({"path": [name], "content": [held.getvalue()]})
+            return pa.RecordBatch.from_pydict({"path": pa.array([name], pa.string()), "content": pa.array([held.getvalue()], pa.binary())})
 
         for rows in batches:
             for archive, file, html in zip(rows["archive"], rows["file"], rows["html"], strict=True):
+                archive, file, html = archive.as_py(), file.as_py(), html.as_py()
                 if archive != name:
                     if z is not None:
                         yield done()
@@ -117,7 +132,7 @@ def pack(files: DataFrame) -> DataFrame:
         if z is not None:
             yield done()
 
-    return files.select("archive", "file", "html").repartition("archive").sortWithinPartitions("archive", "file").mapInPandas(run, "path string, content binary")
+    return files.select("archive", "file", "html").repartition("archive").sortWithinPartitions("archive", "file").mapInArrow(run, "path string, content binary")
 
 
 def volume(number: Column) -> Column:
@@ -132,13 +147,28 @@ def numbers(file: Column, pattern: str) -> Column:
     return F.array(*[F.regexp_extract(file, pattern, k + 1).cast("int") for k in range(groups)])
 
 
+def parsed(pages: pa.StringArray, accept: list[tuple]) -> pa.Array:
+    """Lists of (class, text) of a column of HTML; a few pages at a time are Python objects."""
+    out = []
+    for k in range(0, max(1, len(pages)), PAGES):
+        classes, texts, ends = [], [], [0]
+        for h in pages[k : k + PAGES]:
+            for _, a, inner in select(h.as_py() or "", accept):
+                classes.append(a.get("class"))
+                texts.append(" ".join(format_fragment(inner).text.split()))
+            ends.append(len(texts))
+        both = pa.StructArray.from_arrays([pa.array(classes, pa.string()), pa.array(texts, pa.string())], ["class", "text"])
+        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both))
+    return pa.concat_arrays(out)
+
+
 def paragraphs(files: DataFrame, tags: tuple[str, ...] = ("p",)) -> DataFrame:
     """(archive, file, pos, class, text): paragraphs as formatted text, with (file, pos) as their order."""
     accept = [(t, None, None) for t in tags]
 
-    @F.pandas_udf("array<struct<class:string,text:string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<class:string,text:string>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield s.map(lambda h: [{"class": a.get("class"), "text": " ".join(format_fragment(inner).text.split())} for _, a, inner in select(h or "", accept)])
+            yield parsed(s, accept)
 
     return files.select("archive", "file", F.posexplode(run("html")).alias("pos", "p")).select("archive", "file", "pos", F.col("p.class").alias("class"), F.col("p.text").alias("text"))
