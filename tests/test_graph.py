@@ -384,3 +384,11 @@ def test_one_generation_is_not_summed_again(spark, tmp_path):
     log.compact()
     assert "Aggregate" not in log.current()._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.src_name, r.dst_name, r.mass10) for r in log.current().collect()} == {("a", "b", 30), ("b", "a", 30), ("a", "a", 4)}
+
+
+def test_rows_that_grow_are_dealt(spark):
+    """Few bytes in one file are more tasks, and equal keys stay together."""
+    from knotwork.plans.session import dealt
+
+    got = dealt(spark.range(0, 100, 1, 1), "id")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 100
