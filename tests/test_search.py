@@ -228,3 +228,14 @@ def test_scores(spark):
     assert sorted(r.k for r in Q.long_enough(rows, ["k"], anyway=F.col("see")).collect()) == ["a", "c"]
     best = spark.createDataFrame([("d", 1, 2.0), ("d", 2, 5.0), ("d", 3, 5.0)], "k string, i int, score double")
     assert Q.best_paragraph(best, ["k"], "i").first().i == 2
+
+
+def test_slow_search_without_a_kind_of_book(spark):
+    """Result types that are off are left out before the share of the best and the limit are taken."""
+    b, w = TYPE["BookParagraph"], TYPE["Word"]
+    rows = [(b, f"{book}|{k}|1", w, "lamp|en", 10) for book in ("md", "atgq") for k in range(3)]
+    g = A.Unsummed(spark.createDataFrame(rows, "a_type short, a_name string, b_type short, b_name string, weight10 long"))
+    q = lambda: A.Query(max_hops=1).add_root(w, "lamp|en")
+    found = lambda **o: {r.name for r in S.slow_search(q(), g, enabled=["Book"], limit=3, **o)[0].collect()}
+    assert found() == {f"atgq|{k}|1" for k in range(3)} == found(off=("BookMD",))
+    assert found(off=("BookATGQ",)) == {f"md|{k}|1" for k in range(3)}
