@@ -392,3 +392,19 @@ def test_rows_that_grow_are_dealt(spark):
 
     got = dealt(spark.range(0, 100, 1, 1), "id")
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 100
+
+
+def test_words_of_some_nodes_only(spark):
+    """The edges of some nodes are those of all features: repeated and null ids and texts, marks within words, few words and many."""
+    odd = "Of a mind-set; o'er the’ sea.’The end.)Of…of x-'y' ...a.b!?-c"
+    docs = spark.createDataFrame([(1, odd), (1, "of of The SEA"), (2, None), (None, "of sea"), (3, ""), (4, "minds " + " ".join(f"w{k}" for k in range(99)))], "doc_id long, text string")
+    words = X.Words(docs)
+    rows = lambda d: sorted(map(repr, d.select("src_type", "src_name", "dst_type", "dst_name", "mass10").collect()))
+    sentences = X.text_features(docs, kinds=("word", "bigram")).where(F.col("b_type") == W)  # these are cut by sentences
+    sentences = sentences.where(F.col("a_type") != W)
+    assert rows(G.edges(words.features())) == rows(G.edges(sentences))
+    few = [(TYPE["Entity"], "1"), (W, "of|en"), (W, "mind|en"), (W, "sea|de"), (TYPE["NGram"], "of|of|en")]
+    for names in (few, [*few, *[(W, f"w{k}|en") for k in range(80)]], few[:1], few[1:2], few[3:]):
+        wanted = spark.createDataFrame(names, "src_type short, src_name string")
+        for small in (True, False):
+            assert rows(words.edges_of(wanted, small)) == rows(A.Unsummed(words.features()).of_nodes(wanted, small))
