@@ -20,9 +20,9 @@ where counts say little.
 The probability of a text is the mean over kinds, weighted by their tokens.
 
 The network is trained by Adam.  A first round sees training texts (of long ones: pieces) of about SAMPLE characters; then
-all executors go on from there, each task on its own share of one in EVERY pieces of all training texts, and
-the mean of their weights is the model.  So what it has read grows with the input; pieces are chosen by hash
-of id and place, whatever the length of a text, and both rounds run at every size.  The counts cover everything.
+all executors go on from there, each task on its own share of all pieces of all training texts, and the mean of
+their weights is the model.  Kinds of text are found in the first round's pieces, and then told by the byte pairs of all
+training texts.  So every training text teaches the network, the kinds and the counts, and both rounds run at every size.
 
 Defined results: a null text is an empty one, i.e. one end; a text with a null id belongs to neither fold
 and teaches nothing; without training texts the network is uniform and the base is 0; other columns are
@@ -53,8 +53,8 @@ UNITS, CLASSES, DIM = 1024, 32, 24
 MEMBERS = UNITS // CLASSES
 STEP = 16
 END = UNITS - 1
-#: Characters of a piece of text and of the first round's pieces; pieces of which one is read in the second round.
-CUT, SAMPLE, EVERY = 4096, 2_000_000, 32
+#: Characters of a piece of text, and of the first round's pieces and those of a task's share in the second.
+CUT, SAMPLE = 4096, 2_000_000
 MIX, PRIOR = (0.6, 0.02, 0.08, 0.3), 2.0
 CLUSTERS, PAIRS = 8, 1 << 12
 #: Words that a task counts.
@@ -378,8 +378,8 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "range": key[0], "blob": list(map(pack_array, told))})
 
 
-def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, every: int = EVERY, n_chars: int | None = None) -> Network:
-    """Train the network: on pieces of about `sample` characters, then on one in `every` pieces of all training texts."""
+def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, every: int = 1, n_chars: int | None = None) -> Network:
+    """Train the network: it starts from pieces of about `sample` characters, and then learns from one in `every` pieces of all training texts (by default from all)."""
     path, spark = path or default_vocabulary(), docs.sparkSession
     n_chars = characters(docs, text_col) if n_chars is None else n_chars
     train_docs = docs.where(fold(id_col, 5) != 1).select(id_col, text_col)
@@ -401,6 +401,20 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     net.kinds = find_kinds(texts)
     known = spark.sparkContext.broadcast(net)
 
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLUSTERS, PAIRS), dtype=np.int64)
+        for rows in rows_by_bytes(batches, text_col):
+            for _, t in rows:
+                pairs = byte_pairs((t or "").encode().lower())
+                total[int((pairs @ known.value.kinds).argmax())] += pairs
+        yield arrow_batch({"kind": (list(range(CLUSTERS)), pa.int32()), "pairs": (list(total), pa.list_(pa.int64()))})
+
+    def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"kind": [key[0]], "pairs": [np.sum(rows["pairs"].to_list(), axis=0)]})
+
+    # a kind is told by all training texts that the first round's kinds deal to it; its task sums one row a task of the scan
+    counted = train_docs.where(F.col(text_col).isNotNull()).mapInArrow(kinds, "kind int, pairs array<long>").groupBy("kind").applyInPandas(summed, "kind int, pairs array<long>").toPandas()
+
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(mine: list[bytes]) -> pa.RecordBatch:
             ids, first = ids_of(_units(path), mine)
@@ -430,6 +444,9 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
         for k in sorted(net.w):
             net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape).copy()
             at += net.w[k].size
+    if len(counted):
+        c = np.array(counted.sort_values("kind")["pairs"].to_list(), dtype=float) + 0.05
+        net.kinds = np.log(c / c.sum(1, keepdims=True)).T
     return net
 
 

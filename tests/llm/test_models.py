@@ -584,3 +584,15 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
         assert docs.count() == 0
+
+
+def test_language_model_learns_from_every_training_text(spark):
+    """By default no piece is left out: a text behind the first round's pieces moves the network and the kinds."""
+
+    train = [i for i in range(400) if not lm.is_held_out(i)]
+    texts = {i: f"the lamp of the old harbour burns {i} " * 8 for i in train}
+    fit = lambda t: lm.fit(spark.createDataFrame(sorted(t.items()), "doc_id long, text string").repartition(2, "doc_id"), sample=3_000)
+    before = fit(texts)
+    for i in train[7::90]:  # the same number of characters, so that the first round's share stays
+        after = fit(texts | {i: "zq" * (len(texts[i]) // 2)})
+        assert not np.array_equal(before.w["follow"], after.w["follow"]) and not np.array_equal(before.kinds, after.kinds)
