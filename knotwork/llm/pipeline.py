@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next one's docs.  All but the last return the columns of documents.
 
 * language ID: learns from three of four rows (as op8), and drops rows without a language (`und`: null
-  texts and texts without a letter).  The others keep their lang.
+  texts and texts without a letter) or without a main one: mixtures no language of which has MAIN of the text, by
+  the model's shares.  So the model decides what the later stages see.  The others keep their lang.
 * near-dedup: keeps one row of each group of linked fingerprints, that with the smallest id (null ids last).
 * decontamination: drops rows that contain a test item of the benchmark.
 * secret scans: every finding is replaced by [SECRET]; n_chars follows.  No row is dropped.
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, langid, secrets, simhash
 from .common import fold, stage_folder, table
 
+#: Least share of a text's main language.
+MAIN = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, fold("doc_id", 4) != 2)
-    return langid.keep_known(docs.select(COLUMNS), model)
+    return langid.keep_known(docs.select(COLUMNS), model, MAIN)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -596,3 +596,15 @@ def test_language_model_learns_from_every_training_text(spark):
     for i in train[7::90]:  # the same number of characters, so that the first round's share stays
         after = fit(texts | {i: "zq" * (len(texts[i]) // 2)})
         assert not np.array_equal(before.w["follow"], after.w["follow"]) and not np.array_equal(before.kinds, after.kinds)
+
+
+def test_language_id_decides_what_follows(spark, sf_dir):
+    """A text of three languages in equal parts has no main one and goes; one with a third of another language stays."""
+    g = np.random.default_rng(1)
+    say = lambda letters, n=60: " ".join("".join(g.choice(list(letters), 5)) for _ in range(n))
+    of = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    rows = [(3 * k + j, say(of[x]), x) for k in range(30) for j, x in enumerate(of)]
+    rows += [(1000, " ".join(say(x) for x in of.values()), None), (1001, say("abcdefg", 120) + " " + say("hijklmn", 60), None)]
+    docs = spark.createDataFrame([(*r, "src", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in pipeline.language_id(spark, docs, sf_dir).collect()}
+    assert got == {r[0] for r in rows} - {1000}
