@@ -215,3 +215,19 @@ def test_span_deletion_holds_few_objects():
     assert len(got[0]["text"].as_py()) == 7000 and got[39]["notes"].as_py()[:3] == [{"start": 0, "end": 4}, {"start": 2, "end": 7}, {"start": 7, "end": 11}]
     odd = Sp.deleted(pa.array(["skip", "abcdef", None, ""])[1:], pa.array([[], [{"start": 1, "end": 3}], None, None], kind)[1:], pa.array([[{"start": 0, "end": 1}], [{"start": 0, "end": 9}], [{"start": 0, "end": 2}], None], kind)[1:])
     assert odd.to_pylist() == [{"text": "adef", "notes": [{"start": 0, "end": 4}]}, {"text": None, "notes": [{"start": 0, "end": 0}]}, {"text": "", "notes": []}]
+
+
+def test_a_paragraph_is_read_once(monkeypatch):
+    """Text, links and marked words of a paragraph come from one reading of it."""
+    from knotwork.functions.references import Parser
+    from knotwork.functions.selectors import Selectors
+    from knotwork.operators import extractors as E
+
+    read = []
+    monkeypatch.setattr(E, "format_fragment", lambda html, f=E.format_fragment: read.append(html) or f(html))
+    s = E.SOURCES["book_chapter"]
+    notes = "".join(f'<li id="n{j}"><a href="/study/scriptures/ot/josh/2?lang=eng&amp;id=p{j}">x</a></li>' for j in range(1, 4))
+    html = "<h1>T</h1>" + "".join(f'<p id="p{j}">some <a href="#n{j}">bright <b>lamp</b></a></p>' for j in range(1, 4)) + f"<ul>{notes}</ul>"
+    made = E._parse(s, Selectors(E._paths(s)), "https://a.test/study/manual/jesus-the-christ/chapter-4", html, Parser())
+    assert [(p["text"].replace("<b>", "").replace("</b>", ""), [m["words"] for m in p["marked"]]) for p in made["paragraphs"]] == [("some bright lamp", ["bright lamp"])] * 3
+    assert len([h for h in read if "bright" in h]) == 3
