@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import dealt
 from . import ordered as O
 
 
@@ -79,35 +80,46 @@ def range_join(left: DataFrame, right: DataFrame, start: str, end: str, at: str,
     return bins.join(right.withColumn("_bin", F.floor(F.col(at) / width)), "_bin").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bin")
 
 
-def sentence_scores(texts: DataFrame, activated: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 20, factor: float = 0.3) -> DataFrame:
-    """(id, sent, sentence, score): summed weights (name, weight) of a sentence's activated words and n-grams; short ones count less."""
-    s = texts.select(id_col, F.posexplode(T.sentences(text_col)).alias("sent", "sentence"))
-    grams = T.let(T.words(F.lower("sentence")), lambda ws: F.concat(ws, T.ngrams(ws, 2), T.ngrams(ws, 3)))
-    hits = s.select(id_col, "sent", F.explode(grams).alias("_g")).withColumn("name", F.concat("_g", F.lit("|en"))).join(activated.select("name", "weight"), "name")
-    sums = hits.groupBy(id_col, "sent").agg(F.sum("weight").alias("_sum"))
+def sentence_scores(texts: DataFrame, activated: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text", short: int = 20, factor: float = 0.3) -> DataFrame:
+    """(id, sent, sentence, score): summed weights (name, weight) of a sentence's activated words and n-grams; short ones count less.
+
+    Texts are dealt by their ids before they are cut.  A sentence gives a row that carries it and one for each n-gram, and those that
+    aren't activated are gone before the rest meets: if `activated` is broadcast, nothing but the texts is shuffled, once."""
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    s = dealt(texts.select(*ids, text_col), *ids).select(*ids, F.posexplode(T.sentences(text_col)).alias("sent", "sentence"))
+    grams = T.let(T.words(F.lower("sentence")), lambda ws: F.concat(F.array(F.lit(None).cast("string")), ws, T.ngrams(ws, 2), T.ngrams(ws, 3)))
+    each = s.select(*ids, "sent", "sentence", F.posexplode(grams).alias("_k", "_g"))
+    # the carrier's name is no node's, and spreads if names are shuffled
+    carries = F.col("_k") == 0
+    name = F.when(carries, F.concat(F.lit(" "), F.xxhash64(*ids, "sent").cast("string"))).otherwise(F.concat("_g", F.lit("|en")))
+    each = each.select(*ids, "sent", F.when(carries, F.col("sentence")).alias("sentence"), carries.alias("_carries"), name.alias("_name"))
+    hits = each.join(activated.select(F.col("name").alias("_name"), F.col("weight").alias("_weight")), "_name", "left").where("_carries OR _weight IS NOT NULL")
+    sums = hits.withColumn("_sum", F.sum("_weight").over(Window.partitionBy(*ids, "sent"))).where("_carries")
     score = F.coalesce("_sum", F.lit(0.0)) * F.when(F.length("sentence") < short, factor).otherwise(1.0)
-    return s.join(sums, [id_col, "sent"], "left").select(id_col, "sent", "sentence", score.alias("score"))
+    return sums.select(*ids, "sent", "sentence", score.alias("score"))
 
 
-def best_window(scored: DataFrame, id_col: str = "doc_id", most: int = 150) -> DataFrame:
+def best_window(scored: DataFrame, id_col: str | list[str] = "doc_id", most: int = 150) -> DataFrame:
     """(id, start, n, score, summary): from each sentence on, as many as fit into `most` characters (one at least); the best such window, the first on ties.
 
     Every sentence gives a row where it begins and one where it ends; a range frame from each beginning sums
-    the ends within reach, so that a text is sorted once and no sentence is paired with another.
+    the ends within reach, so that a text is sorted once and no sentence is paired with another.  All steps are by id, for
+    one shuffle at most.
     """
-    w = Window.partitionBy(id_col).orderBy("sent")
-    s = scored.select(id_col, "sent", "sentence", "score", F.sum(F.length("sentence")).over(w).alias("_end"))
-    start = F.struct((2 * (F.col("_end") - F.length("sentence")) + 1).alias("key"), F.col("sent"), F.lit(0.0).alias("add"), F.lit(0).alias("one"), F.col("score").alias("own"))
-    end = F.struct((2 * F.col("_end")).alias("key"), F.lit(None).cast("int").alias("sent"), F.col("score").alias("add"), F.lit(1).alias("one"), F.lit(0.0).alias("own"))
-    reach = Window.partitionBy(id_col).orderBy("key").rangeBetween(0, 2 * most - 1)
-    rows = s.select(id_col, F.explode(F.array(start, end)).alias("x")).select(id_col, "x.*")
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    w = Window.partitionBy(*ids).orderBy("sent")
+    s = scored.select(*ids, "sent", "sentence", "score", F.sum(F.length("sentence")).over(w).alias("_end"))
+    start = F.struct((2 * (F.col("_end") - F.length("sentence")) + 1).alias("key"), F.col("sent"), F.lit(0.0).alias("add"), F.lit(0).alias("one"), F.col("score").alias("own"), F.col("sentence"))
+    end = F.struct((2 * F.col("_end")).alias("key"), F.lit(None).cast("int").alias("sent"), F.col("score").alias("add"), F.lit(1).alias("one"), F.lit(0.0).alias("own"), F.lit(None).cast("string").alias("sentence"))
+    reach = Window.partitionBy(*ids).orderBy("key").rangeBetween(0, 2 * most - 1)
+    rows = s.select(*ids, F.explode(F.array(start, end)).alias("x")).select(*ids, "x.*")
     sums = rows.withColumn("_n", F.sum("one").over(reach)).withColumn("_v", F.sum("add").over(reach)).where("sent IS NOT NULL")
     value = F.round(F.when(F.col("_n") > 0, F.col("_v")).otherwise(F.col("own")), 9)
-    best = sums.groupBy(id_col).agg(F.max(F.struct(value.alias("score"), (-F.col("sent")).alias("before"), F.greatest(F.col("_n"), F.lit(1)).cast("int").alias("n"))).alias("b"))
-    best = best.select(id_col, (-F.col("b.before")).alias("start"), F.col("b.n").alias("n"), F.col("b.score").alias("score"))
-    inside = scored.select(id_col, "sent", "sentence").join(best, id_col).where(F.col("sent").between(F.col("start"), F.col("start") + F.col("n") - 1))
+    best = F.max(F.struct(value.alias("score"), (-F.col("sent")).alias("before"), F.greatest(F.col("_n"), F.lit(1)).cast("int").alias("n")))
+    told = sums.withColumn("b", best.over(Window.partitionBy(*ids))).select(*ids, "sent", "sentence", (-F.col("b.before")).alias("start"), F.col("b.n").alias("n"), F.col("b.score").alias("score"))
+    inside = told.where(F.col("sent").between(F.col("start"), F.col("start") + F.col("n") - 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "sentence"))), lambda e: e["sentence"]), "")
-    return inside.groupBy(id_col, "start", "n", "score").agg(F.trim(text).alias("summary"))
+    return inside.groupBy(*ids, "start", "n", "score").agg(F.trim(text).alias("summary"))
 
 
 def best_paragraph(scored: DataFrame, part: list[str], order: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,28 @@ def test_cards_sum_up_kickers_and_best_paragraphs(spark):
     assert got["2001|10|a|2"] == ("October 2001 General Conference - A - Ann", "The light is on the hill and shines.") and got["gen|1|2"] == ("Genesis 1:2", "Let there be light.") and got["x"] == (S.UNKNOWN_NAME, None)
 
 
+def _shuffles(df):
+    return re.findall(r"Exchange (hashpartitioning\([^\n]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_cards_shuffle_texts_by_entity_and_no_words(spark):
+    active = spark.createDataFrame([("light|en", 1.0), ("a light|en", 1.0)], "name string, weight double")
+    docs = spark.createDataFrame([(1, "A light. Dark."), (2, None)], "doc_id int, text string")
+    assert len(_shuffles(Q.best_window(Q.sentence_scores(docs, F.broadcast(active))))) == 1
+    rs = results(spark, [("Hymn", "x", 0.6)])
+    heads = spark.createDataFrame([], "type short, name string, title string, speaker string, year int, phase string, kicker string")
+    paras = spark.createDataFrame([(t("Hymn"), "x", 1, "Let there be light.")], "type short, name string, pos int, text string")
+    assert all("type#" in x and "_name#" not in x for x in _shuffles(S.cards(rs, heads, paras, active)) if "name#" in x)
+
+
+def test_sentence_scores_of_repeated_names_texts_and_empty_ones(spark):
+    active = spark.createDataFrame([("light|en", 1.0), ("light|en", 0.5), ("more|light|en", 2.0)], "name string, weight double")
+    docs = spark.createDataFrame([(1, "More light on the hill. ..."), (2, ""), (3, None), (4, "None of it is in here.")], "doc_id int, text string")
+    for known in (active, F.broadcast(active)):
+        got = sorted((r.doc_id, r.sent, r.sentence, r.score) for r in Q.sentence_scores(docs, known).collect())
+        assert got == [(1, 0, "More light on the hill. ...", 3.5), (4, 0, "None of it is in here.", 0.0)]
+
+
 def test_first_with_document(spark):
     c = spark.createDataFrame([(t("ScriptureVerse"), "gen|9|1", 1), (t("ScriptureVerse"), "gen|1|1", 2), (t("ScriptureVerse"), "gen|1|2", 3)], "type short, name string, pos int")
     docs = spark.createDataFrame([(t("ScriptureChapter"), "gen|1")], "type short, name string")
