@@ -408,3 +408,14 @@ def test_words_of_some_nodes_only(spark):
         wanted = spark.createDataFrame(names, "src_type short, src_name string")
         for small in (True, False):
             assert rows(words.edges_of(wanted, small)) == rows(A.Unsummed(words.features()).of_nodes(wanted, small))
+
+
+def test_sums_of_graphs_are_stored_with_edges_dealt_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the Light the hill"), (2, "a light"), (2, "light, a light"), (3, None), (None, "hill")], "doc_id int, text string")
+    one, two = X.Words(docs).edges(), X.Words(docs.where("doc_id > 1")).edges()
+    rows = lambda d: sorted(map(str, d.select(*G.EDGE, "mass10").collect()))
+    assert rows(one) == rows(G.edges(X.text_features(docs, kinds=("word",))))
+    store.save_graph(one, str(tmp_path / "one"))
+    store.save_sum([store.load_graph(spark, str(tmp_path / "one")), two], str(tmp_path / "sum"))
+    assert rows(store.load_graph(spark, str(tmp_path / "sum"))) == rows(G.merge(one, two))
+    assert two._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
