@@ -400,6 +400,22 @@ def test_toxicity_drops_copies_only(spark):
     assert {x for x in rest if not (x[0].startswith("w0 ") and x[1] == 1)} == {(long, 0), ("another text of the same id", 1), ("one", 0), ("", 0)}
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    spelled = ["".join(chr(97 + int(d)) for d in f"{k * 7919 % 99991:05d}") for k in range(13_000)]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(spelled)], "doc_id long, text string")
+    m = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id < 10) AS toxic"), F.lit(True))
+    assert m.chars.total == 6 * len(spelled)  # five letters and an end each
+
+
+def test_toxicity_joins_many_ids_by_shuffle(spark, toxic_world, monkeypatch):
+    docs, labels, _ = toxic_world
+    docs = docs.union(docs.where("doc_id < 9"))
+    sent = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    monkeypatch.setattr(toxicity, "SENT", 0)
+    joined = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    assert sent.entries == joined.entries and sent.chars.c3 == joined.chars.c3 and sent.entries
+
+
 def test_toxicity_odd(spark, odd, none, toxic_world):
     docs, labels, _ = toxic_world
     for m in (toxicity.fit(none, labels.limit(0), F.lit(True)), toxicity.fit(odd, labels.where("toxic = 0"), F.lit(True)), toxicity.fit(odd, labels, F.lit(True))):
