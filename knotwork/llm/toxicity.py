@@ -339,6 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     p, g = _told(best[["neg", "pos"]].to_numpy(dtype=float).reshape(-1, 2), n_of, base)
     best = best[(p >= min(x for _, x in CHOICES)) & (g >= min(x for x, _ in CHOICES))].reset_index(drop=True)
     place = {f: k for k, f in enumerate(best["f"])}
+    firsts = {f.lstrip("=")[:4] for f in place}
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text the words with candidates, each as the candidates it may go by."""
@@ -346,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         for batch in batches:
             made = []
             for ws in batch.column("words").to_pylist():
-                of = [[place.get(f, -1) for f in chain(w)] for w in ws]
+                of = [[place.get(f, -1) for f in chain(w)] for w in ws if w[:4] in firsts]
                 made.append([x for c in of if max(c) >= 0 for x in c + [-1] * (wide - len(c))])
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array(made, type=pa.list_(pa.int32()))], names=["y", "fold", "chains"])
 
