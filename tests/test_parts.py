@@ -1,5 +1,6 @@
 """Selectors, spans, the automaton of names, the nested index and spreading under a budget, against plain versions."""
 
+import hashlib
 import random
 import time
 import tracemalloc
@@ -217,6 +218,19 @@ def test_span_deletion_holds_few_objects():
     assert odd.to_pylist() == [{"text": "adef", "notes": [{"start": 0, "end": 4}]}, {"text": None, "notes": [{"start": 0, "end": 0}]}, {"text": "", "notes": []}]
 
 
+def test_span_deletion_takes_whole_texts(spark, tmp_path):
+    """Spans and notes behind the first 100,000 characters of a page count, too."""
+    t = "0123456789abcdefghijklm" * 5000
+    spark.createDataFrame([(1, f"<p>{t}</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["note"]: (r["start"], r["end"], r["text_md5"]) for r in core.queries()["span_deletion"](spark, str(tmp_path)).collect()}
+    gone = {i for j in range(len(t) // 23 + 1) for i in range(23 * j + 5, 23 * j + 5 + j * 7 % 31)}
+    left, at = "".join(c for i, c in enumerate(t) if i not in gone), [0]
+    for i in range(len(t)):
+        at.append(at[-1] + (i not in gone))
+    md5 = hashlib.md5(left.encode()).hexdigest()
+    assert got == {k: (at[17 * k], at[17 * k + 1 + k * 5 % 14], md5) for k in range(len(t) // 17)}
+
+
 def test_a_paragraph_is_read_once(monkeypatch):
     """Text, links and marked words of a paragraph come from one reading of it."""
     from knotwork.functions.references import Parser
