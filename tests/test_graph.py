@@ -275,6 +275,42 @@ def test_edges_know_the_one_before(spark, world, tmp_path, monkeypatch, most):
     assert A.run(A.Query().add_root(W, "w1"), none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 2], ids=["plain", "hubs"])
+def test_words_at_rest_are_their_features_at_rest(spark, tmp_path, monkeypatch, most):
+    from knotwork.sources import edges as S
+
+    monkeypatch.setattr(S, "NODE_EDGES", most)
+    docs = spark.createDataFrame([(1, "the Light the hill"), (2, "a light of a hill"), (2, "light, a light"), (3, None), (4, ""), (5, "the hill, the light")], "doc_id int, text string")
+    words = X.Words(docs)
+    rows = lambda st: sorted(map(str, st.edges.select(*S.COLUMNS, "bucket").collect()))
+    want = S.EdgeStore.write(G.edges(words.features()), str(tmp_path / "all"))
+    got = words.stored(str(tmp_path / "sides"))
+    assert got.buckets == want.buckets and rows(got) == rows(want) != []
+    assert rows(S.EdgeStore.open(spark, str(tmp_path / "sides"))) == rows(want)
+    with pytest.raises(Exception, match="exist"):
+        S.EdgeStore.write(G.edges(words.features()), str(tmp_path / "all"))
+    assert X.Words(docs.limit(0)).stored(str(tmp_path / "none")).edges.count() == 0
+
+
+@pytest.mark.parametrize("query", ["graph_lookup"])
+def test_stored_edges_are_shuffled_once(spark, sf_dir, monkeypatch, query):
+    """Texts are dealt once, the edges of words once, and those of texts never; nothing is joined by shuffle for totals."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from knotwork import queries as core
+
+    shuffles, real = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        if "/edges-" in path:
+            shuffles.append(self._df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    core.queries()[query](spark, sf_dir).collect()
+    assert shuffles == [1, 1]
+
+
 def test_scopes_share_jobs(spark, world):
     """Three scopes take no more hops than one: all are spread together."""
     store = A.prepare(G.edges(features(spark, world)))
