@@ -1,9 +1,10 @@
 """A stored graph that grows by deltas and is compacted beside its readers and writers.
 
-The folder has deltas (one a batch, named by its number), generations (the sum of a set of batches) and manifests.  A
-manifest names a generation and every batch that is in it; manifests are numbered, each is written whole under a name of
-its own and then renamed, and the newest one counts.  So readers see either the graph before a compaction or after it, and a
-compaction that died leaves an unnamed folder behind, which nothing reads.
+The folder has deltas (one a batch, named by its number), generations (the sum of a set of batches) and manifests.  Deltas and
+generations hold each pair of nodes once; only readers turn it to both directions.  A manifest names a generation and every
+batch that is in it; manifests are numbered, each is written whole under a name of its own and then renamed, and the newest
+one counts.  So readers see either the graph before a compaction or after it, and a compaction that died leaves an unnamed
+folder behind, which nothing reads.
 
 A batch counts once: as part of the generation if the manifest has its number, and as its delta if not.  A batch that is replayed while or
 after it was compacted writes a delta that the manifest makes readers ignore; replayed before that, it replaces its delta.
@@ -20,7 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .store import EDGE_SCHEMA
+from ..plans.session import dealt
+
+PAIR_SCHEMA = "u_type short, u_name string, v_type short, v_name string, mass10 long"
+#: Tasks that the pairs of a node are dealt to when they are summed.
+NEAR = 4
 
 
 @dataclass(frozen=True)
@@ -56,26 +61,35 @@ class GraphLog:
         return Manifest(max(numbers), found["generation"], frozenset(found["batches"]))
 
     def add(self, features: DataFrame, batch: int) -> None:
-        """Sum a batch to edges; the same batch again replaces its delta."""
-        G.edges(features).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
+        """Sum a batch; the same batch again replaces its delta."""
+        self.add_pairs(G.pairs(features), batch)
+
+    def add_pairs(self, pairs: DataFrame, batch: int) -> None:
+        """The same for a batch that is summed (graph.pairs)."""
+        _by_first(pairs).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
 
     def deltas(self, manifest: Manifest) -> list[int]:
         """Batches that are complete and not in the manifest's generation."""
         return sorted(int(n) for n in self._names("deltas") if n.isdigit() and int(n) not in manifest.batches and self._complete("deltas", n))
 
-    def _edges(self, manifest: Manifest, batches: list[int]) -> DataFrame:
+    def _pairs(self, manifest: Manifest, batches: list[int]) -> DataFrame:
         parts = [f"{self.path}/deltas/{b}" for b in batches]
         if manifest.generation:
             parts.append(f"{self.path}/generations/{manifest.generation}")
         if not parts:
-            return self.spark.createDataFrame([], EDGE_SCHEMA)
-        found = self.spark.read.schema(EDGE_SCHEMA).parquet(*parts)
-        return found if len(parts) == 1 else found.groupBy(*G.EDGE).agg(F.sum("mass10").alias("mass10"))  # each part is summed already
+            return self.spark.createDataFrame([], PAIR_SCHEMA)
+        found = self.spark.read.parquet(*parts).select(*G.PAIR, "mass10")  # parts of another kind are an error
+        if len(parts) == 1:
+            return found
+        # each part is summed already, so that summing within tasks before pairs meet would take memory and save nothing; a node's
+        # pairs are dealt to a few tasks, where they stay together and so take little, and a node of very many isn't in one task
+        near = found.withColumn("_near", F.pmod(F.xxhash64("v_name"), F.lit(NEAR)))
+        return dealt(near, *G.PAIR[:2], "_near").groupBy("_near", *G.PAIR).agg(F.sum("mass10").alias("mass10")).drop("_near")
 
     def current(self) -> DataFrame:
-        """The graph as of now: the newest generation and the deltas that are not in it."""
+        """The graph as of now, in both directions: the newest generation and the deltas that are not in it."""
         m = self.manifest()
-        return self._edges(m, self.deltas(m))
+        return G.both(self._pairs(m, self.deltas(m)))
 
     def compact(self) -> Manifest:
         """Sum the deltas of now and the newest generation to a new one, and name it.  Returns the manifest that counts afterwards.
@@ -86,7 +100,7 @@ class GraphLog:
         if not batches:
             return before
         name = f"g{before.number + 1}-{uuid.uuid4().hex}"
-        self._edges(before, batches).sortWithinPartitions(*G.SRC).write.parquet(f"{self.path}/generations/{name}")
+        _by_first(self._pairs(before, batches)).write.parquet(f"{self.path}/generations/{name}")
         return self._publish(Manifest(before.number + 1, name, before.batches | frozenset(batches)))
 
     def _publish(self, m: Manifest) -> Manifest:
@@ -110,3 +124,8 @@ class GraphLog:
         for g in gone:
             self._fs.delete(self._at(f"{self.path}/{g}"), True)
         return sorted(gone)
+
+
+def _by_first(pairs: DataFrame) -> DataFrame:
+    """Pairs as they are written: those of a node together, so that its name takes little."""
+    return pairs.sortWithinPartitions(*G.PAIR[:2])

@@ -422,6 +422,28 @@ def test_one_generation_is_not_summed_again(spark, tmp_path):
     assert {(r.src_name, r.dst_name, r.mass10) for r in log.current().collect()} == {("a", "b", 30), ("b", "a", 30), ("a", "a", 4)}
 
 
+def test_deltas_and_generations_hold_a_pair_once(spark, tmp_path):
+    """Half of the edges are at rest, and the words of texts aren't shuffled to be summed; entities may be of a type behind words."""
+    from knotwork.sources.generations import GraphLog
+
+    log = GraphLog(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "the Light the hill"), (2, "a light of a hill"), (2, "light, a light"), (3, None), (None, "hill")], "doc_id int, text string")
+    for k, d in enumerate((docs.where("doc_id = 1"), docs.where("doc_id = 2 OR doc_id IS NULL"), docs.where("doc_id = 3"))):
+        log.add(X.text_features(d, kinds=("word",)), k)
+    want = G.edges(X.text_features(docs, kinds=("word",)))
+    at_rest = lambda of: spark.read.parquet(*[str(x) for x in (tmp_path / of).iterdir()])
+    log.compact()
+    assert 2 * at_rest("deltas").count() == 2 * at_rest("generations").count() == want.count() and as_dict(log.current()) == as_dict(want)
+    words = X.Words(docs.where("doc_id = 2"))
+    assert words.pairs()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    log.add_pairs(words.pairs(), 3)
+    assert as_dict(log.current()) == as_dict(G.merge(want, G.edges(words.features())))
+    for kind in ("Entity", "ScriptureVerse"):
+        w = X.Words(docs, entity=kind)
+        rows = lambda p: sorted(map(str, p.select(*G.PAIR, "mass10").collect()))
+        assert rows(w.pairs()) == rows(G.pairs(w.features())) and as_dict(G.both(w.pairs())) == as_dict(w.edges())
+
+
 def test_rows_that_grow_are_dealt(spark):
     """Few bytes in one file are more tasks, and equal keys stay together."""
     from knotwork.plans.session import dealt
