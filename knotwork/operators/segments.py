@@ -31,12 +31,13 @@ def fill_heading(rows: DataFrame, part: list[str], order: str, heading: Column,
 NEAR = 5
 
 
-def topic_stream(rows: DataFrame, group: list[str], order: list[str], name: str, text_col: str = "text", near: int = NEAR) -> DataFrame:
+def topic_stream(rows: DataFrame, group: list[str], order: list[str], name: str, text_col: str = "text", near: int = NEAR, parts: bool = False) -> DataFrame:
     """Body lines with their topic and its number, from a stream of lines some of which name a topic.
 
     The first line that names a topic begins it; later ones of the same name, in any case, are body text.  Lines before the
     first topic are left out, and so are lines that only repeat a nearby topic: of number n, c - near <= n < c + near,
-    where c is the topic that is repeated.  A topic without lines gives one row without text."""
+    where c is the topic that is repeated.  A topic without lines gives one row without text.  With `parts` rows keep the number
+    of their range of the order (see ordered.dealt)."""
     lines = O.dealt(rows, group, order)
     firsts = lines.where(F.col(name).isNotNull()).groupBy(*group, F.lower(name).alias("_low")).agg(F.min(F.struct(*order)).alias("_at"))
     firsts = firsts.select(*group, F.col("_at.*"), F.lit(True).alias("_begins"))
@@ -48,7 +49,7 @@ def topic_stream(rows: DataFrame, group: list[str], order: list[str], name: str,
     said = F.trim(F.regexp_replace(text_col, " +", " "))
     body = body.withColumn("_low", F.lower(said)).join(topics, [*group, "_low"], "left")
     again = (F.col("number") >= F.col("_of") - near) & (F.col("number") < F.col("_of") + near)
-    return body.where(~F.coalesce(again, F.lit(False))).drop("_low", "_of", "_begins", "_part", name)
+    return body.where(~F.coalesce(again, F.lit(False))).drop("_low", "_of", "_begins", name, *([] if parts else ["_part"]))
 
 
 def notes_in_sentences(sentences: DataFrame, notes: DataFrame, part: list[str], slack: int = 5) -> DataFrame:

@@ -109,6 +109,28 @@ def test_encyclopedia(spark):
     assert [(r.a_name, r.b_name) for r in f] == [("md|abel", f"md|{x}") for x in ("cain", "moses", "seth", "enos")]
 
 
+def test_a_topic_is_joined_within_ranges(spark, tmp_path, monkeypatch):
+    """No task orders or holds the lines of a topic as rows: windows are by ranges, and a topic gathers one text a range."""
+    from knotwork.operators import ordered
+
+    monkeypatch.setattr(ordered, "dealt", lambda rows, group, order: _ranges(spark, rows, order, tmp_path))
+    lines = ["( AARON )", *[x for k in range(60) for x in (f"line {k}  of him", "See Cain, Moses.", "SETH,, ENOS", f"( AARON {k} )" if k % 50 == 49 else "1 2")]]
+    rows = spark.createDataFrame([("b", "f", k, x) for k, x in enumerate(lines)], "archive string, file string, pos int, text string")
+    made = E.segment_encyclopedia(rows)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.topic: r for r in made.collect()}
+    assert got["AARON"].text == "\n".join(f"line {k} of him" for k in range(50)) and got["AARON"].see == ["Cain", "Moses", "SETH", "ENOS"] * 50
+    assert got["AARON 49"].text == "\n".join(f"line {k} of him" for k in range(50, 60)) and got["AARON 49"].length == sum(len(f"line {k} of him") for k in range(50, 60))
+    windows = [x for x in plan.splitlines() if "Window [" in x and "pos#" in x]
+    assert windows and all("[_part#" in x for x in windows)
+
+
+def _ranges(spark, rows, order, path):
+    """Rows in ranges of seven lines, as ordered.dealt() makes them of more."""
+    rows.withColumn("_part", F.floor(F.col(order[-1]) / 7).cast("int")).write.parquet(str(path / "ranges"))
+    return spark.read.parquet(str(path / "ranges"))
+
+
 def test_dates(spark):
     rows = ["January 5, 1999", "Mar 7, 2001", "2003-04-05", "someday", None]
     d = spark.createDataFrame([(x,) for x in rows], "s string").select(D.speech_date("s").alias("d")).collect()
